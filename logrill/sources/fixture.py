@@ -126,7 +126,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(v) for v in ("cisco", "juniper", "mikrotik", "unknown")]),
                      (F.col("s_nationkey") % 4 + 1).cast("int")).alias("vendor"),
         F.col("s_name").alias("model"), F.lit("snmp").alias("resolution_method"),
-        from_micros(F.lit(1_701_388_800_000_000) + F.col("s_nationkey") * F.lit(86_400_000_000))
+        from_micros(F.lit(1_701_388_800_000_000) + F.col("s_nationkey").cast("long") * F.lit(86_400_000_000))
         .alias("first_seen"),
         from_micros(F.lit(1_704_067_200_000_000) + F.col("s_nationkey") * F.lit(3_600_000_000))
         .alias("last_resolved"),
@@ -164,7 +164,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acknowledgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("s_nationkey")
+    n = F.col("s_nationkey").cast("long")
     return table(spark, sf_dir, "supplier").select(
         device_ip("s_suppkey").alias("source_ip"),
         F.when(n % 2 == 0, "always_severe").otherwise("security_content").alias("anomaly_reason"),
@@ -189,10 +189,10 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per nation, with the filters switched on by the bits of its key."""
-    n = F.col("n_nationkey")
+    n = F.col("n_nationkey").cast("long")
     return table(spark, sf_dir, "nation").select(
         n.cast("long").alias("id"), F.concat(F.lit("rule "), F.col("n_name")).alias("name"),
-        (n % 6 != 5).alias("enabled"), (F.lit(60) * (1 + n)).cast("int").alias("window_minutes"),
+        (n % 6 != 5).alias("enabled"), (F.lit(57) * (1 + n)).cast("int").alias("window_minutes"),
         (1 + n % 4).cast("long").alias("threshold"), (F.lit(10) * n).cast("int").alias("cooldown_minutes"),
         F.when(n % 8 == 7, F.concat(F.lit("node-"), n.cast("string"))).alias("hostname"),
         F.when(n % 9 == 8, device_ip("n_nationkey")).alias("source_ip"),
@@ -219,7 +219,7 @@ def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def silence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices marked silent by an earlier run."""
-    n = F.col("s_nationkey")
+    n = F.col("s_nationkey").cast("long")
     start = F.lit(1_706_313_600_000_000)  # 2024-01-27
     return table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 2 == 0).select(
         device_ip("s_suppkey").alias("source_ip"),
@@ -234,7 +234,7 @@ def silence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses waiting for an identity."""
-    n, c = F.col("c_nationkey"), F.col("c_custkey")
+    n, c = F.col("c_nationkey").cast("long"), F.col("c_custkey")
     as_of = F.lit(1_706_659_200_000_000)
     return table(spark, sf_dir, "customer").select(
         device_ip("c_custkey").alias("ip"),
@@ -261,7 +261,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of polling devices: answered with an identity, or not."""
-    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    c, n = F.col("c_custkey"), F.col("c_nationkey").cast("long")
     return table(spark, sf_dir, "customer").where(c % 4 != 3).select(
         device_ip("c_custkey").alias("ip"),
         F.when(c % 4 == 0, "no_scope").when(c % 4 == 1, "failed").otherwise("answered").alias("outcome"),
@@ -272,3 +272,66 @@ def polled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("description"),
         from_micros(F.lit(1_706_659_200_000_000) - n * F.lit(60_000_000)).alias("attempted_at"),
     )
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw string records with the gaps and bad values real lines have."""
+    k = F.col("k")
+    base = log_events(spark, sf_dir).join(seeds(spark, sf_dir).select("event_id", "k"), "event_id")
+    return base.select(
+        "event_id", "received_at",
+        F.when(k % 10 == 0, "not a time").when(k % 10 != 1, F.date_format(
+            "event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
+        F.when(k % 11 != 0, F.col("source_ip")).alias("source_ip"),
+        F.when(k % 12 != 0, F.col("reported_hostname")).alias("reported_hostname"),
+        F.when(k % 13 != 0, F.col("facility")).alias("facility"),
+        F.when(k % 14 != 0, F.col("severity")).alias("severity"),
+        F.when(k % 15 != 0, F.col("program")).alias("program"),
+        F.when(k % 7 == 0, "abc").when(k % 7 == 1, "").otherwise(F.col("pid").cast("string")).alias("pid"),
+        F.col("message"), F.when(k % 4 != 0, F.col("raw")).alias("raw"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, among them blank, broken, message-less and container ones."""
+    k = F.col("k")
+    base = log_events(spark, sf_dir).join(seeds(spark, sf_dir).select("event_id", "k"), "event_id")
+    stamp = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    rest = ["source_ip", "reported_hostname", "facility", "severity", "program",
+            F.col("pid").cast("string").alias("pid")]
+    veth = F.concat(F.lit("veth88671e0: Link DOWN "), k.cast("string")).alias("message")
+    return base.select(
+        F.when(k % 10 == 0, '{"message": "cut o')
+        .when(k % 10 == 1, F.to_json(F.struct(stamp, *rest)))
+        .when(k % 10 == 2, F.to_json(F.struct(stamp, veth, *rest)))
+        .when(k % 10 == 3, "")
+        .otherwise(F.to_json(F.struct(stamp, *rest, "message", "raw"))).alias("value"))
+
+
+def shifted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relayed events, some of them stamped three hours or ten minutes ahead."""
+    k = F.col("k")
+    base = relayed_events(spark, sf_dir).join(seeds(spark, sf_dir).select("event_id", "k"), "event_id")
+    ahead = F.when(k % 10 < 2, 3 * 3600).when(k % 10 == 2, 600).otherwise(0)
+    return base.withColumn("event_time", plus_seconds("event_time", ahead)).drop("k")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose signup messages arrive as numbered parts, some lost, some whole."""
+    k = F.col("k")
+    base = log_events(spark, sf_dir).join(
+        seeds(spark, sf_dir).select("event_id", "k", "u", "event_type"), "event_id")
+    split = F.col("event_type") == "signup"
+    last = F.when(split & (k % 5 > 1), 1).otherwise(0)
+    parts = base.withColumn("idx", F.explode(F.sequence(F.lit(0), last)))
+    total = F.when(k % 5 == 1, "1").otherwise("2")
+    content = F.when(F.col("idx") == 0, F.concat(F.lit("part one of "), k.cast("string"), F.lit(","))
+                     ).otherwise(F.concat(F.lit(" part two of "), F.col("u").cast("string")))
+    line = F.concat_ws(" ", F.lpad((F.col("event_id") % 50).cast("string"), 10, "0"), total,
+                       F.col("idx").cast("string"), content)
+    late = F.when(split, F.when(k % 2 == 0, 1 - F.col("idx")).otherwise(F.col("idx")) * 2).otherwise(0)
+    return parts.select(
+        (F.col("event_id") * 2 + F.col("idx")).alias("event_id"), "event_time",
+        plus_seconds("received_at", late).alias("received_at"), "source_ip", "reported_hostname",
+        "facility", "severity", F.when(split, "CSCOacs_Passed").otherwise(F.col("program")).alias("program"),
+        "pid", F.when(split, F.concat(F.lit(" "), line)).otherwise(F.col("message")).alias("message"),
+        F.when(split, line).otherwise(F.col("raw")).alias("raw"))
