@@ -10,11 +10,10 @@ from logrill.functions.clock import col
 from logrill.functions.text import mask_template
 
 WILDCARD = "<*>"
-_LOCAL = ("leaf string, salt int, local_id long, template string, masked_id string, first_seen long")
 
 
 def mine_templates(events: DataFrame, mode: str = "mask", message: str = "message",
-                   depth: int = 4, similarity: float = 0.4, salts: int = 32) -> DataFrame:
+                   depth: int = 4, similarity: float = 0.4, part_rows: int = 5000) -> DataFrame:
     """Add ``template_id``, ``template`` and ``template_size`` to every message.
 
     mask: digits masked, the id is a content hash. drain: fixed-depth token tree
@@ -26,7 +25,7 @@ def mine_templates(events: DataFrame, mode: str = "mask", message: str = "messag
     elif mode == "drain":
         masked = events.withColumn("_masked", mask_template(F.coalesce(col(message), F.lit(""))))
         with_template = masked.join(
-            _drain(masked, depth, similarity, salts), F.md5("_masked") == F.col("_masked_id"), "left"
+            _drain(masked, depth, similarity, part_rows), F.md5("_masked") == F.col("_masked_id"), "left"
         ).drop("_masked", "_masked_id")
     else:
         raise ValueError("mode must be mask or drain")
@@ -64,36 +63,46 @@ def _cluster(frame: pd.DataFrame, similarity: float) -> tuple[list[list[str]], l
     return clusters, member
 
 
-def _drain(masked: DataFrame, depth: int, similarity: float, salts: int) -> DataFrame:
+def _split(rows: DataFrame, by: str, name: str, part_rows: int) -> DataFrame:
+    """Cut every leaf into parts of about ``part_rows`` rows by the hash of a column."""
+    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / part_rows).alias("_parts"))
+    return rows.join(sizes, "leaf").withColumn(
+        name, F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+
+
+def _drain(masked: DataFrame, depth: int, similarity: float, part_rows: int) -> DataFrame:
     """(_masked_id, template_id, template) for every distinct masked message.
 
-    A leaf of the tree (token count and leading tokens) could hold most messages.
-    It is therefore split by hash: every part is clustered on its own, and only
-    the parts' templates, few by construction, meet per leaf to be merged.
+    A leaf of the tree (token count and leading tokens) could hold most messages,
+    so it is cut into parts of bounded size that are clustered on their own; then
+    the parts' templates, again in bounded groups, are merged. Equal templates
+    always meet, and a leaf that fits one group is merged as a whole.
     """
-    distinct = masked.groupBy("_masked").agg(
-        *([F.min(F.unix_micros(F.col("event_time").cast("timestamp"))).alias("first_seen")]
-          if "event_time" in masked.columns else [F.min("event_id").alias("first_seen")]))
+    seen = (F.unix_micros(F.col("event_time").cast("timestamp")) if "event_time" in masked.columns
+            else F.col("event_id"))
+    distinct = masked.groupBy("_masked").agg(F.min(seen).alias("first_seen"))
     tokens = _tokens("_masked")
     heads = F.transform(F.slice(tokens, 1, max(depth - 2, 1)),
                         lambda t: F.when(t.rlike("[0-9]|<\\*>"), WILDCARD).otherwise(t))
     leaves = distinct.select(
         F.md5("_masked").alias("masked_id"), "first_seen", F.array_join(tokens, " ").alias("template"),
         F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(heads, " ")).alias("leaf"))
-    leaves = leaves.withColumn("salt", F.pmod(F.xxhash64("masked_id"), F.lit(salts)).cast("int"))
+    leaves = _split(leaves, "masked_id", "part", part_rows)
 
     def within_part(key, frame):
         frame = frame.sort_values(["first_seen", "masked_id"])
         clusters, member = _cluster(frame, similarity)
         return pd.DataFrame({
-            "leaf": key[0], "salt": key[1], "local_id": member,
+            "leaf": key[0], "part": key[1], "local_id": member,
             "template": [" ".join(clusters[m]) for m in member],
             "masked_id": frame["masked_id"].to_numpy(), "first_seen": frame["first_seen"].to_numpy()})
 
-    local = leaves.groupBy("leaf", "salt").applyInPandas(within_part, _LOCAL)
-    parts = local.groupBy("leaf", "salt", "local_id").agg(
-        F.first("template").alias("template"), F.min(F.struct("first_seen", "masked_id")).alias("_o")
-    ).select("leaf", "salt", "local_id", "template", "_o.first_seen", "_o.masked_id")
+    local = leaves.groupBy("leaf", "part").applyInPandas(
+        within_part, "leaf string, part int, local_id long, template string, masked_id string, first_seen long")
+    parts = local.groupBy("leaf", "template").agg(
+        F.min(F.struct("first_seen", "masked_id")).alias("_o")
+    ).select("leaf", "template", "_o.first_seen", "_o.masked_id")
+    parts = _split(parts, "template", "part", part_rows)
 
     def across_parts(key, frame):
         frame = frame.sort_values(["first_seen", "masked_id"])
@@ -101,10 +110,10 @@ def _drain(masked: DataFrame, depth: int, similarity: float, salts: int) -> Data
         texts = [" ".join(c) for c in clusters]
         ids = [hashlib.md5(f"{key[0]}\t{t}".encode()).hexdigest() for t in texts]
         return pd.DataFrame({
-            "leaf": key[0], "salt": frame["salt"].to_numpy(), "local_id": frame["local_id"].to_numpy(),
-            "template_id": [ids[m] for m in member], "template": [texts[m] for m in member]})
+            "leaf": key[0], "template": frame["template"].to_numpy(),
+            "template_id": [ids[m] for m in member], "merged": [texts[m] for m in member]})
 
-    merged = parts.groupBy("leaf").applyInPandas(
-        across_parts, "leaf string, salt int, local_id long, template_id string, template string")
-    return local.drop("template").join(merged, ["leaf", "salt", "local_id"]).select(
-        F.col("masked_id").alias("_masked_id"), "template_id", "template")
+    merged = parts.groupBy("leaf", "part").applyInPandas(
+        across_parts, "leaf string, template string, template_id string, merged string")
+    return local.join(merged, ["leaf", "template"]).select(
+        F.col("masked_id").alias("_masked_id"), "template_id", F.col("merged").alias("template"))
