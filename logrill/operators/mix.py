@@ -75,27 +75,48 @@ def _wide(vectors: DataFrame, k: int) -> DataFrame:
     return packed.select(*window, "event_count", shares.alias("vector"))
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator, limit: int):
-    """One isolation tree as parallel lists (feature, cut, left, right, size)."""
-    feature, cut, left, right, size = [], [], [], [], []
-
-    def node(rows, depth):
-        here = len(feature)
-        for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (size, len(rows))):
-            column.append(value)
-        low, high = points[rows].min(axis=0), points[rows].max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth < limit and len(rows) > 1 and len(varying):
-            f = int(rng.choice(varying))
-            c = float(rng.uniform(low[f], high[f]))
-            below = points[rows, f] <= c
-            feature[here], cut[here] = f, c
-            left[here] = node(rows[below], depth + 1)
-            right[here] = node(rows[~below], depth + 1)
-        return here
-
-    node(np.arange(len(points)), 0)
-    return feature, cut, left, right, size
+def _grow(points: np.ndarray, tree: np.ndarray, rng: np.random.Generator, limit: int):
+    """Isolation trees over the rows of each tree number, all grown level by level.
+
+    Returns per node: tree, feature (-1 for a leaf), cut, left, right, size.
+    """
+    numbers, at = np.unique(tree, return_inverse=True)
+    owner = [np.arange(len(numbers))]
+    size = [np.bincount(at)]
+    splits = []
+    total, rows = len(numbers), np.arange(len(points))
+    for _ in range(limit):
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        nodes, starts, counts = np.unique(at[rows], return_index=True, return_counts=True)
+        low = np.minimum.reduceat(points[rows], starts, axis=0)
+        high = np.maximum.reduceat(points[rows], starts, axis=0)
+        varying = high > low
+        chosen = np.where(varying, rng.random(varying.shape), -1.0).argmax(axis=1)
+        each = np.arange(len(nodes))
+        width = high[each, chosen] - low[each, chosen]
+        cuts = low[each, chosen] + rng.random(len(nodes)) * width
+        split = varying.any(axis=1)
+        if not split.any():
+            break
+        child = np.full(len(nodes), -1)
+        child[split] = total + 2 * np.arange(split.sum())
+        splits.append((nodes[split], chosen[split], cuts[split], child[split]))
+        place = np.repeat(each, counts)
+        keep = split[place]
+        rows, place = rows[keep], place[keep]
+        above = points[rows, chosen[place]] > cuts[place]
+        at[rows] = child[place] + above
+        made = 2 * int(split.sum())
+        size.append(np.bincount(at[rows] - total, minlength=made))
+        parents = np.concatenate(owner)[nodes[split]]
+        owner.append(np.repeat(parents, 2))
+        total += made
+    owner, size = np.concatenate(owner), np.concatenate(size)
+    feature, cut = np.full(total, -1), np.zeros(total)
+    left, right = np.full(total, -1), np.full(total, -1)
+    for nodes, chosen, cuts, child in splits:
+        feature[nodes], cut[nodes], left[nodes], right[nodes] = chosen, cuts, child, child + 1
+    return numbers[owner], feature, cut, left, right, size
 
 
 def _average_path(n):
@@ -106,56 +127,72 @@ def _average_path(n):
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
-def _path_lengths(points: np.ndarray, tree) -> np.ndarray:
-    feature, cut = np.asarray(tree.feature), np.asarray(tree.cut)
-    left, right = np.asarray(tree.left), np.asarray(tree.right)
-    at = np.zeros(len(points), dtype=int)
-    depth = np.zeros(len(points))
+def _path_lengths(points: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
+    """Mean path length of every point over all trees."""
+    sizes = trees["feature"].map(len).to_numpy()
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    shift = np.repeat(roots, sizes)
+    feature, cut = np.concatenate(trees["feature"].tolist()), np.concatenate(trees["cut"].tolist())
+    left = np.concatenate(trees["left"].tolist()) + shift
+    right = np.concatenate(trees["right"].tolist()) + shift
+    at = np.tile(roots, (len(points), 1))
+    depth = np.zeros(at.shape)
+    row = np.arange(len(points))[:, None]
     while True:
         inner = feature[at] >= 0
         if not inner.any():
             break
-        rows = np.flatnonzero(inner)
-        here = at[rows]
-        below = points[rows, feature[here]] <= cut[here]
-        at[rows] = np.where(below, left[here], right[here])
-        depth[rows] += 1
-    return depth + _average_path(np.asarray(tree.size)[at])
+        below = points[row, feature[at]] <= cut[at]
+        at = np.where(inner, np.where(below, left[at], right[at]), at)
+        depth += inner
+    return (depth + _average_path(np.concatenate(trees["size"].tolist()))[at]).mean(axis=1)
+
+
+def _spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by keys into the session's full number of partitions: the
+    rows are few but costly, and AQE would merge them by size into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def train_mix_models(vectors: DataFrame, k: int = TOP_K, trees: int = TREES, sample: int = SAMPLE,
                      seed: int = SEED) -> DataFrame:
     """A forest per scope, one row per tree.
 
-    A scope's windows are ranked by a seeded hash into a pool that is as large as
-    all draws together; each tree takes its sample from the pool. Ranks are cut
-    before the shuffle, so a vendor with most windows costs no more than another.
+    A scope's windows are ranked by a seeded hash into a pool as large as all
+    draws together, from which each tree draws its sample. Ranks are cut before
+    the shuffle, so a vendor with most windows sends no more rows than another.
     """
-    wide = _wide(vectors, k)
     order = F.xxhash64(F.lit(seed), "source_ip", "window_start")
-    pool = wide.withColumn("_rank", F.row_number().over(
+    pool = _wide(vectors, k).withColumn("_rank", F.row_number().over(
         Window.partitionBy(*_SCOPE).orderBy(order, "source_ip", "window_start"))
     ).where(F.col("_rank") <= sample * trees).select(*_SCOPE, "_rank", "vector")
-    draws = pool.select(*_SCOPE, "_rank", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    lot = F.xxhash64(F.lit(seed), "tree", "_rank")
-    picked = draws.withColumn("_i", F.row_number().over(
-        Window.partitionBy(*_SCOPE, "tree").orderBy(lot, "_rank"))).where(F.col("_i") <= sample).drop("_i")
 
     def grow(key, frame):
         frame = frame.sort_values("_rank")
-        points = np.array(frame["vector"].tolist(), dtype=float)
-        scope = f"{key[0]}:{key[1]}".encode()
-        rng = np.random.default_rng([seed, int(key[2]), *scope])
-        built = _grow(points, rng, math.ceil(math.log2(max(len(points), 2))))
-        return pd.DataFrame([[*key, len(points), *built]], columns=[
+        rng = np.random.default_rng([seed, *f"{key[0]}:{key[1]}".encode()])
+        drawn = min(sample, len(frame))
+        picks = np.concatenate([rng.permutation(len(frame))[:drawn] for _ in range(trees)])
+        points = np.array(frame["vector"].tolist(), dtype=float)[picks]
+        tree = np.repeat(np.arange(1, trees + 1), drawn)
+        owner, feature, cut, left, right, size = _grow(
+            points, tree, rng, math.ceil(math.log2(max(drawn, 2))))
+        order = np.lexsort((np.arange(len(owner)), owner))
+        numbers, starts = np.unique(owner[order], return_index=True)
+        local = np.empty(len(owner), dtype=int)
+        local[order] = np.arange(len(owner)) - np.repeat(starts, np.diff([*starts, len(owner)]))
+        columns = (feature, cut, np.where(left >= 0, local[left], -1), np.where(right >= 0, local[right], -1), size)
+        split = [np.split(c[order], starts[1:]) for c in columns]
+        out = [[*key, number, drawn, *parts] for number, *parts in zip(numbers, *split)]
+        return pd.DataFrame(out, columns=[
             *_SCOPE, "tree", "sample_size", "feature", "cut", "left", "right", "size"])
 
-    return picked.join(pool, [*_SCOPE, "_rank"]).groupBy(*_SCOPE, "tree").applyInPandas(
+    # a group holds the pool of one forest: at most trees * sample rows
+    return _spread(pool, *_SCOPE).groupBy(*_SCOPE).applyInPandas(
         grow, "model_scope string, scope_key string, tree int, sample_size int, feature array<int>, "
               "cut array<double>, left array<int>, right array<int>, size array<int>")
 
 
-def forest_scores(vectors: DataFrame, forest: DataFrame, k: int = TOP_K, part_rows: int = 20_000) -> DataFrame:
+def forest_scores(vectors: DataFrame, forest: DataFrame, k: int = TOP_K, part_rows: int = 5_000) -> DataFrame:
     """Score of every (scope, window); lower is more anomalous.
 
     A scope is cut into parts of bounded size by hash, its trees (bounded) go to
@@ -173,14 +210,14 @@ def forest_scores(vectors: DataFrame, forest: DataFrame, k: int = TOP_K, part_ro
             return pd.DataFrame(columns=[*_SCOPE, "source_ip", "window_start", "event_count", "score"])
         points = np.array(windows["vector"].tolist(), dtype=float)
         trees = trees.sort_values("tree")
-        mean = sum(_path_lengths(points, t) for t in trees.itertuples()) / len(trees)
+        mean = _path_lengths(points, trees)
         norm = max(float(_average_path(trees["sample_size"].iloc[0])), 1e-12)
         out = windows[[*_SCOPE, "source_ip", "window_start", "event_count"]].copy()
         out["score"] = np.round(-np.power(2.0, -mean / norm), 6)
         return out
 
     keys = [*_SCOPE, "part"]
-    return placed.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
+    return _spread(placed, *keys).groupBy(*keys).cogroup(_spread(copies, *keys).groupBy(*keys)).applyInPandas(
         score, "model_scope string, scope_key string, source_ip string, window_start timestamp_ntz, "
                "event_count long, score double")
 

@@ -96,18 +96,21 @@ def _checkpoint(spark, sf):
         "last_scored", F.lit("2024-01-24").cast("timestamp_ntz"))
 
 
-def _model(spark, sf):
-    return sequence.transition_model(_pairs(spark, sf), sequence.known_vendors(fx.events(spark, sf)),
-                                     _checkpoint(spark, sf), 40, 200)
+def _trained(spark, sf):
+    """Pairs, vendors, checkpoint and model; what several jobs read is written once."""
+    pairs = materialize(_pairs(spark, sf), "pairs")
+    vendors = materialize(sequence.known_vendors(fx.events(spark, sf)), "vendors")
+    checkpoint = _checkpoint(spark, sf)
+    return pairs, vendors, checkpoint, sequence.transition_model(pairs, vendors, checkpoint, 40, 200)
 
 
 def transition_model(spark, sf):
-    return _model(spark, sf)
+    return _trained(spark, sf)[-1]
 
 
 def _scored(spark, sf):
-    return sequence.score_transitions(_pairs(spark, sf), _model(spark, sf),
-                                      sequence.known_vendors(fx.events(spark, sf)), _checkpoint(spark, sf), 0.02)
+    pairs, vendors, checkpoint, model = _trained(spark, sf)
+    return sequence.score_transitions(pairs, materialize(model, "model"), vendors, checkpoint, 0.02)
 
 
 def score_transitions(spark, sf):

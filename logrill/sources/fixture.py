@@ -335,3 +335,38 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "facility", "severity", F.when(split, "CSCOacs_Passed").otherwise(F.col("program")).alias("program"),
         "pid", F.when(split, F.concat(F.lit(" "), line)).otherwise(F.col("message")).alias("message"),
         F.when(split, line).otherwise(F.col("raw")).alias("raw"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per kind of event that occurs."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_type").distinct().select(
+        kind.alias("query_id"),
+        F.when(kind == "view", "which device has the most wireless disconnections")
+        .when(kind == "click", "top devices with interface link problems, mikrotik")
+        .when(kind == "error", "how many authentication failures for cisco happened")
+        .when(kind == "signup", "what are the recent login successes for sshd")
+        .otherwise("show addresses assigned to clients").alias("question"))
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase per event: loose names of reasons, or the message itself."""
+    k = F.col("k")
+    base = log_events(spark, sf_dir).join(seeds(spark, sf_dir).select("event_id", "k"), "event_id")
+    named = ("volume spike", "spike", "ethernet flap", "wireless drops", "severe templates",
+             "Rare_Template", "unusual transitions", "security", "radio disconnect")
+    phrase = F.element_at(F.array(*[F.lit(n) for n in named]), k % 12 + 1)
+    return base.select("event_id", F.when(k % 12 < len(named), phrase).otherwise(F.col("message")).alias("phrase"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer per device that states its event count, wrongly for each third."""
+    counts = seeds(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"))
+    name = F.concat(F.lit("SF-200-dev-"), F.col("u").cast("string"))
+    n = F.col("n").cast("string")
+    said = (F.col("n") + F.when(F.col("u") % 3 == 0, 7).otherwise(0)).cast("string")
+    text_ = F.concat(F.lit("The top 10 logs: "), name, F.lit(" had "), n, F.lit(" warning-severity events, a total of "),
+                     said, F.lit("."))
+    return counts.select(
+        F.col("u").alias("answer_id"), F.lit("show me 10 logs, top 10 please").alias("question"),
+        text_.alias("text"), F.array(name, F.lit("10.0.0.1")).alias("identifiers"), F.col("n").alias("value"))
