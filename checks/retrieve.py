@@ -43,10 +43,11 @@ REQUESTS = """rq AS (SELECT request_id, CASE WHEN request_id % 7 <> 0 THEN name
 
 
 def _n(h: str, p: str) -> str:
-    return f"(SELECT count(*) FROM lab e WHERE ({h} IS NULL OR e.hostname = {h}) AND ({p} IS NULL OR e.program = {p}))"
+    return f"(SELECT coalesce(CAST(sum(n) AS BIGINT), 0) FROM cell WHERE ({h} IS NULL OR cell.hostname = {h}) AND ({p} IS NULL OR cell.program = {p}))"
 
 
-COUNTED = f"""c1 AS (SELECT rq.*, {_n('rq.hostname', 'rq.program')} AS n FROM rq),
+COUNTED = f"""cell AS (SELECT hostname, program, count(*) AS n FROM lab GROUP BY 1, 2),
+c1 AS (SELECT rq.*, {_n('rq.hostname', 'rq.program')} AS n FROM rq),
 c2 AS (SELECT c1.request_id, CASE WHEN c1.n = 0 AND v.verdict = 'resolved' THEN v.hostname ELSE c1.hostname END AS hostname, c1.program, c1.n AS n1
     FROM c1 LEFT JOIN nm_v v ON v.name = c1.hostname),
 c3 AS (SELECT *, CASE WHEN n1 > 0 THEN n1 ELSE {_n('c2.hostname', 'c2.program')} END AS n2 FROM c2),

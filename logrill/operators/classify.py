@@ -1,5 +1,9 @@
 """Message categories: training, prediction, evaluation."""
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +73,86 @@ def classification_report(predicted: DataFrame, label: str = "label",
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall")
                 / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return both.withColumn("f1", f1)
+
+
+MIN_TRAINING_ROWS = 100
+FOLDS = 3
+
+
+def _margins(one_vs_rest, rows: DataFrame) -> DataFrame:
+    """Add ``_m``: the margin of every class."""
+    out, margins = rows, []
+    for c, model in enumerate(one_vs_rest.models):
+        model.setRawPredictionCol(f"_r{c}").setPredictionCol(f"_c{c}")
+        out = model.transform(out)
+        margins.append(vector_to_array(f"_r{c}")[1])
+    return out.withColumn("_m", F.array(*margins)).select(*rows.columns, "_m")
+
+
+class CategoryModel:
+    """Calibrated one-vs-rest margins, averaged over the folds."""
+
+    def __init__(self, features, folds, labels):
+        self.features, self.folds, self.labels = features, folds, labels
+
+    def predict(self, events: DataFrame) -> DataFrame:
+        """Add ``predicted_category`` and ``predicted_confidence``.
+
+        Every distinct message is scored once.
+        """
+        messages = events.select("message").distinct()
+        scored = self.features.transform(messages)
+        shares = []
+        for i, (svm, platt) in enumerate(self.folds):
+            scored = _margins(svm, scored)
+            p = [1 / (1 + F.exp(-(F.lit(a) * F.col("_m")[c] + F.lit(b)))) for c, (a, b) in enumerate(platt)]
+            scored = scored.withColumn(f"_p{i}", F.array(*p)).drop("_m")
+            total = F.aggregate(f"_p{i}", F.lit(0.0), lambda s, x: s + x)
+            shares.append([F.col(f"_p{i}")[c] / total for c in range(len(self.labels))])
+        mean = [sum(s[c] for s in shares) / len(shares) for c in range(len(self.labels))]
+        best = F.array_max(F.array(*[
+            F.struct(m.alias("p"), F.lit(-c).alias("c")) for c, m in enumerate(mean)]))
+        named = scored.withColumn("_best", best).select(
+            "message", F.element_at(F.array(*[F.lit(n) for n in self.labels]), (1 - F.col("_best.c")).cast("int"))
+            .alias("predicted_category"), F.col("_best.p").alias("predicted_confidence"))
+        return events.drop("predicted_category", "predicted_confidence").join(named, "message")
+
+
+def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2, max_iter: int = 10) -> CategoryModel:
+    """TF-IDF of one- and two-word terms, linear SVMs with balanced class weights,
+    sigmoid calibration on held-out folds. ``rows``: (event_id, message, label)."""
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per class
+    total = sum(counts.values())
+    if total < MIN_TRAINING_ROWS:
+        raise ValueError(f"need at least {MIN_TRAINING_ROWS} training rows, got {total}")
+    labels = sorted(counts)
+    words = RegexTokenizer(inputCol="message", outputCol="_w", pattern=r"\b\w\w+\b", gaps=False)
+    pairs = NGram(n=2, inputCol="_w", outputCol="_w2")
+    both = SQLTransformer(statement="SELECT *, concat(_w, _w2) AS _terms FROM __THIS__")
+    vectors = [CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=features, minDF=min_df),
+               IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]
+    drop = SQLTransformer(statement="SELECT * EXCEPT (_w, _w2, _terms, _tf, _idf) FROM __THIS__")
+    weight = F.element_at(F.create_map(*[
+        F.lit(x) for n in labels for x in (n, total / (len(labels) * counts[n]))]), F.col("label"))
+    indexed = rows.select(
+        "event_id", "message", F.array_position(F.array(*[F.lit(n) for n in labels]), F.col("label")).cast("double").alias("_y"),
+        weight.alias("_weight")).withColumn("_y", F.col("_y") - 1)
+    prepared = Pipeline(stages=[words, pairs, both, *vectors, drop]).fit(indexed)
+    train = prepared.transform(indexed).withColumn(
+        "_fold", F.pmod(F.xxhash64("event_id"), F.lit(FOLDS))).select(
+        "features", "_y", "_weight", "_fold").persist()
+    svm = OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="_y", featuresCol="features",
+                    weightCol="_weight", predictionCol="_class", parallelism=4)
+    folds = []
+    for fold in range(FOLDS):
+        model = svm.fit(train.where(F.col("_fold") != fold))
+        held = _margins(model, train.where(F.col("_fold") == fold)).select("_m", "_y").persist()
+        platt = []
+        for c in range(len(labels)):
+            one = held.select(array_to_vector(F.array(F.col("_m")[c])).alias("x"), (F.col("_y") == c).cast("double").alias("y"))
+            fit = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20).fit(one)
+            platt.append((float(fit.coefficients[0]), float(fit.intercept)))
+        held.unpersist()
+        folds.append((model, platt))
+    train.unpersist()
+    return CategoryModel(prepared, folds, labels)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logrill.functions.clock import col
 from logrill.functions.matching import contains_join
 from logrill.model import ANOMALY_REASONS
+from logrill.session import materialize
 
 # ---- fixed values ----
 FLAPPING_SYNONYMS = (
@@ -28,11 +29,12 @@ def resolve_hostnames(names: DataFrame, hostnames: DataFrame) -> DataFrame:
     The word stage runs only for names that match nowhere as a whole. Verdicts:
     resolved (one host), ambiguous (several), none.
     """
-    names = names.select("name").distinct()
-    hosts = hostnames.select("hostname").distinct()
+    # the distinct names are few beside the events; written once, read by each stage
+    names = materialize(names.select("name").distinct(), "names")
+    hosts = materialize(hostnames.select("hostname").distinct(), "hosts")
     exact = names.join(hosts, F.col("name") == F.col("hostname")).select("name", "hostname")
     rest = names.join(exact, "name", "left_anti")
-    whole = contains_join(rest, "name", hosts, "hostname").select("name", "hostname")
+    whole = materialize(contains_join(rest, "name", hosts, "hostname").select("name", "hostname"), "whole")
     unmatched = rest.join(whole.select("name").distinct(), "name", "left_anti")
     words = unmatched.withColumn("_word", F.explode(F.array_distinct(F.filter(
         F.split("name", r"[\s_-]+"), lambda w: F.length(w) >= 3))))
@@ -47,8 +49,8 @@ def resolve_hostnames(names: DataFrame, hostnames: DataFrame) -> DataFrame:
 
 def resolve_programs(names: DataFrame, programs: DataFrame) -> DataFrame:
     """(name) against (program): exact, else as a whole substring."""
-    names = names.select("name").distinct()
-    known = programs.select("program").distinct()
+    names = materialize(names.select("name").distinct(), "names")
+    known = materialize(programs.select("program").distinct(), "programs")
     exact = names.join(known, F.col("name") == F.col("program")).select("name", "program")
     rest = names.join(exact, "name", "left_anti").withColumn("_text", F.trim("name"))
     loose = contains_join(rest, "_text", known, "program").select("name", "program")
@@ -108,46 +110,45 @@ def resolve_reasons(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     }).drop("_words", "_scored", "_best", "_matches")
 
 
-def _counted(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Add ``_n``: events with the request's host and program, null for any.
+def _cells(events: DataFrame) -> DataFrame:
+    """Counts for every combination of given fields: both, one, or none ('')."""
+    counts = events.groupBy("hostname", "program").agg(F.count("*").alias("_n"))
+    return counts.withColumn("_mask", F.explode(F.array(*[F.lit(i) for i in range(4)]))).groupBy(
+        "_mask",
+        F.when(F.col("_mask").bitwiseAND(F.lit(1)) != 0, F.col("hostname")).otherwise("").alias("_h"),
+        F.when(F.col("_mask").bitwiseAND(F.lit(2)) != 0, F.col("program")).otherwise("").alias("_p"),
+    ).agg(F.sum("_n").alias("_n"))
 
-    One pre-aggregation by (hostname, program), then an equi-join for each
-    combination of given fields.
-    """
-    cells = events.groupBy("hostname", "program").agg(F.count("*").alias("_n"))
-    by_host = cells.groupBy("hostname").agg(F.sum("_n").alias("_n"))
-    by_program = cells.groupBy("program").agg(F.sum("_n").alias("_n"))
-    everything = cells.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
-    host, program = F.col("hostname").isNotNull(), F.col("program").isNotNull()
-    parts = [
-        requests.where(host & program).join(cells, ["hostname", "program"], "left"),
-        requests.where(host & ~program).join(by_host, "hostname", "left"),
-        requests.where(~host & program).join(by_program, "program", "left"),
-        requests.where(~host & ~program).withColumn("_n", everything.scalar()),
-    ]
-    columns = [*requests.columns, "_n"]
-    out = parts[0].select(*columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
-    return out.withColumn("_n", F.coalesce("_n", F.lit(0)))
-
-
-def resolved_count(requests: DataFrame, events: DataFrame, hostnames: DataFrame | None = None,
-                   programs: DataFrame | None = None) -> DataFrame:
+
+def _counted(requests: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add ``_n``: events with the request's host and program, null for any."""
+    mask = F.when(F.col("hostname").isNotNull(), 1).otherwise(0) + F.when(
+        F.col("program").isNotNull(), 2).otherwise(0)
+    keyed = requests.withColumns({"_mask": mask, "_h": F.coalesce("hostname", F.lit("")),
+                                  "_p": F.coalesce("program", F.lit(""))})
+    return keyed.join(cells, ["_mask", "_h", "_p"], "left").select(
+        *requests.columns, F.coalesce("_n", F.lit(0)).alias("_n"))
+
+
+def resolved_count(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Counts per request (request_id, hostname, program); where the exact names
-    give zero, first the host and then the program is resolved loosely."""
-    hostnames = events.select("hostname") if hostnames is None else hostnames
-    programs = events.select("program") if programs is None else programs
-    first = _counted(requests.select("request_id", "hostname", "program"), events)
-    done, open_ = first.where("_n > 0"), first.where("_n = 0").drop("_n")
+    give zero, first the host and then the program is resolved loosely.
+
+    Events are counted once into a small table that every stage reads.
+    """
+    cells = materialize(_cells(events), "cells")
+    known = cells.where("_mask = 3")
+    hostnames, programs = known.select(F.col("_h").alias("hostname")), known.select(F.col("_p").alias("program"))
+    first = materialize(_counted(requests.select("request_id", "hostname", "program"), cells), "count")
+    open_ = first.where("_n = 0").drop("_n")
     hosts = resolve_hostnames(open_.where("hostname is not null").select(F.col("hostname").alias("name")), hostnames)
     hosts = hosts.where("verdict = 'resolved'").select(F.col("name").alias("hostname"), F.col("hostname").alias("_host"))
-    second = _counted(open_.join(hosts, "hostname", "left").select(
-        "request_id", F.coalesce("_host", "hostname").alias("hostname"), "program"), events)
-    done2, open2 = second.where("_n > 0"), second.where("_n = 0").drop("_n")
+    second = materialize(_counted(open_.join(hosts, "hostname", "left").select(
+        "request_id", F.coalesce("_host", "hostname").alias("hostname"), "program"), cells), "count")
+    open2 = second.where("_n = 0").drop("_n")
     progs = resolve_programs(open2.where("program is not null").select(F.col("program").alias("name")), programs)
     progs = progs.where("verdict = 'resolved'").select(F.col("name").alias("program"), F.col("program").alias("_prog"))
     third = _counted(open2.join(progs, "program", "left").select(
-        "request_id", "hostname", F.coalesce("_prog", "program").alias("program")), events)
-    both = done.unionByName(done2).unionByName(third)
+        "request_id", "hostname", F.coalesce("_prog", "program").alias("program")), cells)
+    both = first.where("_n > 0").unionByName(second.where("_n > 0")).unionByName(third)
     return both.select("request_id", "hostname", "program", F.col("_n").alias("event_count"))
