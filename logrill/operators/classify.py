@@ -1,13 +1,15 @@
 """Message categories: training, prediction, evaluation."""
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.functions.text import weak_label
+from logrill.session import materialize
 
 
 def load_training(rows: DataFrame) -> DataFrame:
@@ -89,6 +91,36 @@ def _margins(one_vs_rest, rows: DataFrame) -> DataFrame:
     return out.withColumn("_m", F.array(*margins)).select(*rows.columns, "_m")
 
 
+def _sigmoids(held: DataFrame, classes: int) -> list[tuple[float, float]]:
+    """Slope and offset of a sigmoid per class (Platt, 1999).
+
+    Margins are counted in bins of a thousandth between -20 and 20, a bounded
+    table that holds all the fit needs; targets are smoothed, so separable
+    classes stay finite.
+    """
+    margin = F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("m"))), 3)
+    bins = held.select("_y", F.posexplode("_m").alias("c", "m")).groupBy(
+        "c", margin.alias("m"), (F.col("_y") == F.col("c")).alias("y")).agg(F.count("*").alias("n")).toPandas()
+    found = []
+    for c in range(classes):
+        part = bins[bins["c"] == c]
+        m, n, y = part["m"].to_numpy(float), part["n"].to_numpy(float), part["y"].to_numpy(bool)
+        positive, negative = n[y].sum(), n[~y].sum()
+        target = np.where(y, (positive + 1) / (positive + 2), 1 / (negative + 2))
+        x = np.column_stack([m, np.ones(len(m))])
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(x @ w)))
+            slope = x.T @ (n * (p - target))
+            curve = (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-9 * np.eye(2)
+            step = np.linalg.solve(curve, slope)
+            w = w - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
+        found.append((float(w[0]), float(w[1])))
+    return found
+
+
 class CategoryModel:
     """Calibrated one-vs-rest margins, averaged over the folds."""
 
@@ -121,6 +153,7 @@ class CategoryModel:
 def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2, max_iter: int = 10) -> CategoryModel:
     """TF-IDF of one- and two-word terms, linear SVMs with balanced class weights,
     sigmoid calibration on held-out folds. ``rows``: (event_id, message, label)."""
+    rows = materialize(rows.select("event_id", "message", "label"), "training")  # read by every fit
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per class
     total = sum(counts.values())
     if total < MIN_TRAINING_ROWS:
@@ -147,11 +180,7 @@ def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2,
     for fold in range(FOLDS):
         model = svm.fit(train.where(F.col("_fold") != fold))
         held = _margins(model, train.where(F.col("_fold") == fold)).select("_m", "_y").persist()
-        platt = []
-        for c in range(len(labels)):
-            one = held.select(array_to_vector(F.array(F.col("_m")[c])).alias("x"), (F.col("_y") == c).cast("double").alias("y"))
-            fit = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20).fit(one)
-            platt.append((float(fit.coefficients[0]), float(fit.intercept)))
+        platt = _sigmoids(held, len(labels))
         held.unpersist()
         folds.append((model, platt))
     train.unpersist()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logrill.functions.clock import col
 from logrill.functions.matching import contains_join
 from logrill.operators.search import in_range
+from logrill.session import materialize
 
 # ---- fixed values: words that name no topic ----
 GENERIC_QUESTION_WORDS = (
@@ -63,6 +64,7 @@ def concept_tokens(hits: DataFrame, vendors: DataFrame, programs: DataFrame) ->
     size = hits.groupBy("query_id").agg(F.count("*").alias("_hits"), F.first("question").alias("question"))
     counts = hits.select("query_id", F.explode(F.filter(words, lambda w: ~F.array_contains(generic, w))).alias("word")
                          ).groupBy("query_id", "word").agg(F.count("*").alias("document_frequency"))
+    counts = materialize(counts, "words")  # words of the few messages a search returned
     distinct = counts.select("word").distinct()
     inside = contains_join(distinct, "word", programs.select("program").distinct(), "program").select("word")
     entities = inside.unionByName(distinct.join(
@@ -129,7 +131,8 @@ def _scope(hits: DataFrame, vendors: DataFrame, programs: DataFrame) -> DataFram
         F.split("question", r"\s+"), lambda w: F.lower(F.regexp_replace(w, "^[.,!?;:]+|[.,!?;:]+$", "")))).alias("_v"))
     asked = vendors.where(~F.lower("vendor").isin(*PLACEHOLDERS)).select("vendor", F.lower("vendor").alias("_v")).join(
         mentioned, "_v").select("query_id", "vendor").distinct()
-    return keyword.join(scoped, "query_id").join(asked, "query_id", "left")
+    # a few rows per topic; written so that the events meet a table, not this plan
+    return materialize(keyword.join(scoped, "query_id").join(asked, "query_id", "left"), "scope")
 
 
 def _matching(events: DataFrame, scope: DataFrame) -> DataFrame:

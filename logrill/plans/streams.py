@@ -80,9 +80,9 @@ def stream_clock_skew(spark, sf):
 
 
 def stream_multipart(spark, sf):
-    """Messages completed from their parts; lost parts would wait for the timer."""
+    """Messages completed from their parts; a run to the end has no timer to wait for."""
     rows = _collected(spark, keyed.stream_multipart(
-        _as_stream(spark, fx.segments(spark, sf), "stream"), 3600), "parts")
+        _as_stream(spark, fx.segments(spark, sf), "stream"), None), "parts")
     return rows.where("complete")
 
 

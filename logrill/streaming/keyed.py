@@ -156,13 +156,15 @@ class _Parts(StatefulProcessor):
         for row in _in_order(rows).itertuples(index=False):
             if not self.total.exists():
                 self.total.update((int(row.total),))
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
+                if self.timeout:
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
             if not self.parts.containsKey((int(row.idx),)):
                 count += 1
             self.parts.updateValue((int(row.idx),), (row.content, row.raw))
             if count >= self.total.get()[0]:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
+                if self.timeout:
+                    for timer in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(timer)
                 count = 0
                 yield self._joined(key, True)
 
@@ -174,12 +176,14 @@ class _Parts(StatefulProcessor):
         pass
 
 
-def stream_multipart(events: DataFrame, timeout_seconds: int = 10) -> DataFrame:
-    """Split messages joined as their parts arrive; after the timeout what is there."""
+def stream_multipart(events: DataFrame, timeout_seconds: int | None = 10) -> DataFrame:
+    """Split messages joined as their parts arrive; after the timeout what is there.
+
+    Without a timeout, parts wait for the missing ones however long it takes."""
     parts = _segments(events).where("_part").select(
         "source_ip", "reported_hostname", F.col("_mid").alias("message_id"), F.col("_total").alias("total"),
         F.col("_idx").alias("idx"), F.col("_content").alias("content"), "raw",
         micros("received_at").alias("at"), "event_id")
     return parts.groupBy("source_ip", "reported_hostname", "message_id").transformWithStateInPandas(
-        statefulProcessor=_Parts(timeout_seconds * 1000), outputStructType=_PART_OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime")
+        statefulProcessor=_Parts(timeout_seconds and timeout_seconds * 1000), outputStructType=_PART_OUTPUT, outputMode="Append",
+        timeMode="ProcessingTime" if timeout_seconds else "None")
