@@ -50,8 +50,9 @@ def _identified(df: DataFrame, inventory: DataFrame) -> DataFrame:
     is_known = F.col("_known").isNotNull() & ~by_name
     passive = F.col("_passive")
     usable = _usable_name(reported, F.col("source_ip"))
-    out = df.withColumn("_passive", text.detect_vendor("message")).join(
-        known, "source_ip", "left").withColumns({
+    # the signatures are only tried on devices the inventory does not know
+    out = df.join(known, "source_ip", "left").withColumn(
+        "_passive", F.when(~is_known, text.detect_vendor("message"))).withColumns({
         "hostname": F.when(is_known, F.col("_host")).when(by_name | usable, reported)
         .otherwise(F.col("source_ip")),
         "vendor": F.when(is_known, F.col("_vendor")).otherwise(passive),
