@@ -13,12 +13,12 @@ from logrill.streaming import jobs, keyed
 SF = "/root/testdata/sf0.001"
 
 
-def _batches(spark, rows, parts, order="event_time"):
-    """Files in time order, one per micro-batch."""
+def _batches(spark, rows, days=11):
+    """A file per stretch of days, in time order; one per micro-batch."""
     path = fresh_path(spark, "files")
-    ranked = rows.repartitionByRange(parts, order)
-    for i in range(parts):
-        ranked.where(F.spark_partition_id() == i).coalesce(1).write.mode("append").parquet(path)
+    stretch = F.floor((F.dayofmonth("event_time") - 1) / days)
+    for i in range(31 // days + 1):
+        rows.where(stretch == i).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)  # files are taken by modification time
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -34,7 +34,7 @@ def _run(spark, stream):
 
 def test_rare_and_flapping(spark):
     rows = fx.events(spark, SF).select("event_id", "event_time", "received_at", "source_ip", "message", "template_id").cache()
-    stream = _batches(spark, rows, 3)
+    stream = _batches(spark, rows)
     rare = {(r.event_id,) for r in signals.rare_template(rows).where("rare_template").collect()}
     assert _run(spark, keyed.stream_rare_template(stream)) == rare
     flaps = {(r.event_id,) for r in signals.interface_flapping(rows, 172800, 2).where("interface_flapping").collect()}
@@ -44,7 +44,7 @@ def test_rare_and_flapping(spark):
 def test_rollup_merges_batches(spark):
     rows = fx.events(spark, SF).cache()
     out = fresh_path(spark, "minutes")
-    jobs.stream_rollup(_batches(spark, rows, 3), out, fresh_path(spark, "position"), {"availableNow": True}).awaitTermination()
+    jobs.stream_rollup(_batches(spark, rows), out, fresh_path(spark, "position"), {"availableNow": True}).awaitTermination()
     from logrill.operators.rollup import events_by_minute
     plain = events_by_minute(rows)
     merged = jobs.read_rollup(spark, out).select(plain.columns)
