@@ -124,9 +124,9 @@ def _scope(hits: DataFrame, vendors: DataFrame, programs: DataFrame) -> DataFram
         F.col("_dominated").isNull() | F.col("_n").isNotNull()).select("query_id", "program")
     scoped = found.unionByName(named).distinct()
     # a topic without any program looks at all of them
-    bare = keyword.join(scoped, "query_id", "left_anti").select("query_id", F.lit(1).alias("_j"))
-    every = programs.select("program").distinct().withColumn("_j", F.lit(1))
-    scoped = scoped.unionByName(bare.join(every, "_j").select("query_id", "program"))
+    every = programs.agg(F.collect_set("program").alias("p")).scalar()  # names only
+    bare = keyword.join(scoped, "query_id", "left_anti").select("query_id", F.explode(every).alias("program"))
+    scoped = scoped.unionByName(bare)
     mentioned = questions.select("query_id", F.explode(F.transform(
         F.split("question", r"\s+"), lambda w: F.lower(F.regexp_replace(w, "^[.,!?;:]+|[.,!?;:]+$", "")))).alias("_v"))
     asked = vendors.where(~F.lower("vendor").isin(*PLACEHOLDERS)).select("vendor", F.lower("vendor").alias("_v")).join(
