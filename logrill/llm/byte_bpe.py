@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ from pyspark.sql import DataFrame
 
 #: A cut before a single space between two other characters is a cut of the split pattern, too.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
+ODD_SPACES = re.compile(r"\s\s|^\s|\s\Z")
+#: A word of Latin letters, and marks after it: two pieces of the split pattern at most.
+PLAIN = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02AF]+)([.,;:!?]+)?")
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -63,30 +67,33 @@ class Vocabulary:
         at[at == len(self.pair_keys)] = 0
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NONE)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, whatever their sizes."""
-        out: list = [None] * len(pieces)
-        classes: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            whole = self.ids.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole], np.int64)
-            elif not piece:
-                out[i] = np.zeros(0, np.int64)
-            else:
-                classes.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for width, members in classes.items():
-            step = max(1, (1 << 19) // width)
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces one after another, and the number of ids of each piece."""
+        n = len(pieces)
+        whole = np.array([self.ids.get(p, -1) for p in pieces], np.int64)  # a piece that is a token needs no merge
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        counts = (whole >= 0).astype(np.int64)
+        done = [(np.flatnonzero(whole >= 0), whole[whole >= 0], counts[whole >= 0])]
+        open_ = np.flatnonzero((whole < 0) & (sizes > 0))
+        widths = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        for width in np.unique(widths[open_]).tolist():
+            members = open_[widths[open_] == width]
+            step = max(1, (1 << 16) // width)
             for k in range(0, len(members), step):
                 some = members[k:k + step]
-                for i, ids in zip(some, self._merge([pieces[i] for i in some], width)):
-                    out[i] = ids
-        return out
-
-    def _merge(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+                ids, kept = self._merge([pieces[i] for i in some.tolist()], width)
+                counts[some] = kept
+                done.append((some, ids, kept))
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.uint32)
+        for some, ids, kept in done:
+            flat[np.repeat(starts[some] - (np.cumsum(kept) - kept), kept) + np.arange(len(ids))] = ids
+        return flat, counts
+
+    def _merge(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Merges pieces of at most `width` bytes, a power of two; one segment tree per piece."""
         n = len(pieces)
-        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
         size = np.array([len(p) for p in pieces], np.int64)
         place = np.arange(width, dtype=np.int64)
         token = np.where(place < size[:, None], self.single[data], -1)  # id that starts here, or -1
@@ -111,16 +118,18 @@ class Vocabulary:
             after[alive, at] = beyond
             inside = beyond < width
             before[alive[inside], beyond[inside]] = at[inside]
-            self._put(tree, alive, right, np.full(len(alive), NONE), width)
             follower = np.where(inside, token[alive, np.minimum(beyond, width - 1)], -1)
-            self._put(tree, alive, at, self._leaf(rank, follower, at, width), width)
             left = before[alive, at]
             some = left >= 0
             rows, left = alive[some], left[some]
-            self._put(tree, rows, left, self._leaf(token[rows, left], rank[some], left, width), width)
+            # point updates: the right part's pair is gone, the merged part and its left neighbour have new ones
+            self._put(tree, np.concatenate([alive, alive, rows]), np.concatenate([right, at, left]), np.concatenate(
+                [np.full(len(alive), NONE), *np.split(self._leaf(
+                    np.concatenate([rank, token[rows, left]]), np.concatenate([follower, rank[some]]),
+                    np.concatenate([at, left]), width), [len(alive)])]), width)
             alive = alive[tree[alive, 1] < NONE]
-        flat, kept = token.ravel(), token >= 0
-        return np.split(flat[kept.ravel()], np.cumsum(kept.sum(axis=1))[:-1])
+        kept = token >= 0
+        return token[kept], kept.sum(axis=1)
 
     def _leaf(self, left, right, at, width):
         ranks = self.ranks(left, right)
@@ -128,7 +137,7 @@ class Vocabulary:
 
     @staticmethod
     def _put(tree, rows, at, value, width):
-        """Point update: a leaf of each named tree, then the nodes above it."""
+        """Point updates: distinct leaves of the named trees, then the nodes above them."""
         node = at + width
         tree[rows, node] = value
         while width > 1:
@@ -152,31 +161,54 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts by a vocabulary; remembers at most `remember` distinct stretches."""
+    """Encodes texts by a vocabulary; remembers at most about `remember` distinct stretches."""
 
-    def __init__(self, vocab: Vocabulary, remember: int = 150_000):
+    def __init__(self, vocab: Vocabulary, remember: int = 300_000):
         self.vocab, self.remember, self.known = vocab, remember, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = []
-        for text in texts:
-            first, *rest = CUT.split(text)
-            cuts.append([first, *(" " + x for x in rest)] if first or rest else [])
-        if len(self.known) > self.remember:
-            self.known = {}
-        fresh = {c for x in cuts for c in x if c not in self.known}
+        cuts = [self._cut(t) for t in texts]
+        known = self.known
+        rows = [list(map(known.get, x)) for x in cuts]
+        lacking = [i for i, row in enumerate(rows) if None in row]
+        fresh = {c for i in lacking for c, r in zip(cuts[i], rows[i]) if r is None}
+        if len(known) + len(fresh) > self.remember:
+            known.clear()
         if fresh:
             self._learn(list(fresh))
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in x]), np.uint32) for x in cuts]
-
-    def _learn(self, chunks: list[str]) -> None:
-        pieces = [self.vocab.split.findall(c) for c in chunks]
-        distinct = list({p for x in pieces for p in x})
-        ids = dict(zip(distinct, self.vocab.encode_pieces([p.encode("utf-8", "surrogatepass") for p in distinct])))
-        for chunk, x in zip(chunks, pieces):
-            row = ids[x[0]] if len(x) == 1 else np.concatenate([ids[p] for p in x])
-            self.known[chunk] = row.astype(np.uint32).tobytes()
+            for i in lacking:
+                rows[i] = [known[c] if r is None else r for c, r in zip(cuts[i], rows[i])]
+        return [np.frombuffer(b"".join(row), np.uint32) for row in rows]
+
+    @staticmethod
+    def _cut(text: str) -> list:
+        """The text in stretches that the split pattern never crosses: the first in a tuple, others without their space."""
+        first, *rest = CUT.split(text) if ODD_SPACES.search(text) else text.split(" ")
+        return [(first,), *rest]
+
+    def _learn(self, chunks: list) -> None:
+        split, number, at = self.vocab.split.findall, {}, []
+        sizes = []
+        for chunk in chunks:
+            chunk = " " + chunk if isinstance(chunk, str) else chunk[0]
+            plain = PLAIN.fullmatch(chunk)
+            if plain is None:
+                pieces = split(chunk)
+            else:
+                pieces = plain.groups() if plain[2] else plain.groups()[:1]
+            sizes.append(len(pieces))
+            for piece in pieces:
+                at.append(number.setdefault(piece, len(number)))
+        flat, counts = self.vocab.encode_pieces([p.encode("utf-8", "surrogatepass") for p in number])
+        # the ids of the pieces of each stretch, one stretch after another
+        at = np.array(at, np.int64)
+        starts = (np.cumsum(counts) - counts)[at]
+        counts = counts[at]
+        row = flat[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))].tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        ends = ends.tolist()
+        for chunk, a, b in zip(chunks, ends, ends[1:]):
+            self.known[chunk] = row[a:b]
 
 
 def groups(texts: list[str], most: int = 1 << 21):
