@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
-    "op3_exact_topk": "topk", "op4_warc": "warc", "op6_byte_bpe": "byte_bpe",
+    "op3_exact_topk": "topk", "op4_warc": "warc", "op6_byte_bpe": "byte_bpe", "op10_ngram_jaccard": "jaccard",
+    "op2_language_id": "language",
 }
 
 QUERIES, SQL = {}, {}
