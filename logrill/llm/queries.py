@@ -6,7 +6,7 @@ import importlib
 
 NAMES = {
     "op3_exact_topk": "topk", "op4_warc": "warc", "op6_byte_bpe": "byte_bpe", "op10_ngram_jaccard": "jaccard",
-    "op1_secrets": "secrets", "op2_language_id": "language", "op5_quality": "quality", "op8_toxicity": "toxicity",
+    "op1_secrets": "secrets", "op2_language_id": "language", "op5_quality": "quality", "op8_toxicity": "toxicity", "op9_decontamination": "decontaminate",
 }
 
 QUERIES, SQL = {}, {}
