@@ -5,8 +5,9 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
-    "op3_exact_topk": "topk", "op4_warc": "warc", "op6_byte_bpe": "byte_bpe", "op10_ngram_jaccard": "jaccard",
-    "op1_secrets": "secrets", "op2_language_id": "language", "op5_quality": "quality", "op8_toxicity": "toxicity", "op9_decontamination": "decontaminate",
+    "op1_secrets": "secrets", "op2_language_id": "language", "op3_exact_topk": "topk", "op4_warc": "warc",
+    "op5_quality": "quality", "op6_byte_bpe": "byte_bpe", "op7_suffix_dedup": "suffixes", "op8_toxicity": "toxicity",
+    "op9_decontamination": "decontaminate", "op10_ngram_jaccard": "jaccard",
 }
 
 QUERIES, SQL = {}, {}

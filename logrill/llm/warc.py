@@ -68,8 +68,8 @@ def _transaction(page_id, url, payload: bytes, first, date: str, least: int) ->
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z",
-                   archive_bytes: int = 16 << 20) -> None:
-    """Writes gzip archives below `path`, of about `archive_bytes` of payload each.
+                   archive_records: int = 6000) -> None:
+    """Writes gzip archives below `path`, of at most `archive_records` records each.
 
     `pages` has page_id, url and html. A null html is an empty payload, a null
     url becomes urn:page:<page_id>. Of rows with equal payloads of at least
@@ -89,16 +89,21 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
 
     def run(batches):
         for batch in batches:
-            lines = []
-            for page_id, url, payload, one in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            lines, size = [], 0
+            for row in zip(*(batch.column(i) for i in range(4))):
+                page_id, url, payload, one = (x.as_py() for x in row)
                 lines += _transaction(page_id, url, payload, one, date, least)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
-
-    total = pages.agg(F.sum(F.length("payload"))).first()[0] or 0
-    files = max(1, -(-total // archive_bytes))
-    lines = rows.repartition(files).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+                size += len(payload)
+                if size > 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+                    lines, size = [], 0
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+
+    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     # the separator of lines is what closes a record, so the text files are archives
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    (lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+     .option("maxRecordsPerFile", archive_records).text(path))
 
 
 def _chunks(content: bytes, size: int = 1 << 20):
