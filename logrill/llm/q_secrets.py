@@ -11,14 +11,14 @@ def _joined(spans):
 
 
 def query(spark, sf_dir):
-    found = scan(table(spark, sf_dir, "documents"), [*BASE, *MORE])
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), [*BASE, *MORE])
     kinds = [r.kind for r in BASE]
     base = F.filter("spans", lambda s: s["rule"] < len(BASE))
 
     def n(i):
         return F.size(F.filter("spans", lambda s: s["rule"] == i)).cast("long").alias(f"n_{kinds[i]}")
 
-    return found.select("doc_id", n(0), n(1), n(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("row.doc_id", n(0), n(1), n(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def _quoted(regex: str) -> str:

@@ -155,25 +155,41 @@ def _named(n: int, kind: str):
 
 
 def scan(docs: DataFrame, rules: list[Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and `spans` (array of kind, start, end; by start, then by the order of the rules) of every row.
+    """`row` (a struct of all columns) and `spans` (array of start, rule, end, kind; sorted) of every row.
 
     A null text has no span; a null key is looked at by every rule, as the
     index cannot name it. Rows of a repeated key are verified each on its own.
+    An empty table gives no row.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
-    base = docs.select(F.col(key), F.col(text).alias("_text"))
+    base = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     if indexed:
         trigrams = sorted({t for q in indexed.values() for x in q for t in x})
-        found = candidates(postings(docs, key, text, trigrams), key, indexed)
-        base = base.join(found, key, "left")
+        found = candidates(postings(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text", trigrams),
+                           "_key", indexed)
+        base = base.join(found, "_key", "left")
     spans = []
     for n, rule in enumerate(rules):
-        look = F.lit(True) if rule.kind not in indexed else F.col(key).isNull() | F.coalesce(
+        look = F.lit(True) if rule.kind not in indexed else F.col("_key").isNull() | F.coalesce(
             F.array_contains("kinds", rule.kind), F.lit(False))
         kind = F.when(look, F.transform(matches(F.coalesce("_text", F.lit("")), rule), _named(n, rule.kind)))
         spans.append(F.coalesce(kind, F.array().cast("array<struct<start:bigint,rule:int,end:bigint,kind:string>>")))
-    return base.select(key, F.array_sort(F.concat(*spans)).alias("spans"))
+    return base.select("row", F.array_sort(F.concat(*spans)).alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with [kind] in place of each span; of spans that overlap the first is named and all are cut out."""
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state, s):
+        before = text.substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        apart = F.concat(state["parts"], F.array(F.concat(before, F.lit("["), s["kind"], F.lit("]"))))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
+                        F.when(s["start"] >= state["at"], apart).otherwise(state["parts"]).alias("parts"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, nothing, step, lambda s: F.concat(
+        F.array_join(s["parts"], ""), text.substr((s["at"] + 1).cast("int"), F.length(text)))))
 
 
 def letters(word: str) -> str:
