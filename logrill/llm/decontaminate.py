@@ -4,9 +4,9 @@ Words are canonicalised to a template: numbers, units after a number and names
 inside a sentence become typed placeholders, other words are lower-cased. Every
 window of `width` template words is hashed; windows of documents meet those of
 benchmark items in a hash join. A question that is asked again with other
-numbers or names keeps its template, so its windows meet, too; it counts only
-if its slots are consistent: wherever the item repeats a value the document
-repeats one, and the other way round.
+numbers or names keeps its template, so its windows meet, too. A window counts
+only if its slots are consistent: wherever the item repeats a value the document
+repeats one, the other way round, and in all windows of the two alike.
 """
 
 from __future__ import annotations
@@ -103,10 +103,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                      F.slice("raw", F.col("at") + 1, width).alias("d_raw"))
     met = met.select(key, "hash", "d_form", _slots(F.col("d_raw"), F.col("d_form")).alias("d_slots")).distinct()
     pairs = met.join(asked, "hash").where(F.col("d_form") == F.col("form"))
-    # consistent: equal slots of the item have equal values in the document, and the other way round
+    # consistent in a window: equal slots of the item have equal values in the document, and the other way round
     both = F.array_distinct(F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d")))
-    consistent = (F.size(F.array_distinct("slots")) == F.size(both)) & (F.size(F.array_distinct("d_slots")) == F.size(both))
-    held = (pairs.where(consistent).groupBy(key, item, "hash").agg(F.max(F.col("slots") == F.col("d_slots")).alias("same"))
+    pairs = pairs.select(key, item, "hash", "slots", "d_slots", both.alias("both")).where(
+        (F.size(F.array_distinct("slots")) == F.size("both")) & (F.size(F.array_distinct("d_slots")) == F.size("both")))
+    # and over all windows of the pair: each value of the item stands for the value it meets most often (ties: the last)
+    votes = pairs.select(key, item, F.explode("both").alias("b")).groupBy(key, item, "b.i", "b.d").agg(F.count("*").alias("n"))
+    meant = votes.groupBy(key, item, "i").agg(F.max(F.struct("n", "d")).alias("best"))
+    meant = meant.groupBy(key, item).agg(F.map_from_entries(F.collect_list(F.struct("i", "best.d"))).alias("meant"))
+    agreed = pairs.join(meant, [key, item], "left").where(F.forall("both", lambda b: F.col("meant")[b["i"]] == b["d"]))
+    held = (agreed.groupBy(key, item, "hash").agg(F.max(F.col("slots") == F.col("d_slots")).alias("same"))
             .groupBy(key, item).agg(F.count("*").alias("n_windows"), F.min("same").alias("slots_equal")))
     return (held.join(counts, item).withColumn("share", F.col("n_windows") / F.col("n_item_windows"))
             .where(F.col("share") >= share)

@@ -36,9 +36,17 @@ WITH i AS (SELECT item_id, f, arg_min(s, pos) AS s FROM ({_windows('benchmark',
     AND len(list_distinct(list_filter(f, lambda w: w NOT IN {_MARKS}))) >= 3 GROUP BY ALL),
 n AS (SELECT item_id, count(*) AS n_item_windows FROM i GROUP BY ALL),
 d AS ({_windows('documents', 'doc_id')}),
-p AS (SELECT doc_id, item_id, f, max(i.s = d.s) AS same FROM d JOIN i USING (f)
+w AS (SELECT DISTINCT doc_id, item_id, f, i.s AS i, d.s AS d FROM d JOIN i USING (f)
   WHERE len(list_distinct(i.s)) = len(list_distinct(list_zip(i.s, d.s)))
-    AND len(list_distinct(d.s)) = len(list_distinct(list_zip(i.s, d.s))) GROUP BY ALL),
+    AND len(list_distinct(d.s)) = len(list_distinct(list_zip(i.s, d.s)))),
+v AS (SELECT DISTINCT doc_id, item_id, f, i AS si, d AS sd, unnest(i) AS i, unnest(d) AS d FROM w),
+c AS (SELECT doc_id, item_id, i, d, row_number() OVER (PARTITION BY doc_id, item_id, i ORDER BY count(*) DESC, d DESC) AS r
+  FROM v GROUP BY doc_id, item_id, i, d),
+o AS (SELECT DISTINCT v.doc_id, v.item_id, v.si, v.sd, v.f FROM v JOIN c ON c.r = 1 AND v.doc_id = c.doc_id
+  AND v.item_id = c.item_id AND v.i = c.i AND v.d <> c.d),
+p AS (SELECT doc_id, item_id, f, max(i = d) AS same FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = w.doc_id AND o.item_id = w.item_id AND o.f = w.f AND o.si = w.i AND o.sd = w.d)
+  GROUP BY ALL),
 h AS (SELECT doc_id, item_id, count(*) AS n_windows, min(same) AS slots_equal FROM p GROUP BY ALL)
 SELECT doc_id, item_id, n_windows, n_item_windows, n_windows / n_item_windows AS share, slots_equal
 FROM h JOIN n USING (item_id) WHERE n_windows / n_item_windows >= 0.5
