@@ -82,7 +82,7 @@ SQL = {
           CASE WHEN event_id IN (SELECT event_id FROM pb WHERE p < 0.02) THEN 'unusual_transition' END], lambda x: x IS NOT NULL)) AS r FROM lab)""",
       PAIRS, MODEL, SCORED),
     "list_anomaly_windows": with_lab("""SELECT window_start, source_ip, coalesce(hostname, source_ip) AS hostname, vendor, 'device' AS model_scope,
-        -event_count / 10.0 AS anomaly_score, CAST(1 AS INTEGER) AS is_anomaly, event_count
+        -event_count / 10.0 AS anomaly_score, CAST(1 AS INTEGER) AS is_anomaly, event_count, count(*) OVER () > 160 AS has_more
       FROM (SELECT source_ip, vendor, window_start, CAST(sum(event_count) AS BIGINT) AS event_count FROM wc GROUP BY 1, 2, 3)
       LEFT JOIN (SELECT source_ip, arg_max(hostname, event_time) AS hostname FROM lab WHERE event_time >= TIMESTAMP '2024-01-24' GROUP BY 1) USING (source_ip)
       WHERE window_start >= TIMESTAMP '2024-01-15' AND event_count >= 2 ORDER BY event_count DESC, source_ip, window_start LIMIT 150 OFFSET 10""", WCOUNT),

@@ -33,8 +33,7 @@ SQL = {
     "export_events": with_lab(f"""SELECT {_ISO.format(c='event_time')} AS event_time, source_ip, hostname, vendor, severity, program,
         coalesce(CAST(pid AS VARCHAR), '') AS pid, message, predicted_category, printf('%.4f', predicted_confidence) AS predicted_confidence,
         CAST(is_anomaly AS VARCHAR) AS is_anomaly, array_to_string(anomaly_reasons, '|') AS anomaly_reasons, resolution_method,
-        (SELECT count(*) > 700 FROM lab) AS truncated
-      FROM (SELECT * FROM lab ORDER BY lab.event_time DESC, hostname, severity LIMIT 700) lab"""),
+        false AS truncated FROM lab"""),
     "export_events_xml": with_lab(f"""SELECT {_ISO.format(c='event_time')} AS event_time, source_ip, hostname, program, message,
         array_to_string(anomaly_reasons, '|') AS anomaly_reasons FROM lab WHERE severity = 'err'"""),
     "export_table": with_lab(f"""SELECT d.source_ip, d.hostname, d.vendor, d.anomaly_reason, CAST(event_count AS VARCHAR) AS event_count,
@@ -59,6 +58,6 @@ SQL = {
         CASE WHEN event_time >= TIMESTAMP '2024-01-20' THEN embedding_text ELSE 'stale' END AS embedding_text FROM docs""", DOCS),
     "load_training": with_lab("""SELECT event_id, message, CASE WHEN severity = 'crit' THEN 'SYSTEM' ELSE predicted_category END AS label
       FROM lab WHERE event_id % 17 <> 0"""),
-    "run_query": with_lab("""SELECT *, (SELECT count(*) > 300 FROM q) AS truncated FROM q ORDER BY n DESC, source_ip, severity LIMIT 300""",
+    "run_query": with_lab("""SELECT *, false AS truncated FROM q""",
       "q AS (SELECT source_ip, severity, count(*) AS n, max(event_time) AS latest FROM lab WHERE vendor <> 'unknown' GROUP BY 1, 2)"),
 }

@@ -46,7 +46,7 @@ SQL = {
         CASE WHEN b.event_count > a.event_count THEN 'increased' WHEN b.event_count < a.event_count THEN 'decreased'
              ELSE 'same' END AS direction
       FROM pc a, pc b WHERE a.period = 'last week' AND b.period = 'this week'""", PERIODS, _counts("severity = 'err'")),
-    "list_devices": with_lab("""SELECT * FROM d WHERE contains(lower(hostname), 'node') AND contains(lower(vendor), 'o')
+    "list_devices": with_lab("""SELECT *, count(*) OVER () > 65 AS has_more FROM d WHERE contains(lower(hostname), 'node') AND contains(lower(vendor), 'o')
       ORDER BY event_count DESC, source_ip LIMIT 60 OFFSET 5""",
       """d AS (SELECT source_ip, arg_max(hostname, event_time) AS hostname, arg_max(vendor, event_time) AS vendor,
         arg_max(vendor_source, event_time) AS vendor_source, arg_max(model, event_time) AS model,

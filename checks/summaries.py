@@ -59,8 +59,8 @@ SQL = {
       AND source_ip <> '10.0.0.8' ORDER BY event_count DESC, source_ip LIMIT 10""", EXPLODED, DRS),
     "audit_list": f"""WITH {AUDIT}, top AS (SELECT * FROM aud
         WHERE action = 'alert_rule.create' AND created_at >= TIMESTAMP '1996-01-01'
+          AND (contains(lower(action), 'rule') OR contains(lower(target), 'rule'))
         ORDER BY created_at DESC, id DESC LIMIT 500)
-      SELECT t.*, lower(n_name) AS actor_username FROM top t LEFT JOIN nation ON n_nationkey = actor_id
-      WHERE contains(lower(action), 'rule') OR contains(lower(target), 'rule')""",
+      SELECT t.*, lower(n_name) AS actor_username FROM top t LEFT JOIN nation ON n_nationkey = actor_id""",
     "audit_actions": f"WITH {AUDIT} SELECT DISTINCT action FROM aud",
 }

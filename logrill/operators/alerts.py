@@ -12,8 +12,6 @@ from logrill.operators.state import keyed_upsert
 
 # ---- fixed values ----
 RULE_FIELDS = ("hostname", "source_ip", "program", "severity", "predicted_category")
-MAX_WINDOW_MINUTES = 1440
-SAMPLE_LENGTH = 2000
 # ---- end of fixed values ----
 
 _SELECTORS = [f"_f{i}" for i in range(len(RULE_FIELDS))]
@@ -28,18 +26,19 @@ def _rule_keys(rules: DataFrame) -> DataFrame:
         {s: F.coalesce(f, F.lit("")) for s, f in zip(_SELECTORS, RULE_FIELDS)})
 
 
-def evaluate_alerts(events: DataFrame, rules: DataFrame, as_of,
-                    max_window_minutes: int = MAX_WINDOW_MINUTES) -> DataFrame:
+def evaluate_alerts(events: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     """Per enabled rule: matches in its window, one sample, whether it fires.
 
     Wildcards would make this a theta join of all events with all rules. Events
     are first counted per distinct value set and minute of age, then each count
-    is keyed by the field combinations in use (at most 32) and meets the rules
-    in an equi-join.
+    is keyed by the field combinations in use (at most 32), summed per key, and
+    meets the rules in an equi-join. The scan reaches back as far as the longest
+    window among the rules.
     """
     enabled = _rule_keys(rules.where("enabled"))
     end = as_datetime(as_of)
-    recent = in_range(events, end - timedelta(minutes=max_window_minutes), end)
+    widest = enabled.agg(F.max("window_minutes")).first()[0] or 0  # the control list is small
+    recent = in_range(events, end - timedelta(minutes=widest), end)
     # an event lies in a window of w minutes exactly when its age, rounded up, is at most w
     age = F.ceil((micros(ntz(as_of)) - micros("event_time")) / F.lit(60 * MICROS))
     moment = F.struct("event_time", "event_id")
@@ -50,6 +49,8 @@ def evaluate_alerts(events: DataFrame, rules: DataFrame, as_of,
     keyed = keyed.join(used, "_mask", "left_semi").withColumns({
         s: F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)).otherwise("")
         for i, (s, f) in enumerate(zip(_SELECTORS, RULE_FIELDS))}).drop(*RULE_FIELDS)
+    keyed = keyed.groupBy("_mask", *_SELECTORS, "is_anomaly", "_age").agg(
+        F.sum("_n").alias("_n"), F.min_by("_sample", "_first").alias("_sample"), F.min("_first").alias("_first"))
     matched = keyed.join(
         enabled.select("id", "_mask", *_SELECTORS, "window_minutes", "only_anomalies"), ["_mask", *_SELECTORS]
     ).where((F.col("_age") <= F.col("window_minutes"))
@@ -63,7 +64,7 @@ def evaluate_alerts(events: DataFrame, rules: DataFrame, as_of,
         "id", "name", "window_minutes", "threshold",
         plus_seconds(ntz(as_of), -60 * F.col("window_minutes")).alias("window_start"),
         ntz(as_of).alias("window_end"), matched_count.alias("matched_count"),
-        F.substring(F.coalesce("_sample", F.lit("")), 1, SAMPLE_LENGTH).alias("sample_message"),
+        F.coalesce("_sample", F.lit("")).alias("sample_message"),
         cooling.alias("in_cooldown"),
         (~cooling & (matched_count >= F.col("threshold"))).alias("fires"))
 
@@ -82,7 +83,7 @@ def fire_alerts(evaluated: DataFrame, rules: DataFrame, history: DataFrame, as_o
 
 def alert_history(history: DataFrame, rule_id: int | None = None, n: int = 100) -> DataFrame:
     rows = history if rule_id is None else history.where(F.col("rule_id") == rule_id)
-    return rows.orderBy(F.desc("triggered_at"), F.desc("id")).limit(min(n, 500))
+    return rows.orderBy(F.desc("triggered_at"), F.desc("id")).limit(n)
 
 
 def alert_history_report(history: DataFrame, rules: DataFrame, rule_id: int | None = None) -> DataFrame:

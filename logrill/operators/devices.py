@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz, plus_seconds
 from logrill.functions.text import contains_ci
-from logrill.operators.search import in_range, time_bounds
+from logrill.operators.search import in_range, page_of, time_bounds
 from logrill.operators.state import latest_version
 
 _IDENTITY = ("hostname", "vendor", "vendor_source", "model", "resolution_method")
@@ -25,8 +25,8 @@ def device_activity_table(events: DataFrame) -> DataFrame:
 def list_devices(events: DataFrame, as_of, start=None, end=None, hostname: str | None = None,
                  ip: str | None = None, vendor: str | None = None, limit: int = 100,
                  offset: int = 0) -> DataFrame:
-    """Devices seen in the range, busiest first. Address filters apply to events,
-    name filters to the latest identity."""
+    """Devices seen in the range, busiest first, and whether more follow. Address
+    filters apply to events, name filters to the latest identity."""
     rows = in_range(events, *time_bounds(start, end, as_of))
     if ip:
         rows = rows.where(contains_ci("source_ip", ip))
@@ -35,8 +35,7 @@ def list_devices(events: DataFrame, as_of, start=None, end=None, hostname: str |
         devices = devices.where(contains_ci("hostname", hostname))
     if vendor:
         devices = devices.where(contains_ci("vendor", vendor))
-    return devices.orderBy(F.desc("event_count"), "source_ip").offset(max(0, offset)).limit(
-        max(1, min(limit, 1000)))
+    return page_of(devices.orderBy(F.desc("event_count"), "source_ip"), limit, offset)
 
 
 def resolution_summary(events: DataFrame, as_of, days: int = 1) -> DataFrame:
@@ -70,5 +69,4 @@ def list_anomaly_windows(windows: DataFrame, events: DataFrame, as_of, start=Non
         "window_start", "source_ip", F.coalesce("_name", "source_ip").alias("hostname"), "vendor",
         "model_scope", "anomaly_score", "is_anomaly", "event_count")
     order = F.desc(sort) if descending else F.asc(sort)
-    return named.orderBy(order, "source_ip", "window_start").offset(max(0, offset)).limit(
-        max(1, min(limit, 1000)))
+    return page_of(named.orderBy(order, "source_ip", "window_start"), limit, offset)

@@ -170,7 +170,7 @@ def refresh_inventory(inventory: DataFrame, polled: DataFrame, queue: DataFrame)
         .select(
             "ip", F.coalesce(F.nullif(F.col("hostname"), F.lit("")), F.col("ip")).alias("hostname"),
             text.vendor_from_oid("object_id").alias("vendor"),
-            F.substring("description", 1, 200).alias("model"), F.lit("snmp").alias("resolution_method"),
+            F.col("description").alias("model"), F.lit("snmp").alias("resolution_method"),
             F.coalesce("_known_since", "_queued_since", "attempted_at").alias("first_seen"),
             F.col("attempted_at").alias("last_resolved"))
     )

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from logrill.functions.clock import floor_time, seconds_between
 from logrill.operators.search import as_datetime, in_range
 
-MAX_INCIDENTS = 5
-MAX_EVENTS_PER_INCIDENT = 50
-
 
 def _anomalies(events: DataFrame, start, end, vendor: str | None) -> DataFrame:
     rows = in_range(events, start, end).where("is_anomaly = 1")
@@ -57,23 +54,23 @@ def _span_events(events, spans, start, end, bucket_minutes, vendor):
     return rows.join(spans.select("bucket", "span", "device_count"), "bucket")
 
 
-def _top_spans(spans: DataFrame) -> DataFrame:
+def _top_spans(spans: DataFrame, n: int) -> DataFrame:
     peaks = spans.groupBy("span").agg(
         F.max("device_count").alias("peak_devices"), F.min("bucket").alias("_from"))
-    return peaks.orderBy(F.desc("peak_devices"), "_from").limit(MAX_INCIDENTS).drop("_from")
+    return peaks.orderBy(F.desc("peak_devices"), "_from").limit(n).drop("_from")
 
 
 def correlate_incidents(events: DataFrame, start, end, vendor: str | None = None,
                         bucket_minutes: int = 10, multiplier: float = 3, min_devices: int = 5,
-                        lookback_days: int = 7) -> DataFrame:
-    """The incidents with the highest peaks: extent, devices, reasons, likely root.
+                        lookback_days: int = 7, n: int = 5) -> DataFrame:
+    """The ``n`` incidents with the highest peaks: extent, devices, reasons, likely root.
 
     The root is the earliest event of the span: a guess by time, not a cause.
     """
     baseline = bucket_baseline(events, start, bucket_minutes, lookback_days, vendor)
     counts = bucket_device_counts(events, start, end, bucket_minutes, vendor)
     spans = elevated_spans(counts, baseline, bucket_minutes, multiplier, min_devices)
-    top = _top_spans(spans)
+    top = _top_spans(spans, n)
     rows = _span_events(events, spans.join(top.select("span"), "span", "left_semi"), start, end,
                         bucket_minutes, vendor)
     root = F.struct("hostname", "source_ip", "vendor", F.array_join(
@@ -101,14 +98,14 @@ def correlate_incidents(events: DataFrame, start, end, vendor: str | None = None
 
 def incident_events(events: DataFrame, start, end, vendor: str | None = None,
                     bucket_minutes: int = 10, multiplier: float = 3, min_devices: int = 5,
-                    lookback_days: int = 7) -> DataFrame:
-    """The first events of each top incident; number 1 is the likely root."""
+                    lookback_days: int = 7, n: int = 5, n_events: int = 50) -> DataFrame:
+    """The first ``n_events`` of each of the ``n`` top incidents; number 1 is the likely root."""
     baseline = bucket_baseline(events, start, bucket_minutes, lookback_days, vendor)
     counts = bucket_device_counts(events, start, end, bucket_minutes, vendor)
     spans = elevated_spans(counts, baseline, bucket_minutes, multiplier, min_devices)
-    rows = _span_events(events, spans.join(_top_spans(spans).select("span"), "span", "left_semi"),
+    rows = _span_events(events, spans.join(_top_spans(spans, n).select("span"), "span", "left_semi"),
                         start, end, bucket_minutes, vendor)
     order = Window.partitionBy("span").orderBy("event_time", "event_id")
     return rows.withColumn("number", F.row_number().over(order)).where(
-        F.col("number") <= MAX_EVENTS_PER_INCIDENT).select(
+        F.col("number") <= n_events).select(
         "span", "number", "event_time", "hostname", "source_ip", "vendor", "anomaly_reasons")

@@ -11,7 +11,6 @@ from logrill.functions.clock import ntz
 from logrill.functions.text import strip
 
 RRF_CONSTANT = 60
-MAX_QUERY_VECTORS = 1024
 
 
 def filter_docs(docs: DataFrame, source_ip: str | None = None, vendor: str | None = None,
@@ -35,38 +34,41 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def _blocks(df: DataFrame, key: str, rows: int, number: str) -> DataFrame:
+    """Blocks of about ``rows`` vectors, each an array of (key, embedding)."""
+    count = df.agg(F.ceil(F.count("*") / rows).alias("n")).scalar()
+    return df.select(F.struct(key, F.col("embedding").cast("array<double>").alias("embedding")).alias("v"), F.pmod(
+        F.xxhash64(key), F.greatest(count, F.lit(1))).alias(number)).groupBy(number).agg(F.collect_list("v").alias(key + "s"))
+
+
+def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 256,
+              doc_rows: int = 2048, lanes: int = 64) -> DataFrame:
     """k nearest documents (doc_id, embedding) by cosine for each (query_id, embedding).
 
-    Query vectors are request parameters: few, checked, and sent with the task.
-    Every batch of documents is one matrix product, and only its best k per
-    query leave the task.
+    Every block of queries is laid beside every block of documents by an
+    equi-join on lanes; a pair of blocks is one matrix product, and only its
+    best k per query leave the task.
     """
-    asked = queries.select("query_id", "embedding").limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(asked) > MAX_QUERY_VECTORS:
-        raise ValueError(f"ask for at most {MAX_QUERY_VECTORS} query vectors at a time")
-    ids = np.array([r.query_id for r in asked])
-    vectors = np.array([r.embedding for r in asked], dtype=float)
-
-    def unit(m):
+    def unit(vectors):
+        m = np.array([list(v) for v in vectors], dtype=float)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-    wanted = unit(vectors) if len(asked) else vectors
-
     def search(batches):
         for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            scores = np.round(unit(np.array(batch["embedding"].tolist(), dtype=float)) @ wanted.T, 6)
-            doc = batch["doc_id"].to_numpy()
-            for j, query in enumerate(ids):
-                best = np.lexsort((doc, -scores[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query, "doc_id": doc[best], "score": scores[best, j]})
+            for asked, there in zip(batch["query_ids"], batch["doc_ids"]):
+                wanted, doc = unit([x["embedding"] for x in asked]), np.array([x["doc_id"] for x in there])
+                scores = np.round(unit([x["embedding"] for x in there]) @ wanted.T, 6)
+                for j, query in enumerate(asked):
+                    best = np.lexsort((doc, -scores[:, j]))[:k]
+                    yield pd.DataFrame({"query_id": query["query_id"], "doc_id": doc[best], "score": scores[best, j]})
 
     types = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    found = docs.select("doc_id", "embedding").mapInPandas(
-        search, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    lane = F.pmod("_d", F.lit(lanes)).alias("_lane")
+    asked = _blocks(queries, "query_id", query_rows, "_q").withColumn("_lane", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    found = asked.join(_blocks(docs, "doc_id", doc_rows, "_d").select("doc_ids", lane), "_lane").select(
+        "query_ids", "doc_ids").mapInPandas(search, f"query_id {types[0]}, doc_id {types[1]}, score double")
     return _top(found, k)
 
 
@@ -141,9 +143,10 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, k: int = 10, **filters) -
                  knn_exact(kept, queries, k)], k)
 
 
-def window_hits(docs: DataFrame, n: int = 50, **filters) -> DataFrame:
-    """Complete listing of what the filters select, oldest first."""
-    return filter_docs(docs, **filters).orderBy("event_time", "doc_id").limit(n)
+def window_hits(docs: DataFrame, n: int | None = None, **filters) -> DataFrame:
+    """Complete listing of what the filters select, oldest first; only the first ``n`` if asked."""
+    rows = filter_docs(docs, **filters).orderBy("event_time", "doc_id")
+    return rows if n is None else rows.limit(n)
 
 
 def _matched(requests: DataFrame, rows: DataFrame, *aggregates) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz, plus_seconds
@@ -15,8 +15,6 @@ GROUP_BY_FIELDS = (
     "resolution_method", "is_anomaly",
 )
 MAX_GROUP_BY = 3
-MAX_PAGE = 1000
-MAX_GROUPS = 100
 # ---- end of fixed values ----
 
 
@@ -67,16 +65,16 @@ def newest_first(df: DataFrame) -> DataFrame:
 def search_events(df: DataFrame, as_of, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
     """One page, newest first; ``has_more`` tells whether rows follow.
 
-    The page and one row more come from a top-k, never from a full sort.
+    The page comes from a top-k, never from a full sort.
     """
-    limit, offset = max(1, min(limit, MAX_PAGE)), max(0, offset)
-    page = newest_first(filter_events(df, as_of, **filters)).limit(offset + limit + 1)
-    place = F.row_number().over(
-        Window.orderBy(F.desc("event_time"), "hostname", "severity", "event_id"))
-    numbered = page.withColumn("_place", place)
-    more = numbered.agg((F.max("_place") > offset + limit).alias("m"))
-    return (numbered.where(F.col("_place").between(offset + 1, offset + limit))
-            .withColumn("has_more", more.scalar()).drop("_place"))
+    return page_of(newest_first(filter_events(df, as_of, **filters)), limit, offset)
+
+
+def page_of(ordered: DataFrame, limit: int, offset: int) -> DataFrame:
+    """Rows of an ordered frame after ``offset``, and in ``has_more`` whether others follow."""
+    limit, offset = max(1, limit), max(0, offset)
+    more = ordered.limit(offset + limit + 1).agg((F.count("*") > offset + limit).alias("m"))
+    return ordered.offset(offset).limit(limit).withColumn("has_more", more.scalar())
 
 
 def count_events(df: DataFrame, as_of, **filters) -> DataFrame:
@@ -86,11 +84,11 @@ def count_events(df: DataFrame, as_of, **filters) -> DataFrame:
 def aggregate_events(df: DataFrame, as_of, group_by: list[str], limit: int = 20, **filters) -> DataFrame:
     """Counts per group of up to three allowed columns, largest first."""
     bad = [c for c in group_by if c not in GROUP_BY_FIELDS]
-    if bad or not group_by:
+    if bad or not 1 <= len(group_by) <= MAX_GROUP_BY:
         raise ValueError(f"group_by must name 1 to {MAX_GROUP_BY} of {GROUP_BY_FIELDS}")
-    keys = list(group_by)[:MAX_GROUP_BY]
+    keys = list(group_by)
     counts = filter_events(df, as_of, **filters).groupBy(*keys).agg(F.count("*").alias("event_count"))
-    return counts.orderBy(F.desc("event_count"), *keys).limit(max(1, min(limit, MAX_GROUPS)))
+    return counts.orderBy(F.desc("event_count"), *keys).limit(max(1, limit))
 
 
 def filter_options(df: DataFrame, as_of, days: int = 30) -> DataFrame:

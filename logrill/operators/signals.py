@@ -98,21 +98,18 @@ def interface_flapping(events: DataFrame, window_seconds: int = 900, min_downs:
     """Flag a "down" when the interface went down often enough in the window.
 
     Looks at the down ``min_downs - 1`` before this one instead of counting a
-    sliding frame; only down messages are shuffled, and joined back by id.
+    sliding frame. The flag is set in place on the down messages; all others
+    pass by, so repeated ids neither multiply rows nor share a flag.
     """
-    downs = events.select("event_id", "event_time", "source_ip",
-                          text.interface_name("message").alias("_iface"),
-                          text.interface_state("message").alias("_state")).where("_state = 'down'")
-    copies = with_halo(downs, "event_time", window_seconds, slice_seconds)
+    parsed = events.withColumns({"_iface": text.interface_name("message"), "_state": text.interface_state("message")})
+    down = F.coalesce(F.col("_state") == "down", F.lit(False))
+    copies = with_halo(parsed.where(down), "event_time", window_seconds, slice_seconds)
     order = Window.partitionBy("source_ip", "_iface", "_slice").orderBy("event_time", "event_id")
-    earlier = F.lag(micros("event_time"), min_downs - 1).over(order)
-    flapping = (
-        copies.withColumn("_earlier", earlier)
-        .where(F.col("_own") & (micros("event_time") - F.col("_earlier") <= window_seconds * MICROS))
-        .select("event_id", F.lit(True).alias("_flap"))
-    )
-    return events.join(flapping, "event_id", "left").withColumn(
-        "interface_flapping", F.coalesce("_flap", F.lit(False))).drop("_flap")
+    near = micros("event_time") - F.lag(micros("event_time"), min_downs - 1).over(order) <= window_seconds * MICROS
+    flagged = copies.withColumn("interface_flapping", F.coalesce(near, F.lit(False))).where("_own")
+    others = parsed.where(~down).withColumn("interface_flapping", F.lit(False))
+    columns = [*events.columns, "interface_flapping"]
+    return flagged.select(*columns).unionByName(others.select(*columns))
 
 
 def inline_reasons(events: DataFrame, rare_threshold: int = 5, baseline_days: int = 7,

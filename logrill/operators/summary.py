@@ -120,14 +120,14 @@ def audit_list(audit: DataFrame, users: DataFrame, actor_id=None, action: str |
         rows = rows.where(F.col("action") == action)
     if since is not None:
         rows = rows.where(F.col("created_at") >= ntz(since))
-    rows = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(min(n, 1000))
     if contains:
         needle = contains.lower()
         rows = rows.where(F.contains(F.lower("action"), F.lit(needle))
                           | F.contains(F.lower("target"), F.lit(needle)))
-    return rows.join(
+    named = rows.join(
         users.select(F.col("id").alias("actor_id"), F.col("username").alias("actor_username")),
         "actor_id", "left")
+    return named.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
 def audit_actions(audit: DataFrame) -> DataFrame:

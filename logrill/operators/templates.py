@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +14,20 @@ WILDCARD = "<*>"
 
 
 def mine_templates(events: DataFrame, mode: str = "mask", message: str = "message",
-                   depth: int = 4, similarity: float = 0.4, part_rows: int = 5000) -> DataFrame:
+                   depth: int = 4, similarity: float = 0.4) -> DataFrame:
     """Add ``template_id``, ``template`` and ``template_size`` to every message.
 
     mask: digits masked, the id is a content hash. drain: fixed-depth token tree
     (He et al., ICWS 2017), whose clusters merge tokens that differ to wildcards.
+    A null message counts as an empty one.
     """
     if mode == "mask":
-        with_template = events.withColumn("template", mask_template(message))
+        with_template = events.withColumn("template", mask_template(F.coalesce(col(message), F.lit(""))))
         with_template = with_template.withColumn("template_id", F.md5("template"))
     elif mode == "drain":
         masked = events.withColumn("_masked", mask_template(F.coalesce(col(message), F.lit(""))))
         with_template = masked.join(
-            _drain(masked, depth, similarity, part_rows), F.md5("_masked") == F.col("_masked_id"), "left"
+            _drain(masked, depth, similarity), F.md5("_masked") == F.col("_masked_id"), "left"
         ).drop("_masked", "_masked_id")
     else:
         raise ValueError("mode must be mask or drain")
@@ -37,46 +39,43 @@ def _tokens(c):
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
 
-def _cluster(frame: pd.DataFrame, similarity: float) -> tuple[list[list[str]], list[int]]:
+def _cluster(templates: list[str], similarity: float) -> tuple[list[str], list[int]]:
     """Greedy clusters of equally long token lists, in the order given.
 
     A message joins the most similar cluster at or above the threshold (share of
-    equal tokens; of equals the one with more wildcards), else it starts one.
+    equal tokens; of equals the one with more wildcards, then the first), else
+    it starts one. Tokens are numbers in one matrix, so a message is compared
+    with all clusters at once.
     """
-    clusters: list[list[str]] = []
-    member = []
-    for template in frame["template"]:
-        tokens = template.split(" ")
-        best, best_key = -1, (-1.0, -1)
-        for i, known in enumerate(clusters):
-            same = sum(1 for a, b in zip(known, tokens) if a == b and a != WILDCARD)
-            wild = known.count(WILDCARD)
-            key = (same / max(len(tokens), 1), wild)
-            if key > best_key:
-                best, best_key = i, key
-        if best >= 0 and best_key[0] >= similarity:
-            clusters[best] = [a if a == b else WILDCARD for a, b in zip(clusters[best], tokens)]
-            member.append(best)
+    number = {WILDCARD: 0}
+    rows = [[number.setdefault(t, len(number)) for t in template.split(" ")] for template in templates]
+    width = max(len(rows[0]), 1)
+    known, size, member = np.zeros((16, len(rows[0])), np.int64), 0, []
+    for row in np.array(rows, np.int64):
+        best = -1
+        if size:
+            same = ((known[:size] == row) & (row != 0)).sum(axis=1)
+            order = same * (width + 1) + (known[:size] == 0).sum(axis=1)
+            best = int(order.argmax())
+            if same[best] / width < similarity:
+                best = -1
+        if best < 0:
+            if size == len(known):
+                known = np.concatenate([known, np.zeros_like(known)])
+            known[size], best, size = row, size, size + 1
         else:
-            clusters.append(tokens)
-            member.append(len(clusters) - 1)
-    return clusters, member
+            known[best][known[best] != row] = 0
+        member.append(best)
+    names = list(number)
+    return [" ".join(names[i] for i in c) for c in known[:size].tolist()], member
 
 
-def _split(rows: DataFrame, by: str, name: str, part_rows: int) -> DataFrame:
-    """Cut every leaf into parts of about ``part_rows`` rows by the hash of a column."""
-    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / part_rows).alias("_parts"))
-    return rows.join(sizes, "leaf").withColumn(
-        name, F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
-
-
-def _drain(masked: DataFrame, depth: int, similarity: float, part_rows: int) -> DataFrame:
+def _drain(masked: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(_masked_id, template_id, template) for every distinct masked message.
 
-    A leaf of the tree (token count and leading tokens) could hold most messages,
-    so it is cut into parts of bounded size that are clustered on their own; then
-    the parts' templates, again in bounded groups, are merged. Equal templates
-    always meet, and a leaf that fits one group is merged as a whole.
+    A leaf of the tree (token count and leading tokens) is clustered whole and
+    in order of first appearance. Only distinct masked messages get there, so a
+    message that makes up most rows is one of them.
     """
     seen = (F.unix_micros(F.col("event_time").cast("timestamp")) if "event_time" in masked.columns
             else F.col("event_id"))
@@ -87,33 +86,13 @@ def _drain(masked: DataFrame, depth: int, similarity: float, part_rows: int) ->
     leaves = distinct.select(
         F.md5("_masked").alias("masked_id"), "first_seen", F.array_join(tokens, " ").alias("template"),
         F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(heads, " ")).alias("leaf"))
-    leaves = _split(leaves, "masked_id", "part", part_rows)
 
-    def within_part(key, frame):
+    def clustered(key, frame):
         frame = frame.sort_values(["first_seen", "masked_id"])
-        clusters, member = _cluster(frame, similarity)
-        return pd.DataFrame({
-            "leaf": key[0], "part": key[1], "local_id": member,
-            "template": [" ".join(clusters[m]) for m in member],
-            "masked_id": frame["masked_id"].to_numpy(), "first_seen": frame["first_seen"].to_numpy()})
-
-    local = leaves.groupBy("leaf", "part").applyInPandas(
-        within_part, "leaf string, part int, local_id long, template string, masked_id string, first_seen long")
-    parts = local.groupBy("leaf", "template").agg(
-        F.min(F.struct("first_seen", "masked_id")).alias("_o")
-    ).select("leaf", "template", "_o.first_seen", "_o.masked_id")
-    parts = _split(parts, "template", "part", part_rows)
-
-    def across_parts(key, frame):
-        frame = frame.sort_values(["first_seen", "masked_id"])
-        clusters, member = _cluster(frame, similarity)
-        texts = [" ".join(c) for c in clusters]
+        texts, member = _cluster(frame["template"].tolist(), similarity)
         ids = [hashlib.md5(f"{key[0]}\t{t}".encode()).hexdigest() for t in texts]
-        return pd.DataFrame({
-            "leaf": key[0], "template": frame["template"].to_numpy(),
-            "template_id": [ids[m] for m in member], "merged": [texts[m] for m in member]})
-
-    merged = parts.groupBy("leaf", "part").applyInPandas(
-        across_parts, "leaf string, template string, template_id string, merged string")
-    return local.join(merged, ["leaf", "template"]).select(
-        F.col("masked_id").alias("_masked_id"), "template_id", F.col("merged").alias("template"))
+        return pd.DataFrame({"_masked_id": frame["masked_id"].to_numpy(), "template_id": [ids[m] for m in member],
+                             "template": [texts[m] for m in member]})
+
+    return leaves.groupBy("leaf").applyInPandas(
+        clustered, "_masked_id string, template_id string, template string")

@@ -24,7 +24,7 @@ def write_events(spark, sf):
 
 
 def export_events(spark, sf):
-    rows, truncated = exports.export_rows(fx.events(spark, sf), AS_OF, start="2024-01-01", cap=700)
+    rows, truncated = exports.export_rows(fx.events(spark, sf), AS_OF, start="2024-01-01")
     return rows.withColumn("truncated", truncated.scalar())
 
 
@@ -109,7 +109,7 @@ def run_query(spark, sf):
     return exports.run_query(
         spark, {"log_events": fx.events(spark, sf)},
         "SELECT source_ip, severity, count(*) AS n, max(event_time) AS latest FROM log_events "
-        "WHERE vendor <> 'unknown' GROUP BY source_ip, severity ORDER BY n DESC, source_ip, severity;", 300)
+        "WHERE vendor <> 'unknown' GROUP BY source_ip, severity ORDER BY n DESC, source_ip, severity;")
 
 
 QUERIES = {f.__name__: f for f in (

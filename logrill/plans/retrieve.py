@@ -46,7 +46,7 @@ def _docs(spark, sf):
 
 
 def _vector_queries(spark, sf):
-    return fx.table(spark, sf, "embeddings").orderBy("vec_id").limit(5).select(
+    return fx.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("query_id"), "embedding")
 
 
@@ -73,7 +73,7 @@ def hybrid_search(spark, sf):
 
 def window_hits(spark, sf):
     docs = fx.events(spark, sf).where("is_anomaly = 1").withColumnRenamed("event_id", "doc_id")
-    return retrieval.window_hits(docs, 50, vendor="juniper", start="2024-01-05", end="2024-01-25").select(
+    return retrieval.window_hits(docs, vendor="juniper", start="2024-01-05", end="2024-01-25").select(
         "doc_id", "event_time", "source_ip", "message")
 
 

@@ -27,13 +27,16 @@ def utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the cluster names none (local tests) a temporary folder is made
-    and remembered in the session.
+    Only where the session names none and runs in one process (local tests) a
+    temporary folder is made and remembered in the session; a cluster without a
+    shared folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("logrill.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="logrill-")
         spark.conf.set("logrill.scratch.dir", root)
     return root.rstrip("/")

@@ -13,18 +13,20 @@ EXPORT_COLUMNS = (
     "event_time", "source_ip", "hostname", "vendor", "severity", "program", "pid", "message",
     "predicted_category", "predicted_confidence", "is_anomaly", "anomaly_reasons", "resolution_method",
 )
-EXPORT_MAX_ROWS = 50_000
-CONSOLE_MAX_ROWS = 1000
 # ---- end of fixed values ----
 
 _READ = re.compile(r"\s*(SELECT|SHOW|DESCRIBE|DESC|EXPLAIN|WITH)\b", re.I)
 
 
-def export_rows(events: DataFrame, as_of, cap: int = EXPORT_MAX_ROWS, **filters) -> tuple[DataFrame, DataFrame]:
-    """The newest matching rows as text, and a one-row frame telling whether the
-    cap cut any off."""
+def export_rows(events: DataFrame, as_of, cap: int | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+    """All matching rows as text, newest first, or the first ``cap`` of them, and a
+    one-row frame telling whether the cap cut any off."""
     matching = newest_first(filter_events(events, as_of, **filters))
-    truncated = matching.limit(cap + 1).agg((F.count("*") > cap).alias("truncated"))
+    if cap is None:
+        truncated = events.sparkSession.range(1).select(F.lit(False).alias("truncated"))
+    else:
+        truncated = matching.limit(cap + 1).agg((F.count("*") > cap).alias("truncated"))
+        matching = matching.limit(cap)
     values = {
         "event_time": iso_text("event_time"),
         "pid": F.coalesce(F.col("pid").cast("string"), F.lit("")),
@@ -32,7 +34,7 @@ def export_rows(events: DataFrame, as_of, cap: int = EXPORT_MAX_ROWS, **filters)
         "is_anomaly": F.col("is_anomaly").cast("string"),
         "anomaly_reasons": F.array_join("anomaly_reasons", "|"),
     }
-    rows = matching.limit(cap).select(*[values.get(c, F.col(c)).alias(c) for c in EXPORT_COLUMNS])
+    rows = matching.select(*[values.get(c, F.col(c)).alias(c) for c in EXPORT_COLUMNS])
     return rows, truncated
 
 
@@ -75,13 +77,16 @@ def export_table(df: DataFrame, columns: list[str], path: str, fmt: str = "csv",
 
 
 def run_query(spark: SparkSession, tables: dict[str, DataFrame], query: str,
-              max_rows: int = CONSOLE_MAX_ROWS) -> DataFrame:
-    """Ad-hoc read over named tables, capped, with a ``truncated`` column."""
+              max_rows: int | None = None) -> DataFrame:
+    """Ad-hoc read over named tables, with a ``truncated`` column; all rows unless the caller names a limit."""
     body = query.strip().rstrip(";").strip()
     if not _READ.match(body):
         raise ValueError("only statements that read are allowed")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    head = spark.sql(body).limit(max_rows + 1)
+    rows = spark.sql(body)
+    if max_rows is None:
+        return rows.withColumn("truncated", F.lit(False))
+    head = rows.limit(max_rows + 1)
     more = head.agg((F.count("*") > max_rows).alias("m"))
     return head.limit(max_rows).withColumn("truncated", more.scalar())

@@ -47,7 +47,7 @@ def backup_partitions(events: DataFrame, path: str, as_of, days: int = 90) -> Da
     """Write each day older than the cut-off as gzip CSV; return the manifest.
 
     The manifest counts what can be read back, so a day is listed only when its
-    backup really holds rows.
+    backup really holds rows. Days that an earlier run has written stay.
     """
     spark = events.sparkSession
     dated = events if "event_date" in events.columns else with_date(events)
@@ -59,13 +59,14 @@ def backup_partitions(events: DataFrame, path: str, as_of, days: int = 90) -> Da
         flat = due.withColumn("anomaly_reasons", F.array_join("anomaly_reasons", "|"))
     columns = flat.columns
     (flat.repartitionByRange("event_date", *SORT).sortWithinPartitions("event_date", *SORT)
-     .write.mode("overwrite").partitionBy("event_date").option("compression", "gzip")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_date").option("compression", "gzip")
      .option("header", True).option("escape", '"').csv(path))
     types = dict(flat.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns if c != "event_date")
     back = (spark.read.schema(schema + ", event_date date").option("header", True)
             .option("multiLine", True).option("escape", '"').csv(path))
-    return day_counts(back)
+    return day_counts(back.join(due.select("event_date").distinct(), "event_date", "left_semi"))
 
 
 def purge_partitions(events: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small frames with known outcomes, at the default thresholds."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from logrill.functions import text
 from logrill.functions.matching import contains_join
-from logrill.operators import alerts, enrich, mix, resolve, retrieval, sequence, signals, silence, state, templates
-from logrill.sources import raw
+from logrill.operators import alerts, enrich, mix, resolve, retrieval, sequence, signals, silence, state, summary, templates
+from logrill.sources import raw, tables
 
 T0 = datetime(2024, 3, 1)
 
@@ -234,10 +235,70 @@ def test_drain(spark):
     rows = frame(spark, [(i, at(i), m) for i, m in enumerate(
         ["user alice logged in from home", "user bob logged in from work", "disk full", "user carol logged in from home"])],
         "event_id long, event_time timestamp_ntz, message string")
-    out = templates.mine_templates(rows, "drain", part_rows=2)
-    by_id = {r.event_id: r for r in templates.mine_templates(rows, "drain").collect()}
-    assert by_id[2].template == "disk full" and len({r.template_id for r in by_id.values()}) >= 2
-    assert out.count() == 4
+    by_id = {r.event_id: r for r in templates.mine_templates(rows, "drain", depth=3).collect()}
+    assert by_id[2].template == "disk full" and by_id[0].template == "user <*> logged in from <*>"
+    assert by_id[0].template_id == by_id[1].template_id == by_id[3].template_id and by_id[0].template_size == 3
+
+
+def test_drain_leaf_by_definition(spark):
+    """One full leaf: the clusters are those of the message-by-message rule, in any partitioning."""
+    rng = random.Random(5)
+    messages = ["go " + " ".join(rng.choice("abcdef") + "x" for _ in range(5)) for _ in range(600)]
+    clusters = []
+    for m in dict.fromkeys(messages):
+        t = m.split(" ")
+        best = max(((sum(a == b != "<*>" for a, b in zip(c, t)), c.count("<*>"), -i) for i, c in enumerate(clusters)), default=None)
+        if best and best[0] / len(t) >= 0.4:
+            clusters[-best[2]] = [a if a == b else "<*>" for a, b in zip(clusters[-best[2]], t)]
+        else:
+            clusters.append(t)
+    rows = frame(spark, [(i, at(i), m) for i, m in enumerate(messages)], "event_id long, event_time timestamp_ntz, message string")
+    found = {r.template for r in templates.mine_templates(rows.repartition(7), "drain", depth=3).collect()}
+    assert found == {" ".join(c) for c in clusters}
+
+
+def test_templates_keep_null_messages(spark):
+    rows = frame(spark, [(1, at(1), None), (2, at(2), "a 1")], "event_id long, event_time timestamp_ntz, message string")
+    for mode in ("mask", "drain"):
+        assert templates.mine_templates(rows, mode).count() == 2
+
+
+def test_flapping_keeps_rows_of_repeated_ids(spark):
+    line = "ether1 link down"
+    rows = frame(spark, [(7, at(0), "10.0.0.1", line)] * 2 + [(8, at(60), "10.0.0.1", line), (9, at(90), "10.0.0.1", "other")],
+                 "event_id long, event_time timestamp_ntz, source_ip string, message string")
+    out = signals.interface_flapping(rows).collect()
+    assert len(out) == 4 and [r.interface_flapping for r in out if r.event_id == 8] == [True]
+
+
+def test_alerts_reach_back_as_far_as_the_rules(spark):
+    rules = frame(spark, [(1, "slow", 4320, 1, True, False, 10, None, None, None, None, None, None)],
+                  "id long, name string, window_minutes int, threshold int, enabled boolean, only_anomalies boolean, cooldown_minutes int, "
+                  "last_triggered_at timestamp_ntz, hostname string, source_ip string, program string, severity string, predicted_category string")
+    events = frame(spark, [(1, at(0), "h", "10.0.0.1", "p", "err", "SYSTEM", 0, "m")],
+                   "event_id long, event_time timestamp_ntz, hostname string, source_ip string, program string, severity string, "
+                   "predicted_category string, is_anomaly int, message string")
+    row = alerts.evaluate_alerts(events, rules, at(2 * 86400)).collect()[0]
+    assert row.matched_count == 1 and row.fires
+
+
+def test_second_backup_keeps_the_first(spark, tmp_path):
+    def days(*numbers):
+        return frame(spark, [(n, datetime(2024, 1, n), "h", "err", "m") for n in numbers],
+                     "event_id long, event_time timestamp_ntz, hostname string, severity string, message string")
+
+    first = tables.backup_partitions(days(1, 2), str(tmp_path / "b"), datetime(2024, 3, 1), 10).collect()
+    second = tables.backup_partitions(days(3), str(tmp_path / "b"), datetime(2024, 3, 1), 10).collect()
+    assert len(first) == 2 and [str(r.event_date) for r in second] == ["2024-01-03"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "b")).count() == 3
+
+
+def test_audit_list_filters_before_it_cuts(spark):
+    audit = frame(spark, [(i, 1, "login", f"t{i}", at(i)) for i in range(50)] + [(99, 1, "rule.edit", "x", at(-1))],
+                  "id long, actor_id long, action string, target string, created_at timestamp_ntz")
+    users = frame(spark, [(1, "a")], "id long, username string")
+    assert [r.id for r in summary.audit_list(audit, users, contains="rule", n=5).collect()] == [99]
+    assert [r.id for r in summary.audit_list(audit, users, n=3).collect()] == [49, 48, 47]
 
 
 def test_knn_recall(spark):
