@@ -33,8 +33,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in `dropped` (one column, doc_id)."""
-    return _packed(docs).join(dropped, "doc_id", "left_anti").select("row.*")
+    """The rows of docs whose doc_id is not in `dropped` (one column, doc_id), which may grow with docs."""
+    return _packed(docs).join(dropped.hint("merge"), "doc_id", "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
