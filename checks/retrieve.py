@@ -75,8 +75,9 @@ def bm(docs: str, queries: str, k: int, p: str) -> str:
 
 
 _D = "bd AS (SELECT doc_id AS id, text FROM documents), bq AS (SELECT item_id AS id, text FROM benchmark)"
-_H = """hd AS (SELECT doc_id AS id, text, embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id),
-hq AS (SELECT item_id AS id, text, embedding AS e FROM benchmark JOIN embeddings ON vec_id = item_id)"""
+_H = """hd AS (SELECT doc_id AS id, text, embedding AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+hq AS (SELECT item_id AS id, text, embedding AS e FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+hde AS (SELECT * FROM hd WHERE e IS NOT NULL), hqe AS (SELECT * FROM hq WHERE e IS NOT NULL)"""
 DAY = "TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 30 AS INTEGER))"
 COVER = f"""cr AS (SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 4 <> 3 THEN {ip('s_suppkey')} END AS source_ip,
     CASE WHEN s_suppkey % 4 > 1 THEN 'juniper' END AS vendor, CASE WHEN s_suppkey % 4 <> 1 THEN {DAY} END AS s,
@@ -149,7 +150,7 @@ SQL = {
         NAMES, HOSTS, resolution("nm", "hosts", "hostname"), REQUESTS, COUNTED),
     "knn_exact": "WITH d AS (SELECT vec_id AS id, embedding AS e FROM embeddings), q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0) " + cosine("d", "q", 10),
     "bm25": f"WITH {_D}, {bm('bd', 'bq', 10, 'b_')} SELECT * FROM b_top",
-    "hybrid_search": f"""WITH {_H}, {bm('hd', 'hq', 10, 'h_')}, kn AS ({cosine('hd', 'hq', 10)}),
+    "hybrid_search": f"""WITH {_H}, {bm('hd', 'hq', 10, 'h_')}, kn AS ({cosine('hde', 'hqe', 10)}),
       fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM h_top UNION ALL SELECT query_id, doc_id, rank FROM kn) GROUP BY 1, 2)
       SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fu) WHERE rank <= 10""",
     "window_hits": with_lab("""SELECT event_id AS doc_id, event_time, source_ip, message FROM lab WHERE is_anomaly = 1 AND vendor = 'juniper'

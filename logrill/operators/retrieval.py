@@ -136,11 +136,12 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, k: int = 10, **filters) -
     """Words and vectors, each filtered, each its best k, fused by rank.
 
     With filters the vector side is exact over what they leave; so it is without,
-    ``knn_approx`` being the cheaper choice for a whole index.
+    ``knn_approx`` being the cheaper choice for a whole index. Documents and
+    queries without a vector (null) take part by their words.
     """
     kept = filter_docs(docs, **filters)
     return fuse([bm25(kept.select("doc_id", "text"), queries.select("query_id", "text"), k),
-                 knn_exact(kept, queries, k)], k)
+                 knn_exact(kept.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL"), k)], k)
 
 
 def window_hits(docs: DataFrame, n: int | None = None, **filters) -> DataFrame:

@@ -65,9 +65,9 @@ def bm25(spark, sf):
 
 
 def hybrid_search(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text").join(_docs(spark, sf), "doc_id")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text").join(_docs(spark, sf), "doc_id", "left")
     asked = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(
-        _docs(spark, sf).withColumnRenamed("doc_id", "query_id"), "query_id")
+        _docs(spark, sf).withColumnRenamed("doc_id", "query_id"), "query_id", "left")
     return retrieval.hybrid_search(docs, asked, 10)
 
 
