@@ -238,12 +238,43 @@ def _segments(events: DataFrame) -> DataFrame:
     })
 
 
+def _closed(parts: DataFrame, keys: list[str], timeout_seconds: int) -> DataFrame:
+    """Number (``_n``) the messages within each group of parts, in order of arrival.
+
+    A message ends when all its parts are there, or with the first part that
+    comes later than the timeout after its first one. A group holds the parts
+    of one message id that came without a longer pause.
+    """
+    names = [c for c in parts.columns if c not in keys]
+    arrived = F.array_sort(F.collect_list(F.struct(
+        F.col("received_at").alias("at"), F.col("event_id").alias("tie"), F.struct(*names).alias("row"))))
+    lists = parts.groupBy(*keys).agg(arrived.alias("_rows"))
+    none = F.struct(F.lit(None).cast("timestamp_ntz").alias("start"), F.array().cast("array<int>").alias("seen"),
+                    F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(state, x):
+        late = seconds_between(state["start"], x["at"]) > timeout_seconds
+        fresh = state["start"].isNull() | late | (F.size(state["seen"]) >= x["row"]["_total"])
+        n = state["n"] + F.when(fresh, 1).otherwise(0)
+        idx = F.array(x["row"]["_idx"])
+        return F.struct(
+            F.when(fresh, x["at"]).otherwise(state["start"]).alias("start"),
+            F.when(fresh, idx).otherwise(F.array_union(state["seen"], idx)).alias("seen"),
+            n.alias("n"), F.concat(state["out"], F.array(n)).alias("out"))
+
+    numbers = F.aggregate("_rows", none, step, lambda s: s["out"])
+    numbered = lists.select(*keys, "_rows", numbers.alias("_numbers"))
+    zipped = F.explode(F.arrays_zip("_rows", "_numbers")).alias("x")
+    return numbered.select(*keys, zipped).select(*keys, "x._rows.row.*", F.col("x._numbers").alias("_n"))
+
+
 def reassemble_multipart(events: DataFrame, timeout_seconds: int = 10,
                          slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Join the parts of split messages, in index order and without separator.
 
-    Parts of one (device, reported name, message id) that arrive at most the
-    timeout apart form a message; missing parts leave it shorter.
+    Parts of one (device, reported name, message id) form a message until all
+    are there or the timeout after its first part is over; missing parts leave
+    it shorter, and a part that comes later begins the next message.
     """
     columns = events.columns
     helpers = ["_part", "_mid", "_total", "_idx", "_content"]
@@ -260,15 +291,16 @@ def reassemble_multipart(events: DataFrame, timeout_seconds: int = 10,
     begins = F.when(gap.isNull() | (gap > timeout_seconds), F.struct(*order))
     parts = running(parts, key, *order, [Running("_group", begins, "last")], slice_seconds)
 
+    parts = _closed(parts, [*key, "_group"], timeout_seconds)
     arrival = F.struct(*order)
     record = F.struct(*columns)
     # one row per part number first, so repeats are folded before the join
-    latest = parts.groupBy(*key, "_group", "_idx").agg(
+    latest = parts.groupBy(*key, "_group", "_n", "_idx").agg(
         F.max_by(F.struct("_content", "raw"), arrival).alias("_seg"),
         F.max_by(record, arrival).alias("_newest"), F.min_by(record, arrival).alias("_oldest"),
         F.min(arrival).alias("_first"))
     piece = F.struct("_idx", F.col("_seg._content").alias("content"), F.col("_seg.raw").alias("raw"))
-    merged = latest.groupBy(*key, "_group").agg(
+    merged = latest.groupBy(*key, "_group", "_n").agg(
         F.array_sort(F.collect_list(piece)).alias("_pieces"),
         F.max_by("_newest", F.when(F.col("_idx") == 0, F.col("_first"))).alias("_head"),
         F.min_by("_oldest", "_first").alias("_any"))

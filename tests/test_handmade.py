@@ -33,6 +33,18 @@ def test_read_raw(spark, tmp_path):
     assert values(raw.read_raw(spark, str(tmp_path)), "message", "severity") == [("good", "info")]
 
 
+def test_multipart_ids_that_come_again(spark):
+    def line(i, t, body):
+        return (i, at(t), at(t), "10.0.0.1", "ACS", "CSCOacs_X", body, body)
+
+    rows = frame(spark, [
+        line(1, 0, "0001384016 2 0 A"), line(2, 1, "0001384016 2 1 B"), line(3, 5, "0001384016 2 0 C"), line(4, 6, "0001384016 2 1 D"),
+        line(5, 100, "0000000007 3 0 x"), line(6, 106, "0000000007 3 1 y"), line(7, 112, "0000000007 3 2 z")],
+        "event_id long, event_time timestamp_ntz, received_at timestamp_ntz, source_ip string, reported_hostname string, "
+        "program string, message string, raw string")
+    assert sorted(r.message for r in enrich.reassemble_multipart(rows).collect()) == ["AB", "CD", "xy", "z"]
+
+
 def test_multipart(spark):
     def line(i, t, body, program="CSCOacs_X"):
         return (i, at(t), at(t), "10.0.0.1", "ACS", program, body, body)
