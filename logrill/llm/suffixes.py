@@ -5,7 +5,7 @@ Every `span`-byte window of a text has an anchor: the leftmost of its
 equal places, so only suffixes that begin at an anchor (about one position in
 eighteen) need sorting. The steps:
 
-1. Texts are laid out in units of a few megabytes, written as a bucketed table.
+1. Texts are laid out in units of about two megabytes, written as a bucketed table.
 2. Units send the sorted hashes of their anchors' seeds; what two documents
    share is told back to each unit as a bit mask.
 3. Units send the suffixes at shared anchors, equal ones as one, as sorted runs
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from logrill.llm.common import BYTE_VALUES, mixed
 from logrill.session import materialize
 
-SLICE = 1 << 20  # positions handled at a time
+SLICE = 1 << 18  # positions handled at a time
 
 
 class Unit:
@@ -229,6 +229,64 @@ class LoserTree:
             self.winner = w
 
 
+FEW = 40  # suffixes of one seed that are compared pair by pair
+
+
+def _least_by_pairs(rows: dict[bytes, int], span: int, reach: int) -> dict[bytes, list[tuple[int, int, int]]]:
+    """For each suffix, stretches of offsets and the smallest document of the windows there.
+
+    Two suffixes have the window at offset i in common if they agree on i bytes
+    before the anchor and span - i from it on; both lengths are read off the
+    highest differing bit.
+    """
+    known = []
+    for row, least in rows.items():
+        known.append((row, least, span - row[span], row[span + 1 + reach], int.from_bytes(row[:span]),
+                      int.from_bytes(row[span + 1:span + 1 + reach])))
+    told = {}
+    for row, least, low, high, right, left in known:
+        cuts = []
+        for other, d, low_, high_, right_, left_ in known:
+            if d < least:
+                i = max(low, low_, span - (8 * span - (right ^ right_).bit_length()) // 8)
+                j = min(high, high_, (8 * reach - (left ^ left_).bit_length()) // 8)
+                if i <= j:
+                    cuts.append((i, j, d))
+        if not cuts:
+            told[row] = [(low, high, least)]
+            continue
+        best = [least] * (high + 1)
+        for i, j, d in cuts:
+            for k in range(i, j + 1):
+                if d < best[k]:
+                    best[k] = d
+        told[row] = _stretches(best, low, high)
+    return told
+
+
+def _least_by_windows(rows: dict[bytes, int], span: int, reach: int) -> dict[bytes, list[tuple[int, int, int]]]:
+    """The same through a table of all windows, for many suffixes."""
+    best: dict[tuple[int, bytes], int] = {}
+    windows = {}
+    for row, least in rows.items():
+        left = row[span + 1:span + 1 + reach]
+        own = windows[row] = [(i, left[:i] + row[:span - i]) for i in range(span - row[span], row[span + 1 + reach] + 1)]
+        for key in own:
+            if best.get(key, least) >= least:
+                best[key] = least
+    return {row: _stretches([0] * own[0][0] + [best[key] for key in own], own[0][0], own[-1][0]) for row, own in windows.items()}
+
+
+def _stretches(best: list[int], low: int, high: int) -> list[tuple[int, int, int]]:
+    spans = [(low, low, best[low])]
+    for i in range(low + 1, high + 1):
+        if best[i] == spans[-1][2]:
+            spans[-1] = (spans[-1][0], i, best[i])
+        else:
+            spans.append((i, i, best[i]))
+    return spans
+
+
 def _answers(group: list[tuple[bytes, int, int, int, int]], span: int, reach: int):
     """(run, number, from, to, smallest document) for the suffixes of one seed, given (row, run, number, least, most).
 
@@ -239,30 +297,10 @@ def _answers(group: list[tuple[bytes, int, int, int, int]], span: int, reach: in
     rows: dict[bytes, int] = {}
     for row, _, _, least, _ in group:
         rows[row] = min(rows.get(row, least), least)
-    best: dict[tuple[int, bytes], int] = {}
-    if len(rows) > 1:
-        for row, least in rows.items():
-            after, before = row[span], row[span + 1 + reach]
-            left = row[span + 1:span + 1 + before]
-            for i in range(span - after, before + 1):
-                key = (i, left[:i] + row[:span - i])
-                if best.get(key, least) >= least:
-                    best[key] = least
-    told: dict[bytes, list[tuple[int, int, int]]] = {}
-    for row, least in rows.items():
-        after, before = row[span], row[span + 1 + reach]
-        if not best:
-            told[row] = [(span - after, before, least)]
-            continue
-        left = row[span + 1:span + 1 + before]
-        spans: list[tuple[int, int, int]] = []
-        for i in range(span - after, before + 1):
-            d = best[i, left[:i] + row[:span - i]]
-            if spans and spans[-1][2] == d:
-                spans[-1] = (spans[-1][0], i, d)
-            else:
-                spans.append((i, i, d))
-        told[row] = spans
+    if len(rows) == 1:
+        told = {row: [(span - row[span], row[span + 1 + reach], least)] for row, least in rows.items()}
+    else:
+        told = (_least_by_pairs if len(rows) <= FEW else _least_by_windows)(rows, span, reach)
     for row, run, number, _, most in group:
         for low, high, d in told[row]:
             if d < most:
@@ -270,7 +308,7 @@ def _answers(group: list[tuple[bytes, int, int, int, int]], span: int, reach: in
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50, seed: int = 16,
-             unit_bytes: int = 4 << 20) -> DataFrame:
+             unit_bytes: int = 2 << 20) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) per row.
 
     Removed is each byte of a text (UTF-8) that a `span`-byte string covers
@@ -283,7 +321,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     total = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
-    buckets = max(4, total // (24 << 20))  # of seeds and of suffixes; about 1.3 million anchors to a bucket
+    buckets = max(4, total // (8 << 20))  # of seeds and of suffixes; about half a million anchors to a bucket
 
     def lay_out(part: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known, sizes, packed, size = [], [], [], [], 0
@@ -360,7 +398,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
                  pa.array([np.packbits(mask).tobytes()], pa.binary())], names=["unit", "bucket", "n", "mask"])
 
     seeds = table.mapInArrow(send_seeds, "bucket long, unit long, high binary, low binary, within binary")
-    masks = seeds.groupBy("bucket").applyInArrow(share_seeds, "unit long, bucket long, n long, mask binary")
+    # a bucket is little to read and much to do: each has a task, whatever its bytes
+    masks = seeds.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(share_seeds, "unit long, bucket long, n long, mask binary")
     per_unit = masks.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
     per_unit = materialize(per_unit, "suffix_masks")  # a bit for each seed of a unit
 
@@ -426,7 +465,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     with_masks = table.join(per_unit.hint("shuffle_hash"), "unit")
     runs = with_masks.mapInArrow(
         send_runs, "bucket long, unit long, common binary, rest binary, number binary, least binary, most binary")
-    answers = runs.groupBy("bucket").applyInArrow(merge, "unit long, number binary, low binary, high binary, first binary")
+    answers = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "unit long, number binary, low binary, high binary, first binary")
     answers = answers.groupBy("unit").agg(F.collect_list(F.struct("number", "low", "high", "first")).alias("answers"))
     answers = materialize(answers, "suffix_answers")
 
