@@ -40,7 +40,7 @@ def terms(text: str) -> set[str]:
 class Lexicon:
     """Weighted entries as a trie, and the lazily built automaton of words within reach of one."""
 
-    def __init__(self, weights: dict[str, float], states: int = 200_000):
+    def __init__(self, weights: dict[str, float], states: int = 50_000):
         self.most = states
         self.weights = dict(weights)
         self.children: list[dict[str, int]] = [{}]
@@ -131,7 +131,7 @@ class Lexicon:
 class Scorer:
     """Features of texts under a lexicon; remembers the outcome for words it has met."""
 
-    def __init__(self, lexicon: Lexicon, window: int = 4, remember: int = 400_000):
+    def __init__(self, lexicon: Lexicon, window: int = 4, remember: int = 200_000):
         self.lexicon, self.window, self.remember, self.known = lexicon, window, remember, {}
 
     def features(self, text: str) -> np.ndarray:
