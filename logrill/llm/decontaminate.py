@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logrill.session import materialize
+
 #: Unit words, which count as units right after a number.
 UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec min h hr hrs ms kb mb gb tb w kw hz khz mhz ghz "
          "v mph kmh c f k usd eur gbp percent % $ € £ inches feet miles meters metres grams kilograms pounds liters litres "
@@ -107,6 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     both = F.array_distinct(F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d")))
     pairs = pairs.select(key, item, "hash", "slots", "d_slots", both.alias("both")).where(
         (F.size(F.array_distinct("slots")) == F.size("both")) & (F.size(F.array_distinct("d_slots")) == F.size("both")))
+    pairs = materialize(pairs, "leak_windows")  # read twice, and few: the windows of documents that an item has, too
     # and over all windows of the pair: each value of the item stands for the value it meets most often (ties: the last)
     votes = pairs.select(key, item, F.explode("both").alias("b")).groupBy(key, item, "b.i", "b.d").agg(F.count("*").alias("n"))
     meant = votes.groupBy(key, item, "i").agg(F.max(F.struct("n", "d")).alias("best"))

@@ -279,7 +279,8 @@ def _verified(members: DataFrame, docs: DataFrame, words: int, num: int, den: in
     sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
     sizes = sizes.withColumn("blocks", F.greatest(
         F.ceil(F.col("total") / block_elements), F.ceil(F.col("size") / block_sets)).cast("long"))
-    placed = (members.join(sizes, "family").join(docs, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # the members grow with the documents, so this is a sort-merge join at every size
+    placed = (members.join(sizes, "family").join(docs.hint("merge"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
               .select("id", "family", "blocks", "block", "text")
               .mapInArrow(shingle, "id long, family long, blocks long, block long, elements binary"))
     # a family of one block shares a task with other small ones; a larger one has a task for each pair of its blocks

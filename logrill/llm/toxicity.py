@@ -182,7 +182,7 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0, candidat
                   entries: int = 5_000) -> dict[str, float]:
     """Entries and their log odds from (text, label): what toxic rows hold far more often than the others.
 
-    Counts cover all rows. Candidates are the terms of at least `support` toxic
+    Counts cover all rows given. Candidates are the terms of at least `support` toxic
     rows; the `candidates` most frequent are counted in the other rows, and the
     `entries` with the largest log odds (less two standard errors, at least
     `odds`) form the lexicon. A stem stands for its words unless one word makes
@@ -268,24 +268,23 @@ def _featured(docs: DataFrame, lexicon, keep: list[str], weights=None, threshold
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out, keep: list[str], label: str = "toxic", key: str = "doc_id",
-             text: str = "text", sample: int = 20_000, **lexicon_options) -> DataFrame:
+             text: str = "text", sample: int = 40_000, **lexicon_options) -> DataFrame:
     """The columns `keep` of each row, score, predicted (1 if score >= 0.7) and n_hits.
 
     `held_out` is a boolean column over the key; labels of such keys are never
-    read. The lexicon is learned from all labelled rows, the logistic model from
-    at most `sample` of them (those whose key's hash is smallest). A null text
+    read. The lexicon and the logistic model are learned from at most `sample`
+    labelled rows, those whose key's hash is smallest. A null text
     counts as empty and has no hit. A key labelled twice takes the larger label;
     repeated rows are scored each alike. Without labels of both kinds every row
     has the smoothed share of label 1.
     """
     marked = labels.where(F.col(label).isin(0, 1) & ~held_out).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     given = docs.withColumn("_text", F.col(text))
-    seen = docs.select(key, F.col(text).alias("text")).join(marked, key).select(key, "text", "label")
-    lexicon = learn_lexicon(seen.select("text", "label"), **lexicon_options)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `entries` terms
     picked = marked.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = _featured(docs.select(key, F.col(text).alias("_text")).join(F.broadcast(picked), key),
-                     shared, ["label"]).toArrow()
+    seen = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(picked), key)  # at most `sample` keys
+    lexicon = learn_lexicon(seen.select(F.col("_text").alias("text"), "label"), **lexicon_options)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `entries` terms
+    rows = _featured(seen, shared, ["label"]).toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     x = np.array(rows.column("x").to_pylist()).reshape(-1, N_FEATURES)
     if len(set(y.tolist())) < 2:
