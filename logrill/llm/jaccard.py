@@ -9,6 +9,11 @@ chance, need no signature: a set with at most s of them agrees with each
 partner on at least one other partition. A set with more of them also sends
 these, so no link is lost at any size.
 
+Elements that very many sets hold (common lines and passages) take no part in
+signatures: leaving the same elements out of all sets never makes two sets
+differ in more, so which ones are left out decides about speed only, and they
+may be found on a sample.
+
 Signatures travel as packed arrays, one row per batch of documents and slice of
 the signature space, after equal ones of a batch have been reduced to one. What
 shares a signature is put into families (connected components), families are
@@ -34,6 +39,7 @@ from logrill.session import materialize
 #: The bytes that separate words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+PAIRED = 12  # differences up to which signatures are of two partitions
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
 
@@ -86,12 +92,18 @@ class Bands:
         """
         return int(2 * (self.lows[band + 1] - 1) * (self.den - self.num) // (self.den + self.num))
 
-    def partitions(self, band: int) -> tuple[int, int, int]:
-        """Partitions, slack s, and how few elements count as nearly empty: by the band alone, so equal for all its sets.
+    def partitions(self, band: int) -> tuple[int, int, int, bool]:
+        """Partitions, slack s, how few elements count as nearly empty, and whether signatures are of pairs of partitions.
 
-        The slack is the smallest that covers nearly all sets of the band's smallest size.
+        All follow from the band alone, so they are equal for all its sets. Small
+        sets, whose partitions would hold hardly an element each, have k + 2
+        partitions and a signature for every two of them: linked sets agree on two.
+        For others the slack is the smallest that covers nearly all sets of the
+        band's smallest size.
         """
         k, size = self.differences(band), float(self.lows[max(band - 1, 0)])
+        if k <= PAIRED:
+            return k + 2, 0, 0, True
         for few in (2, 1):
             slack = 0
             while slack <= k + 1:
@@ -99,31 +111,53 @@ class Bands:
                 mean = size / n
                 expected = n * np.exp(-mean) * (1 + mean * (few == 2))
                 if slack >= expected + 3 * np.sqrt(expected) - 0.3:
-                    return n, slack, few
+                    return n, slack, few, False
                 slack = max(slack + 1, int(slack * 1.05))
-        return k + 1, 0, 0
+        return k + 1, 0, 0, False
+
 
+def common_elements(docs: DataFrame, words: int, rows: int, sample: int = 5000, least: int = 10) -> np.ndarray:
+    """Sorted elements that at least `least` of about `sample` sets of (id, text) hold; at most sample / least * mean size."""
 
-def signatures(elements: np.ndarray, bands: Bands, plans: dict) -> np.ndarray:
-    """The set's signatures: 64-bit hashes of (band, partition, elements in it)."""
+    def run(batches):
+        for batch in batches:
+            for some in groups([t or "" for t in batch.column(1).to_pylist()]):
+                keys, n = np.unique(np.concatenate(shingle_sets(some, words)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["element", "n"])
+
+    picked = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0)
+    counted = picked.mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= least).select("element").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def signatures(elements: np.ndarray, bands: Bands, plans: dict, common: np.ndarray) -> np.ndarray:
+    """The set's signatures: 64-bit hashes of (band, partition or two, elements there that are not common)."""
     own = bands.band(len(elements))
     found = []
+    if len(common):
+        elements = elements[common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] != elements]
     with np.errstate(over="ignore"):
         scrambled = mixed(elements ^ np.uint64(0xD6E8FEB86659FD93))
         for band in (own, own + 1):
             if band not in plans:
                 plans[band] = bands.partitions(band)
-            n, slack, least = plans[band]
+            n, slack, least, paired = plans[band]
             part = ((scrambled >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
             counts = np.bincount(part, minlength=n)
             order = np.argsort(part, kind="stable")
             filled = np.flatnonzero(counts)
             sums = np.zeros(n, np.uint64)
-            sums[filled] = np.add.reduceat(scrambled[order], np.concatenate([[0], np.cumsum(counts[filled])[:-1]]))
+            if len(filled):
+                sums[filled] = np.add.reduceat(scrambled[order], np.concatenate([[0], np.cumsum(counts[filled])[:-1]]))
             few = counts < least
             keep = np.flatnonzero(~few) if few.sum() <= slack else np.arange(n)
             tag = keep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
-            found.append(mixed(sums[keep] + mixed(tag)))
+            single = mixed(sums[keep] + mixed(tag))
+            if paired:
+                one, two = np.triu_indices(n, 1)
+                single = mixed(single[one] * np.uint64(3) + single[two])
+            found.append(single)
     return np.concatenate(found)
 
 
@@ -147,11 +181,13 @@ def _first_of_equals(sig: np.ndarray, ids: np.ndarray):
     return sig[new], ids[new], edges
 
 
-def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, slices: int) -> DataFrame:
+def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, slices: int, common: np.ndarray) -> DataFrame:
     """Edges (a, b) between documents that share a signature: each bucket is a star around its smallest id."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
     def sign(batches):
-        bands, plans = Bands(num, den, largest), {}
+        bands, plans, common = Bands(num, den, largest), {}, shared.value
         for batch in batches:
             ids, sigs, of = batch.column(0).to_pylist(), [], []
             at = 0
@@ -166,7 +202,7 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
                         edges.append((firsts[key], i))
                         continue
                     firsts[key] = i
-                    found = signatures(elements, bands, plans)
+                    found = signatures(elements, bands, plans, common)
                     sigs.append(found)
                     of.append(np.full(len(found), i, np.int64))
                 at += len(some)
@@ -338,11 +374,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     keyed = rows.where("id IS NOT NULL")
     marks = materialize(set_digests(rows, words), "jaccard_sets")
-    total = marks.agg(F.max("n"), F.sum("n")).first()
-    largest, total = total[0] or 1, total[1] or 0
+    largest, total, count = marks.agg(F.max("n"), F.sum("n"), F.count("*")).first()
+    largest, total = largest or 1, total or 0
     # about 3 * (1 - similarity) signatures a shingle; 2 million to a slice
     slices = max(4, int(total * 3 * (den - num) / den) >> 21)
-    shared = materialize(_families(keyed, words, num, den, largest, slices), "jaccard_candidates")
+    common = common_elements(keyed, words, count)
+    shared = materialize(_families(keyed, words, num, den, largest, slices, common), "jaccard_candidates")
     family = components(shared, "jaccard_family")
     # of copies one stands for all; the copies join their component by the digest
     sets = marks.where("digest IS NOT NULL AND id IS NOT NULL")
