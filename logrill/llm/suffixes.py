@@ -5,7 +5,7 @@ Every `span`-byte window of a text has an anchor: the leftmost of its
 equal places, so only suffixes that begin at an anchor (about one position in
 eighteen) need sorting. The steps:
 
-1. Texts are laid out in units of about two megabytes, written as a bucketed table.
+1. Texts are laid out in units of about a megabyte, written as a bucketed table.
 2. Units send the sorted hashes of their anchors' seeds; what two documents
    share is told back to each unit as a bit mask.
 3. Units send the suffixes at shared anchors, equal ones as one, as sorted runs
@@ -114,11 +114,11 @@ class Variants:
         reach = span - seed
         rows = np.zeros((len(a), span + reach + 2), np.uint8)
         from_anchor, back = np.arange(span), np.arange(1, reach + 1)
-        for k in range(0, len(a), 1 << 15):  # bounds the index arrays
-            at, n, m = (x[k:k + (1 << 15), None] for x in (a, after, before))
-            rows[k:k + (1 << 15), :span] = np.where(
+        for k in range(0, len(a), 1 << 12):  # bounds the index arrays
+            at, n, m = (x[k:k + (1 << 12), None] for x in (a, after, before))
+            rows[k:k + (1 << 12), :span] = np.where(
                 from_anchor < n, unit.data[np.minimum(at + from_anchor, len(unit.data) - 1)], 0)
-            rows[k:k + (1 << 15), span + 1:-1] = np.where(back <= m, unit.data[np.maximum(at - back, 0)], 0)
+            rows[k:k + (1 << 12), span + 1:-1] = np.where(back <= m, unit.data[np.maximum(at - back, 0)], 0)
         rows[:, span], rows[:, -1] = after, before
         bucket_key = keys[of[some]]
         whole = np.ascontiguousarray(rows).view([("", f"V{rows.shape[1]}")]).ravel()
@@ -308,7 +308,7 @@ def _answers(group: list[tuple[bytes, int, int, int, int]], span: int, reach: in
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50, seed: int = 16,
-             unit_bytes: int = 2 << 20) -> DataFrame:
+             unit_bytes: int = 1 << 20) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) per row.
 
     Removed is each byte of a text (UTF-8) that a `span`-byte string covers
@@ -361,6 +361,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     table = spark.table(name)
 
     def unit_of(batch, i) -> Unit:
+        pa.set_memory_pool(pa.system_memory_pool())  # a worker gives back what a unit took
         ids, known, sizes, packed = (batch.column(c)[i].as_py() for c in ("ids", "known", "sizes", "packed"))
         return Unit(np.frombuffer(ids, np.int64), np.frombuffer(known, bool), np.frombuffer(sizes, np.int64),
                     np.frombuffer(zlib.decompress(packed), np.uint8))
@@ -422,22 +423,25 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
                     common, rest = front_coded(v.rows[some])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(b)], pa.int64()), batch.column("unit").slice(i, 1), pa.array([common], pa.binary()),
-                         pa.array([rest], pa.binary()), pa.array([some.astype(np.int32).tobytes()], pa.binary()),
-                         pa.array([v.least[some].tobytes()], pa.binary()), pa.array([v.most[some].tobytes()], pa.binary())],
+                         pa.array([zlib.compress(rest, 1)], pa.binary()), pa.array([some.astype(np.int32).tobytes()], pa.binary()),
+                         pa.array([zlib.compress(v.least[some].tobytes(), 1)], pa.binary()),
+                         pa.array([zlib.compress((v.most[some] - v.least[some]).tobytes(), 1)], pa.binary())],
                         names=["bucket", "unit", "common", "rest", "number", "least", "most"])
 
     reach = span - seed
     width = span + reach + 2
 
     def merge(bucket: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         names, runs, number, least, most = [], [], [], [], []
         for batch in batches:
             names += batch.column("unit").to_pylist()
             for common, rest in zip(batch.column("common").to_pylist(), batch.column("rest").to_pylist()):
-                runs.append(front_decoded(common, rest, width))
+                runs.append(front_decoded(common, zlib.decompress(rest), width))
             number += [np.frombuffer(x, np.int32) for x in batch.column("number").to_pylist()]
-            least += [np.frombuffer(x, np.int64) for x in batch.column("least").to_pylist()]
-            most += [np.frombuffer(x, np.int64) for x in batch.column("most").to_pylist()]
+            least += [np.frombuffer(zlib.decompress(x), np.int64) for x in batch.column("least").to_pylist()]
+            most += [np.frombuffer(zlib.decompress(x), np.int64) + y for x, y in zip(
+                batch.column("most").to_pylist(), least[len(most):])]
         at = [0] * len(runs)
         told: dict[int, list] = {}
         group: list = []
