@@ -1,7 +1,7 @@
 from checks.base import ip, with_ev, with_lab
 
 NAMES = """nm AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 5 WHEN 0 THEN 'node-' || s_suppkey WHEN 1 THEN 'ODE-' || s_suppkey
-    WHEN 2 THEN 'anjar DEV-' || s_suppkey WHEN 3 THEN '10.0.0.' || s_suppkey ELSE 'nowhere ' || s_suppkey END AS name FROM supplier)"""
+    WHEN 2 THEN 'depot DEV-' || s_suppkey WHEN 3 THEN '10.0.0.' || s_suppkey ELSE 'nowhere ' || s_suppkey END AS name FROM supplier)"""
 
 
 def resolution(names: str, values: str, value: str, words: bool = True) -> str:

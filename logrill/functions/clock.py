@@ -61,17 +61,17 @@ def padded_window(center, before_minutes: int, after_minutes: int, as_of) -> Col
     )
 
 
-def local_time(c, zone: str = "Asia/Beirut") -> Column:
+def local_time(c, zone: str) -> Column:
     """UTC wall clock -> wall clock in a named zone (daylight saving included)."""
     return F.from_utc_timestamp(col(c).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def utc_time(c, zone: str = "Asia/Beirut") -> Column:
+def utc_time(c, zone: str) -> Column:
     """Wall clock in a named zone -> UTC wall clock."""
     return F.to_utc_timestamp(col(c).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def zone_offset_minutes(c, zone: str = "Asia/Beirut") -> Column:
+def zone_offset_minutes(c, zone: str) -> Column:
     return ((micros(local_time(c, zone)) - micros(c)) / F.lit(60 * MICROS)).cast("int")
 
 

@@ -7,6 +7,7 @@ from logrill.operators import enrich, templates
 from logrill.sources import fixture as fx
 
 AS_OF = fx.AS_OF
+ZONE = "Europe/Athens"  # two hours ahead of UTC in the fixture's month
 
 
 def normalize_record(spark, sf):
@@ -123,9 +124,9 @@ def padded_window(spark, sf):
 
 
 def local_time(spark, sf):
-    rows = fx.log_events(spark, sf).select("event_id", "event_time", clock.local_time("event_time").alias("local_time"))
+    rows = fx.log_events(spark, sf).select("event_id", "event_time", clock.local_time("event_time", ZONE).alias("local_time"))
     return rows.withColumns({
-        "back_in_utc": clock.utc_time("local_time"), "offset_minutes": clock.zone_offset_minutes("event_time")})
+        "back_in_utc": clock.utc_time("local_time", ZONE), "offset_minutes": clock.zone_offset_minutes("event_time", ZONE)})
 
 
 QUERIES = {f.__name__: f for f in (

@@ -16,7 +16,7 @@ def _names(spark, sf):
     return fx.table(spark, sf, "supplier").select(
         n.alias("request_id"),
         F.when(n % 5 == 0, F.concat(F.lit("node-"), text)).when(n % 5 == 1, F.concat(F.lit("ODE-"), text))
-        .when(n % 5 == 2, F.concat(F.lit("anjar DEV-"), text)).when(n % 5 == 3, F.concat(F.lit("10.0.0."), text))
+        .when(n % 5 == 2, F.concat(F.lit("depot DEV-"), text)).when(n % 5 == 3, F.concat(F.lit("10.0.0."), text))
         .otherwise(F.concat(F.lit("nowhere "), text)).alias("name"))
 
 

@@ -362,7 +362,7 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer per device that states its event count, wrongly for each third."""
     counts = seeds(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"))
-    name = F.concat(F.lit("SF-200-dev-"), F.col("u").cast("string"))
+    name = F.concat(F.lit("XR-200-dev-"), F.col("u").cast("string"))
     n = F.col("n").cast("string")
     said = (F.col("n") + F.when(F.col("u") % 3 == 0, 7).otherwise(0)).cast("string")
     text_ = F.concat(F.lit("The top 10 logs: "), name, F.lit(" had "), n, F.lit(" warning-severity events, a total of "),
