@@ -178,14 +178,15 @@ class Scorer:
         return np.log1p(out)
 
 
-def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0, candidates: int = 50_000,
-                  entries: int = 5_000) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, support: int = 3, share: float = 0.005, odds: float = 2.0,
+                  candidates: int = 50_000, entries: int = 1_000) -> dict[str, float]:
     """Entries and their log odds from (text, label): what toxic rows hold far more often than the others.
 
-    Counts cover all rows given. Candidates are the terms of at least `support` toxic
-    rows; the `candidates` most frequent are counted in the other rows, and the
-    `entries` with the largest log odds (less two standard errors, at least
-    `odds`) form the lexicon. A stem stands for its words unless one word makes
+    Counts cover all rows given, equal texts of a label once. Candidates are the
+    terms of at least `support` toxic rows and a `share` of them; the `candidates`
+    most frequent are counted in the other rows. Terms whose log odds less two
+    standard errors are at least `odds` form the lexicon, at most `entries`, the
+    most frequent first. A stem stands for its words unless one word makes
     up most of its rows.
     """
     def count(kept):
@@ -200,6 +201,10 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0, candidat
                                                  names=["term", "n"])
         return run
 
+    docs = docs.withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "label"])
+    totals = dict(docs.groupBy("label").count().collect())
+    ones, zeros = totals.get(1, 0), totals.get(0, 0)
+    support = max(support, int(share * ones))
     toxic, clean = docs.where("label = 1").select("text"), docs.where("label = 0").select("text")
     counted = toxic.mapInArrow(count(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     held = {r[0]: r[1] for r in counted.where(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(candidates).collect()}
@@ -208,8 +213,6 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0, candidat
     kept = docs.sparkSession.sparkContext.broadcast(frozenset(held))  # at most `candidates` terms
     other = {r[0]: r[1] for r in clean.mapInArrow(count(kept), "term string, n long")
              .groupBy("term").agg(F.sum("n")).collect()}
-    totals = dict(docs.groupBy("label").count().collect())
-    ones, zeros = totals.get(1, 0), totals.get(0, 0)
     weights = {}
     for term, n in held.items():
         m = other.get(term, 0)
@@ -229,7 +232,7 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0, candidat
     for word in weights:
         if not word.endswith("*") and not any(word[:n] + "*" in chosen for n in STEMS):
             chosen[word] = weights[word]
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:entries])
+    return dict(sorted(chosen.items(), key=lambda x: (-held[x[0]], x[0]))[:entries])
 
 
 def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
