@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logrill.llm.common import BYTE_VALUES, mixed
+from logrill.llm.common import BASE, BYTE_VALUES, mixed
 from logrill.session import materialize
 
 SLICE = 1 << 18  # positions handled at a time
@@ -61,10 +61,11 @@ class Unit:
             for low in range(0, max(len(self.data) - span + 1, 0), SLICE):
                 part = BYTE_VALUES[self.data[low:low + SLICE + span - 1]]
                 h, done = part, 1
-                while done < seed:  # doubling: a hash of 2n bytes from two of n
+                while done < seed:  # doubling: a polynomial in 2n bytes from two in n
                     n = min(done, seed - done)
-                    h = mixed(h[:len(h) - n] * np.uint64(0x9E3779B97F4A7C15) + h[n:])
+                    h = h[:len(h) - n] * np.uint64(pow(BASE, n, 1 << 64)) + h[n:]
                     done += n
+                h = mixed(h)
                 key = (h & ~np.uint64((1 << 21) - 1)) | np.arange(len(h), dtype=np.uint64)
                 best, done = key, 1
                 while done < width:
@@ -198,14 +199,10 @@ class LoserTree:
         p, q = self.known[a], self.known[b]
         if p != q:  # both are compared to the same last winner: the longer common prefix is the smaller row
             return (a, b) if p > q else (b, a)
-        if x[p:] == y[p:]:
-            self.known[b] = len(y)
-            return a, b
-        step = p
-        n = len(x)
-        while step < n and x[step] == y[step]:
-            step += 1
-        if x[step] < y[step]:
+        n = len(x) - p
+        differ = int.from_bytes(x[p:]) ^ int.from_bytes(y[p:])  # the bytes beyond the known prefix only
+        step = p + (8 * n - differ.bit_length()) // 8
+        if not differ or x[step] < y[step]:
             self.known[b] = step
             return a, b
         self.known[a] = step
@@ -213,20 +210,21 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple[int, int, bytes]]:
         """(prefix in common with the row before, run, row) in order."""
-        while True:
-            w = self.winner
-            row = self.row[w]
-            if row is None:
-                return
-            yield self.known[w], w, row
+        row, known, loser, w = self.row, self.known, self.loser, self.winner
+        while row[w] is not None:
+            yield known[w], w, row[w]
             head = next(self.runs[w], None)
             # the next row of the run is known to have this much in common with its last, which won
-            self.row[w], self.known[w] = (None, 0) if head is None else (head[1], head[0])
+            known[w], row[w] = (0, None) if head is None else head
             node = (w + self.size) // 2
             while node:
-                w, self.loser[node] = self._play(w, self.loser[node])
+                other = loser[node]
+                if row[other] is not None:
+                    if row[w] is None or known[w] < known[other]:
+                        loser[node], w = w, other
+                    elif known[w] == known[other]:
+                        w, loser[node] = self._play(w, other)
                 node //= 2
-            self.winner = w
 
 
 FEW = 40  # suffixes of one seed that are compared pair by pair
