@@ -6,12 +6,12 @@ window of `width` template words is hashed; windows of documents meet those of
 benchmark items in a hash join. A question that is asked again with other
 numbers or names keeps its template, so its windows meet, too. A window counts
 only if its slots are consistent: wherever the item repeats a value the document
-repeats one, the other way round, and in all windows of the two alike.
+repeats one, the other way round, and in all windows of one copy alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.session import materialize
@@ -73,50 +73,77 @@ def _slots(raw: Column, form: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(raw.alias("r"), form.alias("f")), lambda x: x["f"].isin(NUMBER, UNIT, NAME)), lambda x: F.lower(x["r"]))
 
 
+def _mappings(pairs: DataFrame, key: str, item: str, width: int) -> DataFrame:
+    """Each met window once per mapping `m` of the item's values that it may belong to.
+
+    A mapping is looked for in each alignment (position in the document less
+    position in the item, kind 0), in alignments at most `width` apart (1: a copy
+    with words put in or left out) and in the whole document (2); the item's own
+    values are one, too (3).
+    """
+    order = Window.partitionBy(key, item, "_copy").orderBy("_shift")
+    pairs = pairs.withColumn("_new", F.coalesce(F.col("_shift") - F.lag("_shift").over(order) > width, F.lit(True)).cast("int"))
+    pairs = pairs.withColumn("_near", F.sum("_new").over(order))
+
+    def option(kind: int, copy: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), copy.cast("long").alias("copy"), at.cast("long").alias("at"))
+
+    options = F.array(option(0, F.col("_copy"), F.col("_shift")), option(1, F.col("_copy"), F.col("_near")), option(2, F.lit(0), F.lit(0)),
+                      F.when(F.col("slots") == F.col("d_slots"), option(3, F.lit(0), F.lit(0))))
+    return (pairs.select(key, item, F.explode(options).alias("m"), "hash", "slots", "d_slots", "both").where("m IS NOT NULL")
+            .distinct())
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
           item_text: str = "text", width: int = 8, fixed: int = 4, share: float = 0.5,
           small_windows: int = 1_000_000) -> DataFrame:
     """(key, item, n_windows, n_item_windows, share, slots_equal): documents that hold an item or its template.
 
     An item is held if at least `share` of its distinct windows stand in the
-    document with consistent slots. Windows with fewer than `fixed` words that
-    are no placeholder, and with fewer than three distinct ones, do not count;
-    items without any other window cannot be held. slots_equal says whether all
-    slot values agree, too. Nulls and empty texts hold nothing; rows of a
+    document with consistent slots: under one mapping of the item's values to
+    the document's, which one copy in the document, or all of it, suggests; that
+    with most windows counts. Windows with fewer than `fixed` words that are no
+    placeholder, and with fewer than three distinct ones, do not count; items without any other
+    window cannot be held. slots_equal says whether all slot values agree, too. Nulls and empty texts hold nothing; rows of a
     repeated key count as one document, repeated items as one. The benchmark's
     windows are broadcast only if there are at most `small_windows`.
     """
-    items = _windows(benchmark.where(F.col(item).isNotNull()).withColumnRenamed(item_text, "_text"), item, "_text", width)
-    asked = items.select(item, "raw", "form", F.posexplode("hashes").alias("at", "hash"))
+    benchmark = benchmark.where(F.col(item).isNotNull()).select(item, F.coalesce(F.col(item_text), F.lit("")).alias("_text")).distinct()
+    benchmark = benchmark.withColumn("who", F.struct(F.col(item).alias("id"), F.xxhash64("_text").alias("text")))
+    asked = _windows(benchmark, "who", "_text", width).select("who", "raw", "form", F.posexplode("hashes").alias("at", "hash"))
     form, raw = (F.slice(c, F.col("at") + 1, width) for c in ("form", "raw"))
-    asked = asked.select(item, "hash", form.alias("form"), raw.alias("raw"))
+    asked = asked.select("who", "hash", "at", form.alias("form"), raw.alias("raw"))
     plain = F.filter("form", lambda w: ~w.isin(NUMBER, UNIT, NAME))
-    asked = asked.where((F.size(plain) >= fixed) & (F.size(F.array_distinct(plain)) >= 3))
-    asked = asked.groupBy(item, "hash").agg(F.min(F.struct("form", "raw")).alias("w")).select(
-        item, "hash", "w.form", _slots(F.col("w.raw"), F.col("w.form")).alias("slots"))
+    asked = materialize(asked.where((F.size(plain) >= fixed) & (F.size(F.array_distinct(plain)) >= 3)), "leak_items")
+    asked = asked.withColumn(item, F.col("who.id")).groupBy(item, "hash").agg(
+        F.min(F.struct("form", "raw", "at")).alias("w")).select(
+        item, "hash", "w.form", _slots(F.col("w.raw"), F.col("w.form")).alias("slots"), "w.at")
     counts = asked.groupBy(item).agg(F.count("*").alias("n_item_windows"))
     hashes = asked.select("hash").distinct()
     if hashes.count() <= small_windows:
         hashes = F.broadcast(hashes)
-    texts = _windows(docs.where(F.col(key).isNotNull()), key, text, width)
+    named = docs.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text")).alias("who"), F.col(text).alias("_text"))
+    texts = _windows(named, "who", "_text", width)
     # first the bare hashes meet; the words of a window are cut out only where it met
-    met = texts.select(key, "raw", "form", F.posexplode("hashes").alias("at", "hash")).join(hashes, "hash", "left_semi")
-    met = met.select(key, "hash", F.slice("form", F.col("at") + 1, width).alias("d_form"),
-                     F.slice("raw", F.col("at") + 1, width).alias("d_raw"))
-    met = met.select(key, "hash", "d_form", _slots(F.col("d_raw"), F.col("d_form")).alias("d_slots")).distinct()
+    met = texts.select("who", "raw", "form", F.posexplode("hashes").alias("at", "hash")).join(hashes, "hash", "left_semi")
+    met = met.select(F.col("who.id").alias(key), F.col("who.text").alias("_copy"), "hash", F.col("at").alias("d_at"),
+                     F.slice("form", F.col("at") + 1, width).alias("d_form"), F.slice("raw", F.col("at") + 1, width).alias("d_raw"))
+    met = met.withColumn("d_slots", _slots(F.col("d_raw"), F.col("d_form"))).drop("d_raw")
     pairs = met.join(asked, "hash").where(F.col("d_form") == F.col("form"))
     # consistent in a window: equal slots of the item have equal values in the document, and the other way round
     both = F.array_distinct(F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d")))
-    pairs = pairs.select(key, item, "hash", "slots", "d_slots", both.alias("both")).where(
+    pairs = pairs.select(key, item, "_copy", (F.col("d_at") - F.col("at")).alias("_shift"), "hash", "slots", "d_slots", both.alias("both")).where(
         (F.size(F.array_distinct("slots")) == F.size("both")) & (F.size(F.array_distinct("d_slots")) == F.size("both")))
-    pairs = materialize(pairs, "leak_windows")  # read twice, and few: the windows of documents that an item has, too
-    # and over all windows of the pair: each value of the item stands for the value it meets most often (ties: the last)
-    votes = pairs.select(key, item, F.explode("both").alias("b")).groupBy(key, item, "b.i", "b.d").agg(F.count("*").alias("n"))
-    meant = votes.groupBy(key, item, "i").agg(F.max(F.struct("n", "d")).alias("best"))
-    meant = meant.groupBy(key, item).agg(F.map_from_entries(F.collect_list(F.struct("i", "best.d"))).alias("meant"))
-    agreed = pairs.join(meant, [key, item], "left").where(F.forall("both", lambda b: F.col("meant")[b["i"]] == b["d"]))
-    held = (agreed.groupBy(key, item, "hash").agg(F.max(F.col("slots") == F.col("d_slots")).alias("same"))
-            .groupBy(key, item).agg(F.count("*").alias("n_windows"), F.min("same").alias("slots_equal")))
-    return (held.join(counts, item).withColumn("share", F.col("n_windows") / F.col("n_item_windows"))
+    # read twice, and few: the windows of documents that an item has, too
+    pairs = materialize(_mappings(pairs, key, item, width), "leak_windows")
+    # and over all windows of a mapping: each value of the item stands for the value it meets most often (ties: the last)
+    votes = pairs.select(key, item, "m", F.explode("both").alias("b")).groupBy(key, item, "m", "b.i", "b.d").agg(F.count("*").alias("n"))
+    meant = votes.groupBy(key, item, "m", "i").agg(F.max(F.struct("n", "d")).alias("best"))
+    meant = meant.groupBy(key, item, "m").agg(F.map_from_entries(F.collect_list(F.struct("i", "best.d"))).alias("meant"))
+    agreed = pairs.join(meant, [key, item, "m"], "left").where(F.forall("both", lambda b: F.col("meant")[b["i"]] == b["d"]))
+    held = (agreed.groupBy(key, item, "m", "hash").agg(F.max(F.col("slots") == F.col("d_slots")).alias("same"))
+            .groupBy(key, item, "m").agg(F.count("*").alias("n_windows"), F.min("same").alias("slots_equal"))
+            .groupBy(key, item).agg(F.max(F.struct("n_windows", "slots_equal")).alias("best")))
+    return (held.join(counts, item).withColumn("share", F.col("best.n_windows") / F.col("n_item_windows"))
             .where(F.col("share") >= share)
-            .select(key, item, "n_windows", "n_item_windows", "share", "slots_equal"))
+            .select(key, item, "best.n_windows", "n_item_windows", "share", "best.slots_equal"))

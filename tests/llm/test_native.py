@@ -62,3 +62,22 @@ def test_planted_questions(spark, odd, empty):
     sized = {r["doc_id"] for r in leaks(docs, items, small_windows=0).collect()}
     assert sized == set(got)
     assert leaks(odd, items).count() == leaks(empty, items).count() == leaks(docs, items.limit(0)).count() == 0
+
+
+def _items(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_two_copies_in_one_document(spark):
+    item = "Tom had 3 red apples and gave 7 green pears to all of his 3 old friends near the wide river before 7 o'clock"
+
+    def other(three, seven):
+        return item.replace("3", three).replace("7", seven)
+
+    docs = spark.createDataFrame([
+        (1, item + ". Then: " + other("5", "2")), (2, other("8", "4") + ". " + other("5", "2")), (3, other("5", "2") + ". " + other("8", "4") + ". " + item),
+        (4, other("8", "4").replace("and gave", "and then gladly gave") + ". " + other("5", "2").replace("and gave", "and then gladly gave")),
+        (5, other("8", "4")), (5, other("5", "2"))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["share"], r["slots_equal"]) for r in leaks(docs, _items(spark, item)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[1] == got[3] == (1.0, True) and got[2] == got[5] == (1.0, False) and got[4][0] >= 0.5
