@@ -81,3 +81,24 @@ def test_two_copies_in_one_document(spark):
     got = {r["doc_id"]: (r["share"], r["slots_equal"]) for r in leaks(docs, _items(spark, item)).collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     assert got[1] == got[3] == (1.0, True) and got[2] == got[5] == (1.0, False) and got[4][0] >= 0.5
+
+
+def test_items_without_a_window(spark):
+    items = _items(spark, "What is the capital of France?", "12 + 7 = 19, 8 * 3 = 24, 4 + 4 = 8 and 9 - 2 = 7", "小明有三个苹果，他又买了五个苹果。", "too short")
+    docs = spark.createDataFrame([
+        (1, "Q: what is the Capital of France? A: Paris"), (2, "so 12 + 7 = 19, 8 * 3 = 24, 4 + 4 = 8 and 9 - 2 = 7 it was"), (3, "题目小明有三个苹果，他又买了五个苹果。问"),
+        (4, "What is the capital of Spain, or of France? 12 + 7 = 19, 8 * 3 = 24, 4 + 4 = 8 and 9 - 2 = 6"), (5, "小明有三个苹果，他又买了四个苹果。"), (6, None),
+        (None, "too short")], "doc_id long, text string")
+    for small in (0, 1000):
+        got = leaks(docs, items, small_windows=small).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 0), (2, 1), (3, 2)]
+        assert all(r["share"] == 1.0 and r["slots_equal"] for r in got)
+
+
+def test_long_verbatim_passage(spark):
+    item = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
+    words = item.split()
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words[40:53]) + " z"), (2, "x y " + " ".join(words[40:52]) + " z"), (3, " ".join(words[:13])),
+                                  (4, " ".join(words[-13:]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["n_item_windows"]) for r in leaks(docs, _items(spark, item)).collect()}
+    assert got == {1: (6, 93), 3: (6, 93), 4: (6, 93)}
