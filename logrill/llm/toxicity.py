@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logrill.session import materialize
+
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(4, 9)
 REPORTS = frozenset(
@@ -178,61 +180,46 @@ class Scorer:
         return np.log1p(out)
 
 
-def learn_lexicon(docs: DataFrame, support: int = 3, share: float = 0.005, odds: float = 2.0,
-                  candidates: int = 50_000, entries: int = 1_000) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0) -> dict[str, float]:
     """Entries and their log odds from (text, label): what toxic rows hold far more often than the others.
 
-    Counts cover all rows given, equal texts of a label once. Candidates are the
-    terms of at least `support` toxic rows and a `share` of them; the `candidates`
-    most frequent are counted in the other rows. Terms whose log odds less two
-    standard errors are at least `odds` form the lexicon, at most `entries`, the
-    most frequent first. A stem stands for its words unless one word makes
-    up most of its rows.
+    Counts cover all rows given, equal texts of a label once. Terms of at least
+    `support` toxic texts whose log odds less two standard errors are at least
+    `odds` form the lexicon, however rare they are. A stem stands for its words
+    unless one word makes up most of its rows.
     """
-    def count(kept):
-        def run(batches):
-            wanted = kept.value if kept is not None else None
-            for batch in batches:
-                n = Counter()
-                for text in batch.column(0).to_pylist():
-                    found = terms(text or "")
-                    n.update(found if wanted is None else found & wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())],
-                                                 names=["term", "n"])
-        return run
+    def count(batches):
+        for batch in batches:
+            n = Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n.update((t, label) for t in terms(text or ""))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in n], pa.string()), pa.array([n[k] if k[1] == 1 else 0 for k in n], pa.int64()),
+                 pa.array([n[k] if k[1] == 0 else 0 for k in n], pa.int64())], names=["term", "n", "m"])
 
     docs = docs.withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "label"])
     totals = dict(docs.groupBy("label").count().collect())
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
-    support = max(support, int(share * ones))
-    toxic, clean = docs.where("label = 1").select("text"), docs.where("label = 0").select("text")
-    counted = toxic.mapInArrow(count(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    held = {r[0]: r[1] for r in counted.where(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(candidates).collect()}
-    if not held:
-        return {}
-    kept = docs.sparkSession.sparkContext.broadcast(frozenset(held))  # at most `candidates` terms
-    other = {r[0]: r[1] for r in clean.mapInArrow(count(kept), "term string, n long")
-             .groupBy("term").agg(F.sum("n")).collect()}
-    weights = {}
-    for term, n in held.items():
-        m = other.get(term, 0)
-        log = np.log((n + 0.5) / (ones + 1)) - np.log((m + 0.5) / (zeros + 1))
-        if log - 2 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) >= odds:
-            weights[term] = float(log)
+    held = docs.select("text", "label").mapInArrow(count, "term string, n long, m long").groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= support)
+    held = materialize(held, "toxic_terms")
+    log = F.log((F.col("n") + 0.5) / (ones + 1)) - F.log((F.col("m") + 0.5) / (zeros + 1))
+    error = F.sqrt(1 / (F.col("n") + 0.5) + 1 / (F.col("m") + 0.5))
+    # the rows of the word that most often begins with a stem
+    starts = F.explode(F.array(*(F.concat(F.substring("term", 1, n), F.lit("*")) for n in STEMS))).alias("term")
+    most = held.where(~F.endswith("term", F.lit("*"))).select(starts, F.col("n").alias("most")).groupBy("term").agg(F.max("most").alias("most"))
+    found = held.withColumn("log", log).where(F.col("log") - 2 * error >= odds).join(most, "term", "left").collect()
+    weights = {r["term"]: r["log"] for r in found}
+    rows = {r["term"]: (r["n"], r["most"] or 0) for r in found}
     # stems from the shortest: one that a single word explains gives way to the word, others cover longer terms
     chosen: dict[str, float] = {}
-    most = {}
-    for word in held:
-        if not word.endswith("*"):
-            for n in STEMS:
-                most[word[:n] + "*"] = max(most.get(word[:n] + "*", 0), held[word])
     for term in sorted((t for t in weights if t.endswith("*")), key=lambda t: (len(t), t)):
-        if most.get(term, 0) < 0.6 * held[term] and not any(term[:n] + "*" in chosen for n in STEMS if n < len(term) - 1):
+        if rows[term][1] < 0.6 * rows[term][0] and not any(term[:n] + "*" in chosen for n in STEMS if n < len(term) - 1):
             chosen[term] = weights[term]
     for word in weights:
         if not word.endswith("*") and not any(word[:n] + "*" in chosen for n in STEMS):
             chosen[word] = weights[word]
-    return dict(sorted(chosen.items(), key=lambda x: (-held[x[0]], x[0]))[:entries])
+    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0])))
 
 
 def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -286,7 +273,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, keep: list[str], labe
     picked = marked.orderBy(F.xxhash64(key), key).limit(sample)
     seen = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(picked), key)  # at most `sample` keys
     lexicon = learn_lexicon(seen.select(F.col("_text").alias("text"), "label"), **lexicon_options)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `entries` terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of at most `sample` rows
     rows = _featured(seen, shared, ["label"]).toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     x = np.array(rows.column("x").to_pylist()).reshape(-1, N_FEATURES)

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from logrill.llm.common import fold
 from logrill.llm.language import identify, learn, letters
 from logrill.llm.quality import features, fit, score, train
-from logrill.llm.toxicity import Lexicon, Scorer, toxicity
+from logrill.llm.toxicity import Lexicon, Scorer, learn_lexicon, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,3 +124,13 @@ def test_quotation_lowers():
     scorer = Scorer(Lexicon({"idiot": 3.0}))
     plain, quoted, reported = (scorer.features(t) for t in ("you idiot there", 'the "idiot" there', "she said idiot there"))
     assert plain[0] > 0 and plain[4] > 0 and quoted[0] == 0 < quoted[2] and reported[0] == 0 < reported[3]
+
+
+def test_rare_terms_stay_in_the_lexicon(spark):
+    rows = spark.range(22_000).select(
+        F.concat(F.lit("you "), F.when(F.col("id") < 8, "zarquon").when(F.col("id") < 2_000, "idiot").otherwise("friend"), F.lit(" "), F.col("id")).alias("text"),
+        (F.col("id") < 2_000).cast("int").alias("label"))
+    found = learn_lexicon(rows)
+    assert {"zarquon", "idiot"} <= set(found) and not {"you", "friend"} & set(found)
+    copies = rows.where("text NOT LIKE '%zarquon%'").union(spark.range(8).select(F.lit("you zarquon 1"), F.lit(1)))
+    assert "zarquon" not in learn_lexicon(copies)
