@@ -47,6 +47,7 @@ class Lexicon:
         self.weights = dict(weights)
         self.children: list[dict[str, int]] = [{}]
         self.entry: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.reach = [0]  # edits that entries below a node may have
         for term in sorted(weights):
             letters = term.rstrip("*")
@@ -58,11 +59,11 @@ class Lexicon:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.entry.append(None)
+                    self.stem.append(None)
                     self.reach.append(0)
                 node = self.children[node][letter]
             self.reach[node] = max(self.reach[node], edits)
-            if self.entry[node] is None or not term.endswith("*"):
-                self.entry[node] = term
+            (self.stem if term.endswith("*") else self.entry)[node] = term
         self._reset()
 
     def _reset(self) -> None:
@@ -82,8 +83,8 @@ class Lexicon:
             best[node] = edits
             todo += [(child, edits + 1) for child in self.children[node].values()]  # a letter of the entry left out
         for node in best:
-            term = self.entry[node]
-            if term and term.endswith("*") and best[node] == 0:
+            term = self.stem[node]
+            if term and best[node] == 0:
                 stem = max(stem or (0.0, ""), (self.weights[term], term))
         key = (tuple(sorted(best.items())), stem)
         if key not in self.number:
@@ -120,8 +121,7 @@ class Lexicon:
             if not self.states[state][0] and self.states[state][1] is None:
                 return None
         nodes, stem = self.states[state]
-        found = [(edits, -self.weights[self.entry[n]], self.entry[n]) for n, edits in nodes
-                 if self.entry[n] and not (self.entry[n].endswith("*") and edits)]
+        found = [(edits, -self.weights[self.entry[n]], self.entry[n]) for n, edits in nodes if self.entry[n]]
         if stem:
             found.append((0, -stem[0], stem[1]))
         if not found:
@@ -185,8 +185,8 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0) -> dict[
 
     Counts cover all rows given, equal texts of a label once. Terms of at least
     `support` toxic texts whose log odds less two standard errors are at least
-    `odds` form the lexicon, however rare they are. A stem stands for its words
-    unless one word makes up most of its rows.
+    `odds` form the lexicon, however rare they are. A stem stands beside its
+    words unless one word makes up most of its rows.
     """
     def count(batches):
         for batch in batches:
@@ -216,9 +216,7 @@ def learn_lexicon(docs: DataFrame, support: int = 3, odds: float = 2.0) -> dict[
     for term in sorted((t for t in weights if t.endswith("*")), key=lambda t: (len(t), t)):
         if rows[term][1] < 0.6 * rows[term][0] and not any(term[:n] + "*" in chosen for n in STEMS if n < len(term) - 1):
             chosen[term] = weights[term]
-    for word in weights:
-        if not word.endswith("*") and not any(word[:n] + "*" in chosen for n in STEMS):
-            chosen[word] = weights[word]
+    chosen |= {word: weight for word, weight in weights.items() if not word.endswith("*")}  # beside the stems: these allow no edits
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0])))
 
 

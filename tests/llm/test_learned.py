@@ -134,3 +134,15 @@ def test_rare_terms_stay_in_the_lexicon(spark):
     assert {"zarquon", "idiot"} <= set(found) and not {"you", "friend"} & set(found)
     copies = rows.where("text NOT LIKE '%zarquon%'").union(spark.range(8).select(F.lit("you zarquon 1"), F.lit(1)))
     assert "zarquon" not in learn_lexicon(copies)
+
+
+def test_misspellings_of_words_with_a_stem(spark):
+    rows = spark.range(1_200).select(
+        F.concat(F.lit("you "), F.when(F.col("id") >= 600, "friend").otherwise(F.element_at(F.array(*map(F.lit, ("idiot", "idiots", "idiotic"))), (F.col("id") % 3 + 1).cast("int"))),
+                 F.lit(" "), F.col("id")).alias("text"), (F.col("id") < 600).cast("int").alias("label"))
+    found = learn_lexicon(rows)
+    assert {"idiot", "idiots", "idiotic", "idio*"} <= set(found)
+    lexicon = Lexicon(found)
+    assert [lexicon.match(w) and lexicon.match(w)[1] for w in ("idot", "iddiot", "idiot", "idiotically", "friend")] == [1, 1, 0, 0, None]
+    both = Lexicon({"idiot": 3.0, "idiot*": 2.0})
+    assert both.match("idiot") == ("idiot", 0) and both.match("idiotenfest") == ("idiot*", 0) and both.match("idot") == ("idiot", 1)
