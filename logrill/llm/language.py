@@ -193,21 +193,14 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, max_grams: int = 4_000_000) -> Model | None:
+def learn(docs: DataFrame) -> Model | None:
     """The model of (lang, text) rows, or None where no row has both a language and letters.
 
-    All texts are counted. The model is bounded for broadcasting: above
-    `max_grams` distinct (language, 4-gram) pairs the rarest are pruned, whole
-    count classes at a time, and scored by backing off like any unseen gram.
+    All texts are counted, and every (language, 4-gram) pair is in the model, so
+    a language keeps its rarest grams beside much larger ones. The model grows
+    with the number of distinct pairs; driver and executors must have room for it.
     """
-    counts = materialize(gram_counts(docs.where("lang IS NOT NULL")), "language_counts")
-    classes = {r["n"]: r["k"] for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect()}
-    total, least = sum(classes.values()), 1
-    while total > max_grams and least < 1000:
-        total -= classes.get(least, 0)
-        least += 1
-    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(max_grams).toArrow() if total > max_grams \
-        else counts.where(F.col("n") >= least).toArrow()
+    rows = materialize(gram_counts(docs.where("lang IS NOT NULL")), "language_counts").toArrow()
     if not rows.num_rows:
         return None
     names = rows.column("lang").combine_chunks().dictionary_encode()

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -146,3 +147,18 @@ def test_misspellings_of_words_with_a_stem(spark):
     assert [lexicon.match(w) and lexicon.match(w)[1] for w in ("idot", "iddiot", "idiot", "idiotically", "friend")] == [1, 1, 0, 0, None]
     both = Lexicon({"idiot": 3.0, "idiot*": 2.0})
     assert both.match("idiot") == ("idiot", 0) and both.match("idiotenfest") == ("idiot*", 0) and both.match("idot") == ("idiot", 1)
+
+
+def test_a_large_language_costs_a_small_one_nothing(spark):
+    def random_letters(batches):
+        for batch in batches:
+            for k in batch["id"]:
+                drawn = np.random.default_rng(k).integers(0x4E00, 0x9FA5, 100_000).astype(np.uint32)
+                yield pd.DataFrame({"lang": ["yy"], "text": [drawn.tobytes().decode("utf-32-le")]})
+
+    large = spark.range(42).mapInPandas(random_letters, "lang string, text string")  # more than 4 million distinct 4-grams
+    small = spark.createDataFrame([("zz", "einmal und nie wieder")], "lang string, text string")
+    model = learn(large.union(small))
+    assert model.langs == ["yy", "zz"]
+    h = model.cross_entropy([letters("einmal")])
+    assert h[0, 1] < h[0, 0]
