@@ -1,5 +1,7 @@
 """Queries that drive the streaming jobs over the given tables to completion."""
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from logrill.session import fresh_path
@@ -30,6 +32,29 @@ def _collected(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _collected_with_timers(spark, stream, name, timeout_seconds):
+    """Run an append stream over files that are all there into a table, until every processing-time timer has fired.
+
+    The first batch takes all files and sets all timers, so a batch that begins
+    the timeout after it has ended is the last one with a result.
+    """
+    keyed.use_rocksdb(spark)
+    out = fresh_path(spark, name)
+    query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "position"))
+             .trigger(processingTime="1 second").start())
+    fired = None
+    while not query.awaitTermination(1):  # raises where the query failed
+        done = query.lastProgress
+        if done is None:
+            continue
+        if fired is None:
+            fired = datetime.now(timezone.utc) + timedelta(seconds=timeout_seconds)
+        elif datetime.fromisoformat(done["timestamp"]) > fired:
+            break
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def stream_ingest(spark, sf):
     lines, out = fresh_path(spark, "lines"), fresh_path(spark, "events")
     fx.raw_lines(spark, sf).write.text(lines)
@@ -79,11 +104,10 @@ def stream_clock_skew(spark, sf):
     return rows.withColumn("skew_seconds", F.round("skew_seconds", 6))
 
 
-def stream_multipart(spark, sf):
-    """Messages completed from their parts; a run to the end has no timer to wait for."""
-    rows = _collected(spark, keyed.stream_multipart(
-        _as_stream(spark, fx.segments(spark, sf), "stream"), None), "parts")
-    return rows.where("complete")
+def stream_multipart(spark, sf, timeout_seconds=10):
+    """Messages completed from their parts, and after the timeout those that lack some, with what is there."""
+    return _collected_with_timers(spark, keyed.stream_multipart(
+        _as_stream(spark, fx.segments(spark, sf), "stream"), timeout_seconds), "parts", timeout_seconds)
 
 
 QUERIES = {f.__name__: f for f in (

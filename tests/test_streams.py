@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from logrill.operators import signals
+from logrill.plans import streams
 from logrill.session import fresh_path
 from logrill.sources import fixture as fx
 from logrill.streaming import jobs, keyed
@@ -68,3 +69,11 @@ def test_lost_part_is_emitted_after_the_timeout(spark):
         time.sleep(0.5)
     query.stop()
     assert [(r.message, r.complete) for r in spark.sql("SELECT * FROM lost_parts").collect()] == [("lone", False)]
+
+
+def test_multipart_query_returns_messages_that_lack_a_part(spark):
+    rows = streams.stream_multipart(spark, SF).cache()
+    keys = ["source_ip", "reported_hostname", "message_id"]
+    parts = fx.segments(spark, SF).where("program = 'CSCOacs_Passed'").withColumn("message_id", F.split("raw", " ")[0]).select(keys).distinct()
+    assert parts.count() and parts.exceptAll(rows.select(keys).distinct()).count() == 0
+    assert rows.where("complete").count() and rows.where("not complete").count()
