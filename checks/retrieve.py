@@ -149,6 +149,7 @@ SQL = {
     "resolved_count": with_lab(f"SELECT request_id, hostname, program, CASE WHEN n2 > 0 THEN n2 ELSE {_n('c4.hostname', 'c4.program')} END AS event_count FROM c4",
         NAMES, HOSTS, resolution("nm", "hosts", "hostname"), REQUESTS, COUNTED),
     "knn_exact": "WITH d AS (SELECT vec_id AS id, embedding AS e FROM embeddings), q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0) " + cosine("d", "q", 10),
+    "knn_approx": "WITH d AS (SELECT vec_id AS id, embedding AS e FROM embeddings), q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0) " + cosine("d", "q", 10),
     "bm25": f"WITH {_D}, {bm('bd', 'bq', 10, 'b_')} SELECT * FROM b_top",
     "hybrid_search": f"""WITH {_H}, {bm('hd', 'hq', 10, 'h_')}, kn AS ({cosine('hde', 'hqe', 10)}),
       fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM h_top UNION ALL SELECT query_id, doc_id, rank FROM kn) GROUP BY 1, 2)

@@ -2,13 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz
 from logrill.functions.text import strip
+from logrill.operators.vectorindex import nearest
+from logrill.operators.wordindex import best, search, word_index
 
 RRF_CONSTANT = 60
 
@@ -28,12 +28,6 @@ def filter_docs(docs: DataFrame, source_ip: str | None = None, vendor: str | Non
     return rows
 
 
-def _top(rows: DataFrame, k: int) -> DataFrame:
-    """Best k per query; Spark cuts to k per task before it shuffles."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def _blocks(df: DataFrame, key: str, rows: int, number: str) -> DataFrame:
     """Blocks of about ``rows`` vectors, each an array of (key, embedding)."""
     count = df.agg(F.ceil(F.count("*") / rows).alias("n")).scalar()
@@ -42,7 +36,7 @@ def _blocks(df: DataFrame, key: str, rows: int, number: str) -> DataFrame:
 
 
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = 256,
-              doc_rows: int = 2048, lanes: int = 64) -> DataFrame:
+              doc_rows: int = 2048) -> DataFrame:
     """k nearest documents (doc_id, embedding) by cosine for each (query_id, embedding).
 
     Every block of queries is laid beside every block of documents by an
@@ -64,62 +58,30 @@ def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, query_rows: int
                     yield pd.DataFrame({"query_id": query["query_id"], "doc_id": doc[best], "score": scores[best, j]})
 
     types = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    there = _blocks(docs, "doc_id", doc_rows, "_d")
+    lanes = max(1, -(-docs.count() // (4 * doc_rows)))  # about four blocks of documents each
     lane = F.pmod("_d", F.lit(lanes)).alias("_lane")
     asked = _blocks(queries, "query_id", query_rows, "_q").withColumn("_lane", F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = asked.join(_blocks(docs, "doc_id", doc_rows, "_d").select("doc_ids", lane), "_lane").select(
+    found = asked.join(there.select("doc_ids", lane), "_lane").select(
         "query_ids", "doc_ids").mapInPandas(search, f"query_id {types[0]}, doc_id {types[1]}, score double")
-    return _top(found, k)
+    return best(found, k)
 
 
-def knn_approx(docs: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24,
-               bucket_length: float = 0.6, seed: int = 42) -> DataFrame:
-    """Approximate neighbours: random projections give candidates, ranked exactly.
+def knn_approx(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None,
+               probes: int | None = None) -> DataFrame:
+    """Neighbours from an inverted file of 8-bit codes, re-ranked by the full vectors.
 
-    Unfiltered search only. On unit vectors the Euclidean distance d gives the
-    cosine 1 - d*d/2.
+    Unfiltered search only. Without `probes` no cell that could hold one of the
+    k best is left out, and the rows are those of knn_exact; with it the search
+    ends after so many cells.
     """
-    def vectors(df, id_column):
-        raw = df.select(id_column, array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(raw).drop("raw")
-
-    left, right = vectors(docs, "doc_id"), vectors(queries, "query_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables,
-                                      bucketLength=bucket_length, seed=seed)
-    model = lsh.fit(right)
-    pairs = model.approxSimilarityJoin(left, right, 2.1, distCol="d")
-    score = F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")
-    return _top(pairs.select(F.col("datasetB.query_id").alias("query_id"),
-                             F.col("datasetA.doc_id").alias("doc_id"), score), k)
-
-
-def tokens(c):
-    """Lower-case words of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Scores of all documents (doc_id, text) that share a word with a query (query_id, text)."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy(
-        "query_id", "token").agg(F.count("*").alias("_qtf"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("_t")).withColumn("_dl", F.size("_t"))
-    # words no query asks for are dropped before anything is shuffled
-    used = words.select("doc_id", "_dl", F.explode("_t").alias("token")).join(
-        asked.select("token").distinct(), "token", "left_semi")
-    tf = used.groupBy("doc_id", "_dl", "token").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("_df"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("_dl").alias("l"))
-    n = stats.select("n").scalar()
-    idf = F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf")
-    weights = asked.join(df, "token").select("query_id", "token", (F.col("_qtf") * idf).alias("_w"))
-    saturation = F.col("_tf") / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / stats.select("l").scalar()))
-    parts = tf.withColumn("_s", saturation).join(weights, "token")
-    return parts.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("_w") * F.col("_s")), 6).alias("score"))
+    return nearest(docs, queries, k, cells, probes=probes)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    return _top(bm25_scores(docs, queries, k1, b), k)
+    """The k best documents (doc_id, text) for each query (query_id, text) that share a word with it."""
+    return search(word_index(docs), queries, k, k1, b)
 
 
 def fuse(rankings: list[DataFrame], k: int = 10, constant: int = RRF_CONSTANT) -> DataFrame:
@@ -129,7 +91,7 @@ def fuse(rankings: list[DataFrame], k: int = 10, constant: int = RRF_CONSTANT) -
         together = together.unionByName(other.select("query_id", "doc_id", "rank"))
     summed = together.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(1.0 / (F.lit(constant) + F.col("rank"))), 6).alias("score"))
-    return _top(summed, k)
+    return best(summed, k)
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, k: int = 10, **filters) -> DataFrame:
