@@ -1,11 +1,12 @@
 """Record normalisation, device identity, clocks and multi-part messages."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.functions import text
 from logrill.functions.clock import MICROS, from_micros, micros, ntz, plus_seconds, seconds_between
-from logrill.functions.hotkeys import BLOCK_ROWS, Running, SLICE_SECONDS, in_row_blocks, numbered, previous, running
+from logrill.functions.hotkeys import BLOCK_ROWS, SLICE_ROWS, Running, in_row_blocks, numbered, previous, running, slicing
 from logrill.operators.state import keyed_upsert, latest_version
 
 
@@ -193,7 +194,7 @@ def fix_relay_timezone(events: DataFrame, relays: DataFrame, offset_hours: float
 
 def correct_clock_skew(events: DataFrame, samples: int = 50, min_samples: int = 30,
                        min_seconds: float = 300, max_stddev: float = 120,
-                       slice_seconds: int = SLICE_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Shift event times of devices whose clock is steadily wrong.
 
     The last ``samples`` differences confirm a skew (large mean, small spread)
@@ -201,7 +202,8 @@ def correct_clock_skew(events: DataFrame, samples: int = 50, min_samples: int =
     Frames run in blocks of equal row count, so one device may span many tasks.
     """
     order = ("received_at", "event_id")
-    rows = numbered(events, ["source_ip"], *order, slice_seconds=slice_seconds)
+    cut = slicing(events, ["source_ip"], *order, slice_rows)
+    rows = numbered(events, ["source_ip"], *order, cut=cut)
     rows = rows.withColumn("_diff", seconds_between("event_time", "received_at"))
     blocks = in_row_blocks(rows, "_rn", samples - 1, block_rows)
     frame = Window.partitionBy("source_ip", "_block").orderBy("_rn").rowsBetween(1 - samples, 0)
@@ -213,7 +215,7 @@ def correct_clock_skew(events: DataFrame, samples: int = 50, min_samples: int =
         & (F.col("_spread") <= max_stddev), F.col("_mean")
     ).when((F.col("_count") >= min_samples) & (F.abs("_mean") < min_seconds / 2), F.lit(0.0))
     held = running(judged.withColumn("_signal", signal), ["source_ip"], *order,
-                   [Running("skew_seconds", F.col("_signal"), "last")], slice_seconds)
+                   [Running("skew_seconds", F.col("_signal"), "last")], cut=cut)
     skew = F.coalesce("skew_seconds", F.lit(0.0))
     return (
         held.withColumn("skew_seconds", skew)
@@ -243,33 +245,36 @@ def _closed(parts: DataFrame, keys: list[str], timeout_seconds: int) -> DataFram
 
     A message ends when all its parts are there, or with the first part that
     comes later than the timeout after its first one. A group holds the parts
-    of one message id that came without a longer pause.
+    of one message id that came without a longer pause. The parts of a group
+    pass by in order, and only the open message is held.
     """
-    names = [c for c in parts.columns if c not in keys]
-    arrived = F.array_sort(F.collect_list(F.struct(
-        F.col("received_at").alias("at"), F.col("event_id").alias("tie"), F.struct(*names).alias("row"))))
-    lists = parts.groupBy(*keys).agg(arrived.alias("_rows"))
-    none = F.struct(F.lit(None).cast("timestamp_ntz").alias("start"), F.array().cast("array<int>").alias("seen"),
-                    F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(state, x):
-        late = seconds_between(state["start"], x["at"]) > timeout_seconds
-        fresh = state["start"].isNull() | late | (F.size(state["seen"]) >= x["row"]["_total"])
-        n = state["n"] + F.when(fresh, 1).otherwise(0)
-        idx = F.array(x["row"]["_idx"])
-        return F.struct(
-            F.when(fresh, x["at"]).otherwise(state["start"]).alias("start"),
-            F.when(fresh, idx).otherwise(F.array_union(state["seen"], idx)).alias("seen"),
-            n.alias("n"), F.concat(state["out"], F.array(n)).alias("out"))
-
-    numbers = F.aggregate("_rows", none, step, lambda s: s["out"])
-    numbered = lists.select(*keys, "_rows", numbers.alias("_numbers"))
-    zipped = F.explode(F.arrays_zip("_rows", "_numbers")).alias("x")
-    return numbered.select(*keys, zipped).select(*keys, "x._rows.row.*", F.col("x._numbers").alias("_n"))
+    names = [*keys, "received_at", "event_id", "_total", "_idx"]
+    rest = [c for c in parts.columns if c not in names]
+    packed = parts.select(*names, F.struct(*rest).alias("_rest"))
+    ordered = packed.repartition(*keys).sortWithinPartitions(*keys, "received_at", "event_id")
+    schema = packed.withColumn("_n", F.lit(0)).schema
+    timeout = timeout_seconds * 1_000_000
+
+    def run(batches):
+        group, start, seen, n = None, 0, set(), 0
+        for batch in batches:
+            numbers = []
+            at = batch.column("received_at").cast("int64").to_pylist()
+            by = zip(*(batch.column(k).to_pylist() for k in keys))
+            for key, t, total, idx in zip(by, at, batch.column("_total").to_pylist(), batch.column("_idx").to_pylist()):
+                if key != group:
+                    group, seen, n = key, set(), 0
+                if not n or t - start > timeout or len(seen) >= total:
+                    start, seen, n = t, set(), n + 1
+                seen.add(idx)
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "_n"])
+
+    return ordered.mapInArrow(run, schema).select(*names, "_rest.*", "_n")
 
 
 def reassemble_multipart(events: DataFrame, timeout_seconds: int = 10,
-                         slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+                         slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Join the parts of split messages, in index order and without separator.
 
     Parts of one (device, reported name, message id) form a message until all
@@ -286,10 +291,11 @@ def reassemble_multipart(events: DataFrame, timeout_seconds: int = 10,
     key = ["source_ip", "reported_hostname", "_mid"]
     order = ("received_at", "event_id")
     parts = tagged.where(F.col("_part") & (F.col("_total") > 1))
-    parts = previous(parts, key, *order, {"_before": "received_at"}, slice_seconds)
+    cut = slicing(parts, key, *order, slice_rows)
+    parts = previous(parts, key, *order, {"_before": "received_at"}, cut=cut)
     gap = seconds_between("_before", "received_at")
     begins = F.when(gap.isNull() | (gap > timeout_seconds), F.struct(*order))
-    parts = running(parts, key, *order, [Running("_group", begins, "last")], slice_seconds)
+    parts = running(parts, key, *order, [Running("_group", begins, "last")], cut=cut)
 
     parts = _closed(parts, [*key, "_group"], timeout_seconds)
     arrival = F.struct(*order)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz, plus_seconds
-from logrill.functions.hotkeys import SLICE_SECONDS, previous
+from logrill.functions.hotkeys import SLICE_ROWS, previous
 
 MIN_TRANSITIONS = 200
 PROBABILITY_THRESHOLD = 0.005
@@ -16,12 +16,12 @@ def known_vendors(events: DataFrame) -> DataFrame:
         F.max("vendor").alias("vendor"))
 
 
-def transitions(events: DataFrame, as_of, days: int = 7, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def transitions(events: DataFrame, as_of, days: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Consecutive template pairs of each device."""
     recent = events.where(F.col("event_time") >= plus_seconds(ntz(as_of), -86400 * days)).select(
         "source_ip", "event_time", "event_id", F.col("template_id").alias("curr_template_id"))
     pairs = previous(recent, ["source_ip"], "event_time", "event_id",
-                     {"prev_template_id": "curr_template_id"}, slice_seconds)
+                     {"prev_template_id": "curr_template_id"}, slice_rows)
     return pairs.where(F.col("prev_template_id").isNotNull()).select(
         "source_ip", "event_id", F.col("event_time").alias("transition_time"), "prev_template_id",
         "curr_template_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logrill.functions import text
 from logrill.functions.clock import MICROS, bucket_no, micros, minute_boundaries
-from logrill.functions.hotkeys import Running, SLICE_SECONDS, running, with_halo
+from logrill.functions.hotkeys import Running, SLICE_ROWS, running
 
 
 def reasons_array(flags: dict[str, Column]) -> Column:
@@ -37,7 +37,7 @@ def security_content(events: DataFrame) -> DataFrame:
     return events.withColumn("security_content", text.is_security_content("message"))
 
 
-def severity_spike(events: DataFrame, days: int = 7, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def severity_spike(events: DataFrame, days: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Flag events more severe than all the device logged in the days before.
 
     For each rank the latest earlier time with that rank or worse is a running
@@ -51,7 +51,7 @@ def severity_spike(events: DataFrame, days: int = 7, slice_seconds: int = SLICE_
         Running(f"_last{r}", F.when(F.col("severity_num") <= r, now), "max", include_current=False)
         for r in ranks
     ]
-    out = running(events, ["source_ip"], "event_time", "event_id", items, slice_seconds)
+    out = running(events, ["source_ip"], "event_time", "event_id", items, slice_rows)
     same_or_worse = F.element_at(F.array(*[F.col(f"_last{r}") for r in ranks]), F.col("severity_num") + 1)
     history = F.coalesce(F.col("_last7") >= now - width, F.lit(False))
     reached = F.coalesce(same_or_worse >= now - width, F.lit(False))
@@ -94,7 +94,7 @@ def volume_spike(events: DataFrame, refresh_seconds: int = 600, days: int = 7,
 
 
 def interface_flapping(events: DataFrame, window_seconds: int = 900, min_downs: int = 3,
-                       slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+                       slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Flag a "down" when the interface went down often enough in the window.
 
     Looks at the down ``min_downs - 1`` before this one instead of counting a
@@ -103,10 +103,10 @@ def interface_flapping(events: DataFrame, window_seconds: int = 900, min_downs:
     """
     parsed = events.withColumns({"_iface": text.interface_name("message"), "_state": text.interface_state("message")})
     down = F.coalesce(F.col("_state") == "down", F.lit(False))
-    copies = with_halo(parsed.where(down), "event_time", window_seconds, slice_seconds)
-    order = Window.partitionBy("source_ip", "_iface", "_slice").orderBy("event_time", "event_id")
-    near = micros("event_time") - F.lag(micros("event_time"), min_downs - 1).over(order) <= window_seconds * MICROS
-    flagged = copies.withColumn("interface_flapping", F.coalesce(near, F.lit(False))).where("_own")
+    before = Running("_before", micros("event_time"), "lag", n=min_downs - 1)
+    downs = running(parsed.where(down), ["source_ip", "_iface"], "event_time", "event_id", [before], slice_rows)
+    near = micros("event_time") - F.col("_before") <= window_seconds * MICROS
+    flagged = downs.withColumn("interface_flapping", F.coalesce(near, F.lit(False)))
     others = parsed.where(~down).withColumn("interface_flapping", F.lit(False))
     columns = [*events.columns, "interface_flapping"]
     return flagged.select(*columns).unionByName(others.select(*columns))

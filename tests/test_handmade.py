@@ -127,7 +127,7 @@ def test_clock_skew_holds_and_releases(spark):
             elif abs(mean) < 150:
                 skew = 0.0
         expected[i] = round(skew, 3)
-    out = enrich.correct_clock_skew(events, slice_seconds=300, block_rows=60)
+    out = enrich.correct_clock_skew(events, slice_rows=40, block_rows=60)
     assert {i: round(s, 3) for i, s in values(out, "event_id", "skew_seconds")} == expected
     assert any(expected.values()) and not all(expected.values())
 
@@ -135,7 +135,7 @@ def test_clock_skew_holds_and_releases(spark):
 def test_flapping(spark):
     rows = frame(spark, [(i, at(t), "d", "ether1 link down") for i, t in enumerate((0, 18, 400, 2000))],
                  "event_id long, event_time timestamp_ntz, source_ip string, message string")
-    out = signals.interface_flapping(rows, slice_seconds=1000)
+    out = signals.interface_flapping(rows, slice_rows=3)
     assert sorted(values(out, "event_id", "interface_flapping")) == [(0, False), (1, False), (2, True), (3, False)]
 
 
@@ -154,7 +154,7 @@ def test_sequence_experiment(spark):
     names = ["A", "B", "C"] * 260 + ["Z"] + ["A", "B", "C"] * 20
     rows = [(i, at(i), "d", "v", n) for i, n in enumerate(names)]
     events = frame(spark, rows, "event_id long, event_time timestamp_ntz, source_ip string, vendor string, template_id string")
-    pairs = sequence.transitions(events, at(900), slice_seconds=100)
+    pairs = sequence.transitions(events, at(900), slice_rows=20)
     vendors = sequence.known_vendors(events)
     done = frame(spark, [("d", at(779))], "source_ip string, last_scored timestamp_ntz")
     scored = sequence.score_transitions(pairs, sequence.transition_model(pairs, vendors, done), vendors, done)
