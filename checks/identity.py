@@ -57,6 +57,31 @@ pa AS (SELECT *, coalesce(epoch_us(received_at) - epoch_us(lag(received_at) OVER
   WHERE event_type = 'signup' AND k % 5 <> 1 WINDOW o AS (PARTITION BY source_ip, reported_hostname, mid ORDER BY received_at, event_id)),
 ps AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY source_ip, reported_hostname, mid ORDER BY received_at, event_id) AS grp FROM pa)"""
 
+
+def drain(source: str, columns: str) -> str:
+    """CTEs and query: templates of `source` (event_id, masked), as one leaf per token count and two leading tokens."""
+    tokens = r"list_filter(regexp_split_to_array(masked, '\s+'), lambda t: t <> '')"
+    head = r"list_transform(toks[1:2], lambda t: CASE WHEN regexp_matches(t, '[0-9]|<\*>') THEN '<*>' ELSE t END)"
+    return rf"""dm AS (SELECT masked, {tokens} AS toks FROM (SELECT DISTINCT masked FROM {source})),
+dl AS (SELECT masked, toks, len(toks) || ' ' || array_to_string({head}, ' ') AS leaf FROM dm),
+dn AS (SELECT leaf FROM dl GROUP BY 1 HAVING count(*) > 32),
+dt AS (SELECT masked, leaf, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS token FROM dl),
+dw AS (SELECT leaf, place FROM dt WHERE leaf IN (SELECT leaf FROM dn) GROUP BY 1, 2 HAVING count(DISTINCT token) > 32),
+dg AS (SELECT dl.masked, dl.leaf, list_transform(toks, lambda t, i: CASE WHEN list_contains(coalesce(w, []), i) THEN '<*>' ELSE t END) AS toks
+  FROM dl LEFT JOIN (SELECT leaf, list(place) AS w FROM dw GROUP BY 1) USING (leaf)),
+du AS (SELECT DISTINCT leaf, toks FROM dg),
+dp AS (SELECT a.leaf, a.toks AS x, b.toks AS y FROM du a JOIN du b ON a.leaf = b.leaf AND a.toks <> b.toks
+  AND len(list_filter(list_zip(a.toks, b.toks), lambda p: p[1] = p[2] AND p[1] <> '<*>')) >= 0.4 * len(a.toks)),
+dr AS (SELECT leaf, toks AS x, toks AS y FROM du UNION SELECT dr.leaf, dr.x, dp.y FROM dr JOIN dp ON dr.leaf = dp.leaf AND dr.y = dp.x),
+dc AS (SELECT leaf, x AS toks, min(y) AS least FROM dr GROUP BY 1, 2),
+df AS (SELECT leaf, least, place, CASE WHEN count(DISTINCT token) = 1 THEN min(token) ELSE '<*>' END AS token FROM (
+  SELECT leaf, least, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS token FROM dc) GROUP BY 1, 2, 3),
+dx AS (SELECT leaf, least, string_agg(token, ' ' ORDER BY place) AS template FROM df GROUP BY 1, 2),
+dy AS (SELECT dg.masked, leaf, coalesce(template, '') AS template FROM dg JOIN dc USING (leaf, toks) LEFT JOIN dx USING (leaf, least)),
+dz AS (SELECT event_id, md5(leaf || chr(9) || template) AS template_id, template FROM {source} JOIN dy USING (masked))
+SELECT {columns}, count(*) OVER (PARTITION BY template_id) AS template_size FROM dz"""
+
+
 SQL = {
     "normalize_record": with_ev(f"""SELECT event_id, CASE WHEN k % 10 < 2 THEN received_at ELSE event_time END AS event_time, received_at,
         CASE WHEN k % 11 = 0 THEN 'unknown' ELSE source_ip END AS source_ip,
@@ -105,6 +130,10 @@ SQL = {
     "doc_id": with_lab("SELECT event_id, doc_id FROM lab JOIN docs USING (event_time, source_ip)", DOCS),
     "mine_templates": with_ev("""SELECT event_id, md5(t) AS template_id, t AS template, count(*) OVER (PARTITION BY t) AS template_size
       FROM (SELECT event_id, regexp_replace(message, '[0-9]+', '<*>', 'g') AS t FROM ev)"""),
+    "mine_templates_drain": "WITH RECURSIVE " + EV + ",\nde AS (SELECT event_id, regexp_replace(message, '[0-9]+', '<*>', 'g') AS masked FROM ev),\n"
+        + drain("de", "event_id, template_id, template"),
+    "mine_templates_drain_documents": "WITH RECURSIVE de AS (SELECT doc_id AS event_id, regexp_replace(coalesce(text, ''), '[0-9]+', '<*>', 'g') AS masked "
+        "FROM documents),\n" + drain("de", "event_id, template_id"),
     "padded_window": with_ev("""SELECT source_ip, max(event_time) - INTERVAL 10 MINUTE AS window_start,
         least(max(event_time) + INTERVAL 15 MINUTE, TIMESTAMP '2024-01-30 12:00:00') AS window_end FROM ev GROUP BY 1"""),
     "local_time": "SELECT event_id, ts AS event_time, ts + INTERVAL 2 HOUR AS local_time, ts AS back_in_utc, CAST(120 AS INTEGER) AS offset_minutes FROM events",

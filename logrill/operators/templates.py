@@ -1,7 +1,5 @@
 """Message templates by masking or by token-tree clustering."""
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,8 +7,12 @@ from pyspark.sql import functions as F
 
 from logrill.functions.clock import col
 from logrill.functions.text import mask_template
+from logrill.session import materialize
 
 WILDCARD = "<*>"
+MOST_TOKENS = 32  # different tokens in one place of a leaf, beyond which the place is a wildcard
+FEWER_TOKENS = (8, 2, 1)  # the same, one after the other, for leaves that still have too many templates
+MOST_TEMPLATES, COMPARED = 1024, 1 << 27  # templates of a leaf, and tokens compared between them
 
 
 def mine_templates(events: DataFrame, mode: str = "mask", message: str = "message",
@@ -18,8 +20,8 @@ def mine_templates(events: DataFrame, mode: str = "mask", message: str = "messag
     """Add ``template_id``, ``template`` and ``template_size`` to every message.
 
     mask: digits masked, the id is a content hash. drain: fixed-depth token tree
-    (He et al., ICWS 2017), whose clusters merge tokens that differ to wildcards.
-    A null message counts as an empty one.
+    (He et al., ICWS 2017), whose templates merge tokens that differ to wildcards;
+    they depend on the set of messages only. A null message counts as an empty one.
     """
     if mode == "mask":
         with_template = events.withColumn("template", mask_template(F.coalesce(col(message), F.lit(""))))
@@ -39,60 +41,79 @@ def _tokens(c):
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
 
-def _cluster(templates: list[str], similarity: float) -> tuple[list[str], list[int]]:
-    """Greedy clusters of equally long token lists, in the order given.
+def _merged(templates: list[str], similarity: float) -> tuple[list[str], list[int]]:
+    """Join templates of equal length that share at least `similarity` of their tokens, directly or through others.
 
-    A message joins the most similar cluster at or above the threshold (share of
-    equal tokens; of equals the one with more wildcards, then the first), else
-    it starts one. Tokens are numbers in one matrix, so a message is compared
-    with all clusters at once.
+    Equal wildcards are not shared tokens. Where joined templates differ, theirs
+    has a wildcard. The order of the templates does not matter.
     """
     number = {WILDCARD: 0}
-    rows = [[number.setdefault(t, len(number)) for t in template.split(" ")] for template in templates]
-    width = max(len(rows[0]), 1)
-    known, size, member = np.zeros((16, len(rows[0])), np.int64), 0, []
-    for row in np.array(rows, np.int64):
-        best = -1
-        if size:
-            same = ((known[:size] == row) & (row != 0)).sum(axis=1)
-            order = same * (width + 1) + (known[:size] == 0).sum(axis=1)
-            best = int(order.argmax())
-            if same[best] / width < similarity:
-                best = -1
-        if best < 0:
-            if size == len(known):
-                known = np.concatenate([known, np.zeros_like(known)])
-            known[size], best, size = row, size, size + 1
-        else:
-            known[best][known[best] != row] = 0
-        member.append(best)
-    names = list(number)
-    return [" ".join(names[i] for i in c) for c in known[:size].tolist()], member
+    known = np.array([[number.setdefault(t, len(number)) for t in template.split(" ")] for template in templates], np.int64)
+    member, texts, names = np.full(len(known), -1), [], list(number)
+    for first in range(len(known)):
+        if member[first] >= 0:
+            continue
+        member[first], reached = len(texts), [first]
+        for i in reached:
+            left = np.flatnonzero(member < 0)
+            near = left[((known[left] == known[i]) & (known[i] != 0)).sum(axis=1) >= similarity * known.shape[1]]
+            member[near] = len(texts)
+            reached.extend(near.tolist())
+        same = (known[reached] == known[first]).all(axis=0)
+        texts.append(" ".join(names[t] if s else WILDCARD for t, s in zip(known[first], same)))
+    return texts, member.tolist()
+
+
+def _generalised(rows: DataFrame, most: int) -> DataFrame:
+    """Wildcards in `tokens` where rows of a leaf hold more than `most` different tokens in one place.
+
+    Only leaves of more than `most` rows can; their tokens are counted in two
+    steps, so a leaf with most rows is spread by its tokens.
+    """
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("leaf")
+    large = rows.join(sizes, "leaf", "left_semi")
+    places = large.select("leaf", F.posexplode("tokens").alias("place", "token")).distinct()
+    varied = places.groupBy("leaf", "place").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    wild = varied.groupBy("leaf").agg(F.collect_set("place").alias("_wild"))
+    masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("_wild", i), WILDCARD).otherwise(t))
+    return rows.join(wild, "leaf", "left").withColumn(
+        "tokens", F.when(F.col("_wild").isNull(), F.col("tokens")).otherwise(masked)).drop("_wild")
 
 
 def _drain(masked: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(_masked_id, template_id, template) for every distinct masked message.
 
-    A leaf of the tree (token count and leading tokens) is clustered whole and
-    in order of first appearance. Only distinct masked messages get there, so a
-    message that makes up most rows is one of them.
+    A leaf of the tree holds the messages of one token count and equal leading
+    tokens. Places with more than MOST_TOKENS different tokens in a leaf become
+    wildcards, and only the templates that are left are compared. A leaf that
+    still has more than its allowance is generalised further, by fewer tokens
+    each time; in the end every place that varies is a wildcard.
     """
-    seen = (F.unix_micros(F.col("event_time").cast("timestamp")) if "event_time" in masked.columns
-            else F.col("event_id"))
-    distinct = masked.groupBy("_masked").agg(F.min(seen).alias("first_seen"))
     tokens = _tokens("_masked")
     heads = F.transform(F.slice(tokens, 1, max(depth - 2, 1)),
                         lambda t: F.when(t.rlike("[0-9]|<\\*>"), WILDCARD).otherwise(t))
-    leaves = distinct.select(
-        F.md5("_masked").alias("masked_id"), "first_seen", F.array_join(tokens, " ").alias("template"),
-        F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(heads, " ")).alias("leaf"))
-
-    def clustered(key, frame):
-        frame = frame.sort_values(["first_seen", "masked_id"])
-        texts, member = _cluster(frame["template"].tolist(), similarity)
-        ids = [hashlib.md5(f"{key[0]}\t{t}".encode()).hexdigest() for t in texts]
-        return pd.DataFrame({"_masked_id": frame["masked_id"].to_numpy(), "template_id": [ids[m] for m in member],
-                             "template": [texts[m] for m in member]})
-
-    return leaves.groupBy("leaf").applyInPandas(
-        clustered, "_masked_id string, template_id string, template string")
+    leaf = F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(heads, " "))
+    rows = masked.select("_masked").distinct().select(F.md5("_masked").alias("_masked_id"), leaf.alias("leaf"), tokens.alias("tokens"))
+    rows = materialize(_generalised(rows, MOST_TOKENS), "drain")
+    allowed = F.least(F.lit(MOST_TEMPLATES), F.floor(F.sqrt(F.lit(COMPARED) / F.greatest(F.size("tokens"), F.lit(1)))))
+    for most in FEWER_TOKENS:
+        templates = rows.select("leaf", "tokens").distinct()
+        full = templates.groupBy("leaf").agg(F.count("*").alias("_n"), F.min(allowed).alias("_most")).where(
+            F.col("_n") > F.greatest("_most", F.lit(1))).select("leaf")
+        if not full.limit(1).count():
+            break
+        more = _generalised(rows.join(full, "leaf", "left_semi"), most)
+        rows = materialize(rows.join(full, "leaf", "left_anti").unionByName(more), "drain")
+
+    def merged(key, frame):
+        texts, member = _merged(frame["before"].tolist(), similarity)
+        return pd.DataFrame({"leaf": key[0], "before": frame["before"], "template": [texts[m] for m in member]})
+
+    before = F.array_join("tokens", " ").alias("before")
+    templates = rows.groupBy("leaf", "tokens").agg(F.lit(1)).select("leaf", before)
+    several = templates.groupBy("leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("leaf")
+    joined = templates.join(several, "leaf", "left_semi").groupBy("leaf").applyInPandas(
+        merged, "leaf string, before string, template string")
+    found = rows.select("_masked_id", "leaf", before).join(joined, ["leaf", "before"], "left")
+    template = F.coalesce("template", "before")
+    return found.select("_masked_id", F.md5(F.concat_ws("\t", "leaf", template)).alias("template_id"), template.alias("template"))

@@ -252,21 +252,49 @@ def test_drain(spark):
     assert by_id[0].template_id == by_id[1].template_id == by_id[3].template_id and by_id[0].template_size == 3
 
 
-def test_drain_leaf_by_definition(spark):
-    """One full leaf: the clusters are those of the message-by-message rule, in any partitioning."""
+def drain_by_definition(messages, most, similarity=0.4):
+    """Templates of one leaf: wildcards where tokens are many, then all that share enough tokens, one by one."""
+    lists = sorted({tuple(m.split(" ")) for m in messages})
+    wild = [len({t[i] for t in lists}) > most for i in range(len(lists[0]))]
+    groups = [[t] for t in sorted({tuple("<*>" if w else x for w, x in zip(wild, t)) for t in lists})]
+    near = lambda a, b: sum(x == y != "<*>" for x, y in zip(a, b)) >= similarity * len(a)
+    while True:
+        pair = next(((i, j) for j in range(len(groups)) for i in range(j) if any(near(a, b) for a in groups[i] for b in groups[j])), None)
+        if pair is None:
+            return {" ".join(x[0] if len(set(x)) == 1 else "<*>" for x in zip(*g)) for g in groups}
+        groups[pair[0]] += groups.pop(pair[1])
+
+
+@pytest.mark.parametrize("kinds,length", [("abcdef", 5), ("abcdefghijklmnopqrstuvwxyz", 3)])
+def test_drain_leaf_by_definition(spark, kinds, length):
+    """Clusters by the definition, in any partitioning and order."""
     rng = random.Random(5)
-    messages = ["go " + " ".join(rng.choice("abcdef") + "x" for _ in range(5)) for _ in range(600)]
-    clusters = []
-    for m in dict.fromkeys(messages):
-        t = m.split(" ")
-        best = max(((sum(a == b != "<*>" for a, b in zip(c, t)), c.count("<*>"), -i) for i, c in enumerate(clusters)), default=None)
-        if best and best[0] / len(t) >= 0.4:
-            clusters[-best[2]] = [a if a == b else "<*>" for a, b in zip(clusters[-best[2]], t)]
-        else:
-            clusters.append(t)
-    rows = frame(spark, [(i, at(i), m) for i, m in enumerate(messages)], "event_id long, event_time timestamp_ntz, message string")
-    found = {r.template for r in templates.mine_templates(rows.repartition(7), "drain", depth=3).collect()}
-    assert found == {" ".join(c) for c in clusters}
+    messages = ["go " + " ".join(rng.choice(kinds) + rng.choice("xyz") for _ in range(length)) for _ in range(70)]
+    want = drain_by_definition(messages, templates.MOST_TOKENS)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(messages)
+        rows = frame(spark, [(i, at(i), m) for i, m in enumerate(messages)], "event_id long, event_time timestamp_ntz, message string")
+        found = {r.template for r in templates.mine_templates(rows.repartition(7), "drain", depth=3).collect()}
+        assert found == want
+
+
+def test_drain_of_a_full_leaf_is_linear(spark):
+    """Unlike messages of one leaf: none meets another, and what varies too much becomes a wildcard."""
+    words = F.concat(F.lit("go "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.translate(
+        F.hex(F.xxhash64(F.col("id"), i)), "0123456789", "ghijklmnop")), " "))
+    rows = spark.range(30_000).select(F.col("id").alias("event_id"), words.alias("message"))
+    rows = rows.unionByName(rows.limit(10).select("event_id", F.concat(F.lit("go a b c d e "), (F.col("event_id") % 3).cast("string")).alias("message")))
+    found = {r.template: r["count"] for r in templates.mine_templates(rows, "drain", depth=3).groupBy("template").count().collect()}
+    assert found == {"go <*> <*> <*> <*> <*> <*>": 30_010}
+
+
+def test_drain_generalises_further_where_templates_stay_many(spark, monkeypatch):
+    monkeypatch.setattr(templates, "MOST_TEMPLATES", 5)
+    rng = random.Random(2)
+    messages = ["go " + " ".join(rng.choice("abcdefghij") for _ in range(4)) + rng.choice([" end", " fin"]) for _ in range(300)]
+    rows = frame(spark, [(i, at(i), m) for i, m in enumerate(messages + ["other thing"])], "event_id long, event_time timestamp_ntz, message string")
+    found = {r.template for r in templates.mine_templates(rows, "drain", depth=3, similarity=0.5).collect()}
+    assert found == {"go <*> <*> <*> <*> end", "go <*> <*> <*> <*> fin", "other thing"}
 
 
 def test_templates_keep_null_messages(spark):
