@@ -191,17 +191,13 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
         for batch in batches:
             ids, sigs, of = batch.column(0).to_pylist(), [], []
             at = 0
-            edges = []
             for some in groups([t or "" for t in batch.column(1).to_pylist()]):
                 firsts = {}
                 for i, elements in zip(ids[at:at + len(some)], shingle_sets(some, words)):
-                    if not len(elements):
-                        continue
-                    key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                    if key in firsts:  # copies in a batch sign once
-                        edges.append((firsts[key], i))
-                        continue
-                    firsts[key] = i
+                    if len(elements):
+                        key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                        firsts[key] = min(i, firsts.get(key, (i,))[0]), elements
+                for i, elements in firsts.values():  # copies in a batch sign once
                     found = signatures(elements, bands, plans, common)
                     sigs.append(found)
                     of.append(np.full(len(found), i, np.int64))
@@ -209,7 +205,6 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
             if not sigs:
                 continue
             sig, own, local = _first_of_equals(np.concatenate(sigs).view(np.int64), np.concatenate(of))
-            local = np.concatenate([local, np.array(edges, np.int64).reshape(-1, 2)])
             slice_ = np.floor_divide(sig, -(-(1 << 63) // slices) * 2) + slices // 2 + 1  # sig is sorted
             cuts = np.flatnonzero(np.diff(slice_)) + 1
             for s, o, p in zip(np.split(sig, cuts), np.split(own, cuts), np.split(slice_, cuts)):
@@ -297,7 +292,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
 
 
 def _verified(members: DataFrame, docs: DataFrame, words: int, num: int, den: int,
-              block_elements: int, block_sets: int = 512) -> DataFrame:
+              block_elements: int, block_sets: int = 1024) -> DataFrame:
     """Links (a, b), enough to connect what is linked. members: id, family, n, a row per distinct set; docs: id, text."""
 
     def shingle(batches):
@@ -360,7 +355,7 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
-                       num: int = 90, den: int = 100, block_elements: int = 1 << 18) -> DataFrame:
+                       num: int = 90, den: int = 100, block_elements: int = 1 << 19) -> DataFrame:
     """(key, n_shingles, component_id) per row: components of the links den * |A ∩ B| >= num * |A ∪ B|.
 
     Sets are distinct shingles of `words` words (ASCII lower case, separated by
@@ -380,15 +375,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     slices = max(4, int(total * 3 * (den - num) / den) >> 21)
     common = common_elements(keyed, words, count)
     shared = materialize(_families(keyed, words, num, den, largest, slices, common), "jaccard_candidates")
-    family = components(shared, "jaccard_family")
-    # of copies one stands for all; the copies join their component by the digest
+    # of copies one stands for all, from here to the components; the others join them by the digest
     sets = marks.where("digest IS NOT NULL AND id IS NOT NULL")
-    stands = sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    members = stands.join(family, "id").select("id", F.col("component").alias("family"), "n")
+    stands = sets.groupBy("digest").agg(F.min("id").alias("stand"), F.max("id").alias("last"), F.first("n").alias("n"))
+    several = sets.groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two").select("id")
+    apart = sets.join(stands.where("stand <> last").select("digest", "stand"), "digest").where("id <> stand").select("id", "stand")
+    copied = materialize(apart.join(several, "id", "left_anti").distinct(), "jaccard_copies")
+    # a key with different sets stands for itself and links the copies of all of them
+    between = apart.join(several, "id", "left_semi").select(F.col("stand").alias("a"), F.col("id").alias("b"))
+    for end in ("b", "a"):
+        named = copied.select(F.col("id").alias(end), F.col("stand").alias("_stand"))
+        shared = (shared.join(named, end, "left").withColumn(end, F.coalesce("_stand", end)).drop("_stand")
+                  .where("a <> b").distinct())
+    family = components(shared, "jaccard_family")
+    members = stands.select(F.col("stand").alias("id"), "n").join(family, "id").select("id", F.col("component").alias("family"), "n")
     members = materialize(members, "jaccard_members")
     links = _verified(members, keyed, words, num, den, block_elements)
-    copies = sets.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
-    copied = sets.join(copies.select("digest", "a"), "digest").select("a", F.col("id").alias("b")).where("a <> b")
-    found = components(materialize(links.union(copied), "jaccard_links"), "jaccard_component")
+    found = components(materialize(links.union(between), "jaccard_links"), "jaccard_component")
+    found = materialize(copied.join(found.withColumnRenamed("id", "stand"), "stand", "left").select(
+        "id", F.coalesce("component", "stand").alias("component")).union(found), "jaccard_found")
     return (marks.join(found, "id", "left")
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))

@@ -63,3 +63,20 @@ def test_odd_rows(odd, empty):
     assert (1, 0, 1) in got and (5, 1, 5) in got and (None, 0, None) in got and (None, 1, None) in got
     assert [c for i, _, c in got if i == 4] == [3] and (7, 0, 7) in got
     assert jaccard_components(empty).count() == 0
+
+
+def test_copies_beyond_counting_and_keys_with_several_sets(spark):
+    """Copies come back to their component whatever batch they sign in; a key with two texts links the copies of both."""
+    rng = random.Random(8)
+    text = [" ".join(f"{c}{x}" for x in range(40)) for c in "abcde"]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in text]
+    docs = [(i, t) for i, t in enumerate(rng.choices(text[:2] + near[:1], k=600))]
+    docs += [(1000, text[2]), (1001, text[2]), (1001, text[3]), (1002, text[3]), (999, text[3]), (1003, near[3]), (1004, text[4])]
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(5), words=2).collect()}
+    least = {t: min(i for i, x in docs if x == t) for t in text}
+    near_least = min(i for i, x in docs if x in (text[0], near[0]))
+    for i, t in docs:
+        want = near_least if t in (text[0], near[0]) else 999 if t in (text[2], text[3], near[3]) else least[t]
+        assert got[i] == want
