@@ -131,6 +131,17 @@ def common_elements(docs: DataFrame, words: int, rows: int, sample: int = 5000,
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
+def _stretches_of(batches):
+    """Ids and texts of (id, text) batches, a few texts at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            ids, at = part.column(0).to_pylist(), 0
+            for some in groups([t or "" for t in part.column(1).to_pylist()]):
+                yield ids[at:at + len(some)], some
+                at += len(some)
+
+
 def signatures(elements: np.ndarray, bands: Bands, plans: dict, common: np.ndarray) -> np.ndarray:
     """The set's signatures: 64-bit hashes of (band, partition or two, elements there that are not common)."""
     own = bands.band(len(elements))
@@ -187,21 +198,16 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches):
-        bands, plans, common = Bands(num, den, largest), {}, shared.value
-        for batch in batches:
-            ids, sigs, of = batch.column(0).to_pylist(), [], []
-            at = 0
-            for some in groups([t or "" for t in batch.column(1).to_pylist()]):
-                firsts = {}
-                for i, elements in zip(ids[at:at + len(some)], shingle_sets(some, words)):
-                    if len(elements):
-                        key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                        firsts[key] = min(i, firsts.get(key, (i,))[0]), elements
-                for i, elements in firsts.values():  # copies in a batch sign once
+        bands, plans, common, signed = Bands(num, den, largest), {}, shared.value, set()
+        for ids, some in _stretches_of(batches):
+            sigs, of = [], []
+            for i, elements in zip(ids, shingle_sets(some, words)):
+                key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                if len(elements) and key not in signed:  # of copies in a task one signs
+                    signed.add(key)
                     found = signatures(elements, bands, plans, common)
                     sigs.append(found)
                     of.append(np.full(len(found), i, np.int64))
-                at += len(some)
             if not sigs:
                 continue
             sig, own, local = _first_of_equals(np.concatenate(sigs).view(np.int64), np.concatenate(of))
@@ -344,10 +350,10 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, digest): size and 128-bit digest of each text's shingle set; docs is (id, text)."""
 
     def run(batches):
-        for batch in batches:
-            sets = [s for some in groups([t or "" for t in batch.column(1).to_pylist()]) for s in shingle_sets(some, words)]
+        for ids, some in _stretches_of(batches):
+            sets = shingle_sets(some, words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())],
                 names=["id", "n", "digest"])
 
@@ -381,10 +387,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     several = sets.groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("two")).where("one <> two").select("id")
     apart = sets.join(stands.where("stand <> last").select("digest", "stand"), "digest").where("id <> stand").select("id", "stand")
     copied = materialize(apart.join(several, "id", "left_anti").distinct(), "jaccard_copies")
-    # a key with different sets stands for itself and links the copies of all of them
-    between = apart.join(several, "id", "left_semi").select(F.col("stand").alias("a"), F.col("id").alias("b"))
+    # a key with different sets links the copies of all of them, and signs for each
+    both = sets.join(several, "id", "left_semi").join(stands.select("digest", "stand"), "digest").select("id", "stand")
+    between = both.where("id <> stand").select(F.col("stand").alias("a"), F.col("id").alias("b"))
+    signers = copied.union(both)
     for end in ("b", "a"):
-        named = copied.select(F.col("id").alias(end), F.col("stand").alias("_stand"))
+        named = signers.select(F.col("id").alias(end), F.col("stand").alias("_stand"))
         shared = (shared.join(named, end, "left").withColumn(end, F.coalesce("_stand", end)).drop("_stand")
                   .where("a <> b").distinct())
     family = components(shared, "jaccard_family")
