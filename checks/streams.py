@@ -5,13 +5,20 @@ from checks.intake import DOCS
 from checks.searches import ROLLUP
 from checks.watch import EVAL, RULES
 
-SQL = {
-    "stream_ingest": with_ev(f"""SELECT event_time, source_ip, hostname, vendor, CAST({RANK} AS INTEGER) AS severity_num, message,
+
+def ingested(more: str = "") -> str:
+    """The usable raw lines, labelled."""
+    return with_ev(f"""SELECT event_time, source_ip, hostname, vendor, CAST({RANK} AS INTEGER) AS severity_num, message,
         {category('message')} AS predicted_category,
         array_to_string(list_filter([CASE WHEN {SEVERE} THEN 'always_severe' END, CASE WHEN {SECURE} THEN 'security_content' END],
-          lambda x: x IS NOT NULL), ',') AS reasons, CAST(event_time AS DATE) AS event_date
+          lambda x: x IS NOT NULL), ',') AS reasons{more}
       FROM res JOIN (SELECT event_id, k FROM seed) USING (event_id) WHERE k % 10 > 3""",
-      "rev AS (SELECT * FROM ev)", INVENTORY, RELAYS, RESOLVED),
+      "rev AS (SELECT * FROM ev)", INVENTORY, RELAYS, RESOLVED)
+
+
+SQL = {
+    "stream_ingest": ingested(", CAST(event_time AS DATE) AS event_date"),
+    "stream_tail": ingested(),
     "stream_rollup": with_lab("SELECT * FROM mins", ROLLUP),
     "stream_index": with_lab("""SELECT DISTINCT doc_id, docs.event_time, docs.source_ip, embedding_text FROM docs
       JOIN lab ON lab.event_time = docs.event_time AND lab.source_ip = docs.source_ip

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from logrill.session import fresh_path
-from logrill.sources import fixture as fx, raw
+from logrill.sources import fixture as fx, raw, tail
 from logrill.streaming import jobs, keyed
 
 ONCE = {"availableNow": True}
@@ -66,6 +66,17 @@ def stream_ingest(spark, sf):
         F.array_join("anomaly_reasons", ",").alias("reasons"), "event_date")
 
 
+def stream_tail(spark, sf):
+    """The lines of growing files, labelled: all that is there when the query runs."""
+    folder = fresh_path(spark, "log")
+    fx.raw_lines(spark, sf).write.text(folder)
+    rows = _collected(spark, tail.tail_raw(spark, folder, "part-*"), "tailed")
+    timed = rows.withColumn("received_at", F.lit(fx.AS_OF).cast("timestamp_ntz"))
+    return jobs.label(timed, fx.inventory(spark, sf), fx.relays(spark, sf)).select(
+        "event_time", "source_ip", "hostname", "vendor", "severity_num", "message", "predicted_category",
+        F.array_join("anomaly_reasons", ",").alias("reasons"))
+
+
 def stream_rollup(spark, sf):
     out = fresh_path(spark, "minutes")
     _finish(jobs.stream_rollup(_as_stream(spark, fx.events(spark, sf), "stream"), out,
@@ -111,5 +122,5 @@ def stream_multipart(spark, sf, timeout_seconds=10):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
+    stream_ingest, stream_tail, stream_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
     stream_clock_skew, stream_multipart)}
