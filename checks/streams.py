@@ -20,6 +20,8 @@ SQL = {
     "stream_ingest": ingested(", CAST(event_time AS DATE) AS event_date"),
     "stream_tail": ingested(),
     "stream_rollup": with_lab("SELECT * FROM mins", ROLLUP),
+    "stream_windowed_rollup": with_lab("""SELECT * FROM mins WHERE minute + INTERVAL 1 MINUTE <=
+      (SELECT max(event_time) - INTERVAL 10 MINUTE FROM lab)""", ROLLUP),
     "stream_index": with_lab("""SELECT DISTINCT doc_id, docs.event_time, docs.source_ip, embedding_text FROM docs
       JOIN lab ON lab.event_time = docs.event_time AND lab.source_ip = docs.source_ip
       WHERE is_anomaly = 1 AND received_at <= TIMESTAMP '2024-01-29 23:20:00'""", DOCS),

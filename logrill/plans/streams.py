@@ -92,13 +92,15 @@ def stream_index(spark, sf):
 
 
 def stream_alerts(spark, sf):
-    events = fx.events(spark, sf)
-    table, out = fresh_path(spark, "stored"), fresh_path(spark, "fired")
-    events.write.parquet(table)
-    stream = spark.readStream.schema(events.schema).parquet(table)
-    _finish(jobs.stream_alerts(stream, table, lambda: fx.alert_rules(spark, sf), lambda: "2024-01-30 23:00:00", out,
-                               fresh_path(spark, "position"), ONCE))
-    return spark.read.parquet(out).drop("batch")
+    out = fresh_path(spark, "fired")
+    _finish(jobs.stream_alerts(_as_stream(spark, fx.events(spark, sf), "stored"), lambda: fx.alert_rules(spark, sf),
+                               lambda: "2024-01-30 23:00:00", out, fresh_path(spark, "position"), ONCE))
+    return spark.read.parquet(f"{out}/fired").drop("v")
+
+
+def stream_windowed_rollup(spark, sf):
+    """Minutes that the watermark has closed."""
+    return _collected(spark, jobs.windowed_rollup(_as_stream(spark, fx.events(spark, sf), "stream")), "closed")
 
 
 def stream_rare_template(spark, sf):
@@ -122,5 +124,5 @@ def stream_multipart(spark, sf, timeout_seconds=10):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_tail, stream_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
+    stream_ingest, stream_tail, stream_rollup, stream_windowed_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
     stream_clock_skew, stream_multipart)}

@@ -52,3 +52,17 @@ def materialize(df, name: str):
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def numbers_below(spark: SparkSession, path: str) -> list[int]:
+    """The n of the folders named v=n in a folder."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(jvm_path)] if files.exists(jvm_path) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logrill.functions import text
+from logrill.functions.clock import MICROS, micros, ntz, plus_seconds
 from logrill.operators import alerts, enrich, rollup, signals, state
+from logrill.operators.search import as_datetime
+from logrill.session import numbers_below, remove
 from logrill.sources import tables
 
 
@@ -59,16 +62,26 @@ def stream_rollup(events: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 
 def windowed_rollup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The same as a watermarked aggregation, for append sinks that want closed minutes."""
-    windowed = events.withWatermark("event_time", delay).groupBy(
+    """The same as a watermarked aggregation, for append sinks that want closed minutes.
+
+    A row that comes later than `delay` behind the newest changes no minute; see
+    late_rows. Watermarks want zoned times, and the session's zone is UTC.
+    """
+    zoned = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    windowed = zoned.withWatermark("event_time", delay).groupBy(
         F.window("event_time", "1 minute"), "hostname", "vendor", "severity", "predicted_category")
     return windowed.agg(
         F.count("*").alias("event_count"), F.sum("is_anomaly").alias("anomaly_count"),
         F.sum((F.col("resolution_method") == "unresolved").cast("long")).alias("unresolved_count")
-    ).select(F.col("window.start").alias("minute"), "hostname", "vendor", "severity", "predicted_category",
+    ).select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "hostname", "vendor", "severity", "predicted_category",
              "event_count", "anomaly_count", "unresolved_count")
 
 
+def late_rows(query) -> int:
+    """How many rows a watermarked query has left out because they came too late."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return rollup.merge_rollups(spark.read.parquet(path))
 
@@ -80,18 +93,35 @@ def index_documents(events: DataFrame) -> DataFrame:
         text.embedding_text().alias("embedding_text"))
 
 
+def with_heartbeat(events: DataFrame, rows_per_second: int = 1) -> DataFrame:
+    """The same rows, with a batch at every trigger, also when no event has come."""
+    beat = events.sparkSession.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return events.unionByName(beat.where("false").select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]))
+
+
+COMPACT_EVERY = 16
+
+
 def stream_index(events: DataFrame, path: str, checkpoint: str, as_of: Callable[[], object],
-                 lag_minutes: int = 40, anomalies_only: bool = False, trigger: dict | None = None):
+                 lag_minutes: int = 40, anomalies_only: bool = False, trigger: dict | None = None,
+                 compact_every: int = COMPACT_EVERY, heartbeat: bool = False):
     """Index events once they are old enough for late reasons to have landed.
 
     Rows younger than the lag wait in a table of their own and are looked at
-    again with the next batch. Every batch writes versioned folders, so a retry
-    overwrites its own and nothing else.
+    again with the next batch; `heartbeat` makes batches come on a quiet stream,
+    too. Every batch writes versioned folders, so a retry overwrites its own and
+    nothing else. Every `compact_every`-th batch writes the whole index anew;
+    what it replaces goes with the batch after it, when it is sure to be complete.
     """
-    from logrill.functions.clock import ntz, plus_seconds
-
     def each(batch, number):
         spark = batch.sparkSession
+        if number > 1:
+            replaced = number - 1 if (number - 1) % compact_every == 0 else 0
+            for folder, end in (("docs", replaced), ("waiting", number - 1)):
+                for old in numbers_below(spark, f"{path}/{folder}"):
+                    if old < end:
+                        remove(spark, f"{path}/{folder}/v={old}")
         waiting = batch
         if number > 0:
             waiting = spark.read.schema(batch.schema).parquet(f"{path}/waiting/v={number - 1}").unionByName(batch)
@@ -99,10 +129,16 @@ def stream_index(events: DataFrame, path: str, checkpoint: str, as_of: Callable[
         ready = waiting.where(final)
         if anomalies_only:
             ready = ready.where("is_anomaly = 1")
-        index_documents(ready).dropDuplicates(["doc_id"]).write.mode("overwrite").parquet(f"{path}/docs/v={number}")
+        docs = index_documents(ready).dropDuplicates(["doc_id"])
+        if number and number % compact_every == 0:
+            older = spark.read.schema(docs.schema).parquet(
+                *[f"{path}/docs/v={v}" for v in numbers_below(spark, f"{path}/docs") if v < number])
+            older = older.withColumn("v", F.regexp_extract(F.input_file_name(), r"/v=(\d+)/", 1).cast("long"))
+            docs = state.latest_version(older.unionByName(docs.withColumn("v", F.lit(number).cast("long"))), ["doc_id"], ["v"]).drop("v")
+        docs.write.mode("overwrite").parquet(f"{path}/docs/v={number}")
         waiting.where(~final).write.mode("overwrite").parquet(f"{path}/waiting/v={number}")
 
-    return _run(events, each, checkpoint, trigger)
+    return _run(with_heartbeat(events) if heartbeat else events, each, checkpoint, trigger)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -111,14 +147,39 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return state.latest_version(docs, ["doc_id"], ["v"]).drop("v")
 
 
-def stream_alerts(events: DataFrame, table: str, rules: Callable[[], DataFrame], as_of: Callable[[], object],
-                  path: str, checkpoint: str, trigger: dict | None = None):
-    """With every batch, evaluate the rules over the stored event table and write
-    the firings. ``rules`` returns the current rules, last firing included."""
-    def each(batch, number):
-        stored = batch.sparkSession.read.parquet(table)
-        now = as_of()
-        fired = alerts.evaluate_alerts(stored, rules(), now).where("fires")
-        fired.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def stream_alerts(events: DataFrame, rules: Callable[[], DataFrame], as_of: Callable[[], object],
+                  path: str, checkpoint: str, trigger: dict | None = None, heartbeat: bool = False):
+    """Count each batch's events per rule and minute, and fire the rules whose windows are full.
 
-    return _run(events, each, checkpoint, trigger or {"processingTime": "1 minute"})
+    Only new events are read: earlier ones live on as counts per rule and minute
+    of the longest window, and the last firing of each rule starts its cool-down.
+    Rules are evaluated as of the last whole minute; a new rule counts from the
+    batch that first sees it. All is kept in versioned folders that a retry
+    overwrites, of which the last two are needed.
+    """
+    def each(batch, number):
+        spark = batch.sparkSession
+        now = as_datetime(as_of()).replace(second=0, microsecond=0)
+        current = rules()
+        counts = alerts.minute_counts(batch, current)
+        widest = current.where("enabled").agg(F.max("window_minutes")).first()[0] or 0
+        last = current.select("id", "last_triggered_at")
+        if number > 0:
+            counts = counts.unionByName(spark.read.schema(alerts.MINUTES).parquet(f"{path}/minutes/v={number - 1}"))
+            before = spark.read.schema("id long, _fired timestamp_ntz").parquet(f"{path}/last/v={number - 1}")
+            last = last.join(before, "id", "left").select(
+                "id", F.greatest("last_triggered_at", "_fired").alias("last_triggered_at"))
+        oldest = F.floor(micros(ntz(now)) / F.lit(60 * MICROS)) - widest
+        alerts.merge_minutes(counts).where(F.col("minute") >= oldest).write.mode("overwrite").parquet(f"{path}/minutes/v={number}")
+        kept = spark.read.schema(alerts.MINUTES).parquet(f"{path}/minutes/v={number}")
+        known = current.drop("last_triggered_at").join(last, "id").select(*current.columns)
+        alerts.evaluate_minutes(kept, known, now).where("fires").write.mode("overwrite").parquet(f"{path}/fired/v={number}")
+        fired = spark.read.parquet(f"{path}/fired/v={number}").select("id", F.col("window_end").alias("_new"))
+        last.join(fired, "id", "left").select("id", F.coalesce("_new", "last_triggered_at").alias("_fired")).write.mode(
+            "overwrite").parquet(f"{path}/last/v={number}")
+        for folder in ("minutes", "last"):
+            for old in numbers_below(spark, f"{path}/{folder}"):
+                if old < number - 1:
+                    remove(spark, f"{path}/{folder}/v={old}")
+
+    return _run(with_heartbeat(events) if heartbeat else events, each, checkpoint, trigger or {"processingTime": "1 minute"})
