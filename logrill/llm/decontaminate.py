@@ -102,7 +102,7 @@ def _plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\d+(?:[.,]\d+)*|[{UNSPACED}]|[\p{{L}}&&[^{UNSPACED}]]+|[%$€£]"), F.lit(0))
 
 
-def _whole(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, width: int, small_windows: int) -> DataFrame:
+def _in_a_row(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, width: int, small_windows: int) -> DataFrame:
     """(key, item) where all words of the item (item, words) stand in the document, one after another.
 
     The first words, at most `width`, meet in a hash join for each such number
@@ -136,9 +136,30 @@ def _whole(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, wi
             .select(key, item).distinct())
 
 
+def _as_a_part(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, few: int) -> DataFrame:
+    """(key, item) where the item (item, words; fewer than `few`) is the whole document, a line or a sentence of it."""
+    held = F.coalesce(F.col(text), F.lit(""))
+    parts = F.concat(F.array(held), F.split(held, r"[\r\n]+"), F.split(held, r"[\r\n.!?\u3002\uFF01\uFF1F]+"))
+    spread = docs.where(F.col(key).isNotNull()).select(key, F.explode(parts).alias("_part"))
+    spread = _computed(spread, "words", _plain_words(F.col("_part"))).where((F.size("words") > 0) & (F.size("words") < few))
+    return spread.select(key, "words").distinct().join(items.select(item, "words"), "words").select(key, item).distinct()
+
+
+def _whole(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, width: int, few: int,
+           small_windows: int) -> DataFrame | None:
+    """(key, item) for items without a countable window, or None where there are none."""
+    sizes = [r["short"] for r in items.select((F.size("words") < few).alias("short")).distinct().collect()]  # at most two
+    found = []
+    if False in sizes:
+        found.append(_in_a_row(docs, items.where(F.size("words") >= few), key, text, item, width, small_windows))
+    if True in sizes:
+        found.append(_as_a_part(docs, items.where(F.size("words") < few), key, text, item, few))
+    return found[0].union(found[1]) if len(found) == 2 else found[0] if found else None
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
           item_text: str = "text", width: int = 8, fixed: int = 4, share: float = 0.5,
-          small_windows: int = 1_000_000, verbatim: int = 13) -> DataFrame:
+          small_windows: int = 1_000_000, verbatim: int = 13, few: int = 5) -> DataFrame:
     """(key, item, n_windows, n_item_windows, share, slots_equal): documents that hold an item or its template.
 
     An item is held if at least `share` of its distinct windows stand in the
@@ -147,7 +168,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     with most windows counts. Windows with fewer than `fixed` words that are no
     placeholder, and with fewer than three distinct ones, do not count; an item
     without any other window is held where all its words stand one after
-    another, however few they are, and has one window then. `verbatim` words of
+    another, or, if they are fewer than `few`, where they are the whole
+    document or a line or sentence of it, and has one window then. `verbatim` words of
     an item as they stand are a leak, too, whatever their share, if a window
     that counts is among them. slots_equal says whether all slot values agree,
     too. Nulls and empty texts hold nothing; rows of a
@@ -207,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     held = (held.join(counts, item).withColumn("share", F.col("best.n_windows") / F.col("n_item_windows"))
             .where((F.col("share") >= share) | F.col("run"))
             .select(key, item, "best.n_windows", "n_item_windows", "share", "best.slots_equal"))
-    whole = _whole(docs, uncounted.where(F.size("words") > 0), key, text, item, width, small_windows)
+    whole = _whole(docs, uncounted.where(F.size("words") > 0), key, text, item, width, few, small_windows)
     if whole is None:
         return held
     one = F.lit(1).cast("long")

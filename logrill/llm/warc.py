@@ -34,9 +34,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_name(kind: str, page_id, payload_digest: str) -> str:
-    """The same name for the same record in every attempt of a task."""
-    return uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}|{page_id}|{payload_digest}").urn
+def record_name(kind: str, page_id, url: str | None, payload_digest: str, copy: int) -> str:
+    """The same name for the same record in every attempt of a task; equal rows are told apart by `copy`."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}|{page_id}|{payload_digest}|{copy}|{'' if url is None else '=' + url}").urn
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -44,26 +44,26 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"\r\n" + block
 
 
-def _transaction(page_id, url, payload: bytes, first, date: str, least: int) -> list[bytes]:
+def _transaction(page_id, url, payload: bytes, first, first_url, copy: int, date: str, least: int) -> list[bytes]:
     """The three records of one page, each without the two line ends that close it."""
     sha, uri = digest(payload), (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     revisit = len(payload) >= least and first != page_id
-    name = record_name("capture", page_id, sha)
+    name = record_name("capture", page_id, url, sha, copy)
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     same = [("WARC-Target-URI", f"<{uri}>"), ("WARC-Date", date)]
     main = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{name}>"), *same,
             ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
-        main += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<{record_name('capture', first, sha)}>")]
+        main += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<{record_name('capture', first, first_url, sha, 1)}>")]
     path = re.sub(r"^[a-z]+://[^/]*", "", uri) or "/"
     request = f"GET {path} HTTP/1.1\r\nAccept: text/html\r\n\r\n".encode("utf-8", "surrogatepass")
     fields = f"page-id: {'' if page_id is None else page_id}\r\n".encode()
     to = [("WARC-Concurrent-To", f"<{name}>")]
     return [
         _record(main, http if revisit else http + payload),
-        _record([("WARC-Type", "request"), ("WARC-Record-ID", f"<{record_name('request', page_id, sha)}>"), *same, *to,
+        _record([("WARC-Type", "request"), ("WARC-Record-ID", f"<{record_name('request', page_id, url, sha, copy)}>"), *same, *to,
                  ("Content-Type", "application/http; msgtype=request")], request),
-        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<{record_name('metadata', page_id, sha)}>"), *same, *to,
+        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<{record_name('metadata', page_id, url, sha, copy)}>"), *same, *to,
                  ("Content-Type", "application/warc-fields")], fields)]
 
 
@@ -74,26 +74,36 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     `pages` has page_id, url and html. A null html is an empty payload, a null
     url becomes urn:page:<page_id>. Of rows with equal payloads of at least
     `least` bytes, those with the smallest page_id are responses, the others
-    revisits that name it; rows that agree in page_id and html are one capture.
-    A null page_id sorts before all others. An empty table writes no record.
+    revisits that name it. Every row gives its records, also one that another
+    repeats. A null page_id sorts before all others. An empty table writes no record.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    sized = pages.select(F.col("page_id"), F.sha2("payload", 256).alias("sha"))
-    # nulls count as first: a group that has one keeps null as its smallest id
-    first = sized.groupBy("sha").agg(
-        F.min("page_id").alias("least_id"), F.max(F.col("page_id").isNull()).alias("none"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("sha", F.when(~F.col("none"), F.col("least_id")).alias("first"), F.lit(True).alias("shared"))
-    rows = (pages.withColumn("sha", F.sha2("payload", 256)).join(first, "sha", "left")
-            .select("page_id", "url", "payload", F.when(F.col("shared"), F.col("first")).otherwise(F.col("page_id")).alias("first")))
+    pages = pages.withColumn("sha", F.sha2("payload", 256))
+    light = pages.groupBy("sha", "page_id", "url").agg(F.count("*").alias("copies"))
+    # a null page_id is the smallest of its group, and so is a null url
+    ordered = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", F.col("url").isNotNull().alias("placed"), "url")
+    first = light.groupBy("sha").agg(F.min(ordered).alias("least"), F.sum("copies").alias("n")).where("n > 1").select(
+        "sha", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"), F.lit(True).alias("shared"))
+    again = materialize(light.where("copies > 1"), "warc_repeated")
+    once = pages.withColumn("copies", F.lit(1).cast("long"))
+    if again.limit(1).count():  # rows that repeat others are written from one of them
+        same = [pages[c].eqNullSafe(again[c]) for c in ("sha", "page_id", "url")]
+        once = pages.join(again, same, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(
+            pages.join(again, same).select(*[pages[c] for c in pages.columns], "copies").dropDuplicates(["sha", "page_id", "url"]))
+    shared = F.col("shared")
+    rows = once.join(first, "sha", "left").select(
+        "page_id", "url", "payload", F.when(shared, F.col("first")).otherwise(F.col("page_id")).alias("first"),
+        F.when(shared, F.col("first_url")).otherwise(F.col("url")).alias("first_url"), "copies")
 
     def run(batches):
         for batch in batches:
             lines, size = [], 0
-            for row in zip(*(batch.column(i) for i in range(4))):
-                page_id, url, payload, one = (x.as_py() for x in row)
-                lines += _transaction(page_id, url, payload, one, date, least)
-                size += len(payload)
+            for row in zip(*(batch.column(i) for i in range(6))):
+                page_id, url, payload, one, one_url, copies = (x.as_py() for x in row)
+                for copy in range(1, copies + 1):
+                    lines += _transaction(page_id, url, payload, one, one_url, copy, date, least)
+                    size += len(payload)
                 if size > 1 << 21:
                     yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
                     lines, size = [], 0
@@ -238,14 +248,15 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def page_captures(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes `pages` as archives in the shared folder, reads them back: a row per capture with the page it names."""
+    """Writes `pages` as archives in the shared folder, reads them back: a row per row, with the page that its record names."""
     path = fresh_path(spark, "warc")
     write_archives(pages, path, least)
     captures = materialize(assemble(read_records(spark, path, payloads=False)).select(
         "capture_id", F.expr("try_cast(map_from_entries(metadata.fields)['page-id'] AS bigint)").alias("page_id"),
         F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"),
         F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("names")), "captures")
-    # only responses that a revisit names are joined back; the revisits of a hot payload are split by AQE
+    # revisits alone are joined, to the response that each names; those of a hot payload are split by AQE
     named = captures.where("record_type = 'response'").select(F.col("capture_id").alias("names"), F.col("page_id").alias("refers_to"))
-    return captures.join(named, "names", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kept = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = captures.where("record_type = 'revisit'").join(named, "names", "left").select(*kept)
+    return captures.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*kept).union(revisits)

@@ -95,6 +95,14 @@ def test_items_without_a_window(spark):
         assert all(r["share"] == 1.0 and r["slots_equal"] for r in got)
 
 
+def test_items_of_a_word_or_two_count_only_by_themselves(spark):
+    """An item "Yes" is no leak wherever the word stands, but it is one as a document, a line or a sentence."""
+    docs = [(i, f"Some text number {i} says yes, and yes again, in a sentence of its own.") for i in range(20)]
+    docs += [(100, " yes\n"), (101, "a line\nYes\nanother"), (102, "Is it so? Yes. Good"), (103, "yes no"), (104, ""), (105, None)]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), _items(spark, "Yes", "No way")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(100, 0), (101, 0), (102, 0)]
+
+
 def test_long_verbatim_passage(spark):
     item = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
     words = item.split()
