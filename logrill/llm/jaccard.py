@@ -39,6 +39,7 @@ from logrill.session import materialize
 #: The bytes that separate words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+SIGNATURES = 1 << 21  # signatures that a task reduces at a time
 PAIRED = 12  # differences up to which signatures are of two partitions
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
@@ -199,17 +200,9 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
 
     def sign(batches):
         bands, plans, common, signed = Bands(num, den, largest), {}, shared.value, set()
-        for ids, some in _stretches_of(batches):
-            sigs, of = [], []
-            for i, elements in zip(ids, shingle_sets(some, words)):
-                key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                if len(elements) and key not in signed:  # of copies in a task one signs
-                    signed.add(key)
-                    found = signatures(elements, bands, plans, common)
-                    sigs.append(found)
-                    of.append(np.full(len(found), i, np.int64))
-            if not sigs:
-                continue
+        sigs, of, held = [], [], 0
+
+        def sent():
             sig, own, local = _first_of_equals(np.concatenate(sigs).view(np.int64), np.concatenate(of))
             slice_ = np.floor_divide(sig, -(-(1 << 63) // slices) * 2) + slices // 2 + 1  # sig is sorted
             cuts = np.flatnonzero(np.diff(slice_)) + 1
@@ -222,6 +215,21 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
                     [pa.array([int(local[:, 1].sum() >> 1)]), pa.array([b""], pa.binary()), pa.array([_pack(local[:, 0], local[:, 1])], pa.binary())],
                     names=["slice", "signatures", "edges"])
 
+        for ids, some in _stretches_of(batches):
+            for i, elements in zip(ids, shingle_sets(some, words)):
+                key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+                if len(elements) and key not in signed:  # of copies in a task one signs
+                    signed.add(key)
+                    found = signatures(elements, bands, plans, common)
+                    sigs.append(found)
+                    of.append(np.full(len(found), i, np.int64))
+                    held += len(found)
+            if held >= SIGNATURES:  # the more at a time, the more equal ones are reduced to one
+                yield from sent()
+                sigs, of, held = [], [], 0
+        if held:
+            yield from sent()
+
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, own = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting, size = [], 0
