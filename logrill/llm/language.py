@@ -6,8 +6,10 @@ Spark; all lower orders follow from them as continuation counts. A model is a
 set of sorted arrays of 64-bit hashes with one column per language: of 4-, 3-
 and 2-grams with their interpolated log probability, and of their contexts with
 the log weight of backing off. The language with the lowest cross-entropy per
-character wins, and a text whose cross-entropy is far above what its language's
-own texts of that length have is rejected.
+character wins. A text is rejected when its cross-entropy is above its language's
+cut, which is calibrated on learning texts that the models have not counted: it
+lies between what a language's own texts have and what texts of other languages
+have that would fall to it.
 """
 
 from __future__ import annotations
@@ -17,13 +19,18 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.llm.byte_bpe import groups
 from logrill.llm.common import mixed
 from logrill.session import materialize
 
+CALIBRATED = 64  # learning rows from which a language keeps some back to calibrate with
+FOLDS = 8  # one of so many is kept back
+DAMPED = 64  # characters at which a text's own noise equals that between texts
+BINS = 128  # bins a nat in histograms of excess entropy
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SPACE = 32
 ORDER = 4
@@ -134,8 +141,8 @@ class Model:
         lower = None
         for order in range(1, ORDER + 1):
             lang_, gram_, c = counts[ORDER - order]
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
+            once, twice = (np.bincount(lang_[c == k], minlength=width) for k in (1, 2))
+            discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)  # each language's own
             keys, at = np.unique(gram_, return_inverse=True)
             contexts, of_key = np.unique(keys >> np.uint64(16), return_inverse=True)
             total, types = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
@@ -143,7 +150,7 @@ class Model:
             np.add.at(types, (of_key[at], lang_), 1)
             back = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
             seen = np.zeros((len(keys), width))
-            seen[at, lang_] = np.maximum(c - discount, 0) / total[of_key[at], lang_]
+            seen[at, lang_] = np.maximum(c - discount[lang_], 0) / total[of_key[at], lang_]
             if order == 1:
                 below = np.full((len(keys), width), np.exp(self.uniform))
             else:
@@ -212,24 +219,74 @@ def learn(docs: DataFrame) -> Model | None:
     return Model([langs[i] for i in order], lang, rows.column("gram").to_numpy(), rows.column("n").to_numpy())
 
 
+def _kept_back(text: str):
+    """Whether a learning row is kept back to calibrate with; equal texts go one way."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)) == 0
+
+
+def _first_bin(histogram: DataFrame, share: float, name: str) -> DataFrame:
+    """(lang, name): the smallest upper end of a bin at or below which at least `share` of a language's rows lie.
+
+    `histogram` is (lang, bin, n), as large as languages times bins.
+    """
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    return (histogram.withColumn("_reached", upto >= share * total).where("_reached")
+            .groupBy("lang").agg(((F.min("bin") + 1) / BINS).alias(name)))
+
+
+def cuts(judged: DataFrame, own: float = 0.999, foreign: float = 0.01) -> DataFrame:
+    """(lang, usual, cut) per calibrated language, and a row of lang null for all others.
+
+    `judged` has a row per text kept back: lang, entropy (under its own model),
+    n (characters), rival and rival_entropy (the best other language, null where
+    there is none). The excess of a text is its entropy above the language's
+    mean per character, damped for short texts by sqrt(n / (n + DAMPED)). The cut
+    lies midway between the `own` quantile of the language's texts and the
+    `foreign` quantile of texts of other languages that would fall to it; where
+    no such text is known, or the two overlap, as far above the `own` quantile as this is above
+    the mean, but at least a quarter of a nat. The row of lang null has the loosest values.
+    """
+    usual = judged.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("usual"))
+
+    def histogram(lang, entropy):
+        excess = (F.col("entropy") - F.col("usual")) * F.sqrt(F.col("n") / (F.col("n") + DAMPED))
+        rows = judged.select(F.col(lang).alias("lang"), F.col(entropy).alias("entropy"), "n").join(F.broadcast(usual), "lang")
+        return rows.groupBy("lang", F.floor(excess * BINS).alias("bin")).agg(F.count("*").alias("n"))
+
+    high = _first_bin(histogram("lang", "entropy"), own, "high")
+    low = _first_bin(histogram("rival", "rival_entropy"), foreign, "low")
+    cut = F.when(F.col("low") > F.col("high"), (F.col("low") + F.col("high")) / 2).otherwise(
+        F.col("high") + F.greatest("high", F.lit(0.25)))
+    found = usual.join(high, "lang").join(low, "lang", "left").select("lang", "usual", cut.alias("cut"))
+    found = materialize(found, "language_cuts")
+    return found.union(found.agg(F.lit(None).cast("string").alias("lang"), F.max("usual"), F.max("cut")))
+
+
 def identify(docs: DataFrame, learning: DataFrame, held_out, keep: list[str], text: str = "text",
-             lang: str = "lang", sigmas: float = 12.0) -> DataFrame:
+             lang: str = "lang") -> DataFrame:
     """The columns `keep` of each row, held_out, lang_pred, score, cross_entropy and rejected.
 
     `learning` has (lang, text); `held_out` is a boolean column that marks the
-    rows of `docs` that calibration leaves out, too. lang_pred is the language
+    rows of `docs` that calibration leaves out, too. Of languages with at least
+    CALIBRATED learning rows one text in FOLDS is not counted, and calibrates where it stands in `docs`.
+    lang_pred is the language
     of lowest cross-entropy per character (ties: the first by name), or `und`
     for a null text or one without letters, or if nothing was learned; `und`
     rows are rejected and have the score 0. score is the share of the winner
     among the languages' likelihoods over at most 64 characters. A row is
-    rejected when its cross-entropy is more than `sigmas` deviations above the
-    mean of learning rows of the winner's language and the same length class
-    (powers of two). Repeated rows are judged each alike.
+    rejected when its excess entropy is above the winner's cut (`cuts`); a
+    language without calibration has the loosest cut of all, and where no
+    language is calibrated only `und` rows are rejected. Repeated rows are
+    judged each alike.
     """
-    model = learn(learning)
     spark = docs.sparkSession
+    # names of languages only: the model has a column for each
+    large = [r.lang for r in learning.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("count") >= CALIBRATED).collect()]
+    model = learn(learning.where(~(F.col("lang").isin(large) & F.coalesce(_kept_back("text"), F.lit(False)))))
     shared = spark.sparkContext.broadcast(model)
-    given = docs.select(*keep, held_out.alias("held_out"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    calibrates = ~held_out & F.col(lang).isin(large) & _kept_back(text)
+    given = docs.select(*keep, held_out.alias("held_out"), F.when(calibrates, F.col(lang)).alias("_own"), F.col(text).alias("_text"))
     passed = [f for f in given.schema if f.name != "_text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
 
@@ -238,7 +295,9 @@ def identify(docs: DataFrame, learning: DataFrame, held_out, keep: list[str], te
         for batch in batches:
             texts = [letters(t) for t in batch.column("_text").to_pylist()]
             best, score, entropy = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+            own, rival_entropy, rival = entropy.copy(), entropy.copy(), [None] * len(texts)
             if model is not None:
+                number = {name: k for k, name in enumerate(model.langs)}
                 h = model.cross_entropy(texts)
                 some = np.flatnonzero(~np.isnan(h[:, 0]))
                 pick = np.argmin(h[some], axis=1)
@@ -247,17 +306,28 @@ def identify(docs: DataFrame, learning: DataFrame, held_out, keep: list[str], te
                 score[some] = 1 / np.exp(-(h[some] - h[some, pick][:, None]) * sizes).sum(axis=1)
                 for i, k in zip(some.tolist(), pick.tolist()):
                     best[i] = model.langs[k]
+                for i, name in enumerate(batch.column("_own").to_pylist()):
+                    if name in number and not np.isnan(h[i, 0]):
+                        own[i], h[i, number[name]] = h[i, number[name]], np.inf
+                        if len(number) > 1:
+                            rival[i], rival_entropy[i] = model.langs[int(np.argmin(h[i]))], h[i].min()
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in passed), pa.array(best), pa.array(score),
-                 pa.array(entropy, from_pandas=True), pa.array([len(t).bit_length() for t in texts], pa.int32())],
-                names=[*(f.name for f in passed), "lang_pred", "score", "cross_entropy", "length_class"])
+                 pa.array(entropy, from_pandas=True), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array(own, from_pandas=True), pa.array(rival, pa.string()), pa.array(rival_entropy, from_pandas=True)],
+                names=[*(f.name for f in passed), "lang_pred", "score", "cross_entropy", "_n", "_entropy", "_rival", "_rival_entropy"])
 
     scored = materialize(given.mapInArrow(
-        run, f"{schema}, lang_pred string, score double, cross_entropy double, length_class int"), "language_scores")
-    usual = (scored.where(~F.col("held_out") & (F.col("_lang") == F.col("lang_pred")))
-             .groupBy("lang_pred", "length_class")
-             .agg(F.avg("cross_entropy").alias("usual"), F.stddev_pop("cross_entropy").alias("spread")))
-    usual = usual.select("lang_pred", "length_class", (F.col("usual") + sigmas * F.greatest("spread", F.lit(0.05))).alias("cut"))
-    return scored.join(usual, ["lang_pred", "length_class"], "left").select(
+        run, f"{schema}, lang_pred string, score double, cross_entropy double, _n long, _entropy double, _rival string, "
+             "_rival_entropy double"), "language_scores")
+    judged = scored.where("_entropy IS NOT NULL").select(
+        F.col("_own").alias("lang"), F.col("_entropy").alias("entropy"), F.col("_n").alias("n"),
+        F.col("_rival").alias("rival"), F.col("_rival_entropy").alias("rival_entropy"))
+    found = cuts(judged)  # a row per language
+    named = found.where("lang IS NOT NULL").select(F.col("lang").alias("lang_pred"), F.col("usual").alias("_usual"), F.col("cut").alias("_cut"))
+    loosest = found.where("lang IS NULL").select(F.col("usual").alias("_usual2"), F.col("cut").alias("_cut2"))
+    rows = scored.join(F.broadcast(named), "lang_pred", "left").join(F.broadcast(loosest), F.lit(True), "left")
+    excess = ((F.col("cross_entropy") - F.coalesce("_usual", "_usual2")) * F.sqrt(F.col("_n") / (F.col("_n") + DAMPED)))
+    return rows.select(
         *keep, "held_out", "lang_pred", "score", "cross_entropy",
-        ((F.col("lang_pred") == "und") | F.coalesce(F.col("cross_entropy") > F.col("cut"), F.lit(False))).alias("rejected"))
+        ((F.col("lang_pred") == "und") | F.coalesce(excess > F.coalesce("_cut", "_cut2"), F.lit(False))).alias("rejected"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from logrill.llm.common import fold
-from logrill.llm.language import identify, learn, letters
+from logrill.llm.language import cuts, identify, learn, letters
 from logrill.llm.quality import features, fit, score, train
 from logrill.llm.toxicity import Lexicon, Scorer, learn_lexicon, toxicity
 
@@ -42,14 +42,16 @@ def test_kneser_ney_by_definition(spark):
         counts.append(dict(tails))
     discounts = []
     for c in counts:
-        once, twice = (sum(v == n for v in c.values()) for n in (1, 2))
-        discounts.append(min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
+        discounts.append({})
+        for lang in ("aa", "bb"):
+            once, twice = (sum(v == n for (x, _), v in c.items() if x == lang) for n in (1, 2))
+            discounts[-1][lang] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
     alphabet = len({g[-1] for _, g in counts[0]}) + 1
 
     def p(lang, gram):
         if not gram:
             return 1 / alphabet
-        c, d = counts[4 - len(gram)], discounts[4 - len(gram)]
+        c, d = counts[4 - len(gram)], discounts[4 - len(gram)][lang]
         around = [n for (x, g), n in c.items() if x == lang and g[:-1] == gram[:-1]]
         if not around:
             return p(lang, gram[1:])
@@ -162,3 +164,33 @@ def test_a_large_language_costs_a_small_one_nothing(spark):
     assert model.langs == ["yy", "zz"]
     h = model.cross_entropy([letters("einmal")])
     assert h[0, 1] < h[0, 0]
+
+
+def test_a_small_language_has_its_own_discounts(spark):
+    small = spark.createDataFrame([("aa", "abab abba bab bb ab ba abaab")], "lang string, text string")
+    large = spark.createDataFrame([("bb", "abab " * 50 + "ab ba b a"), ("bb", "bab bab baab")], "lang string, text string")
+    alone, beside = learn(small), learn(small.union(large))
+    some = [letters("abab abba bab bb ab ba abaab")]
+    assert abs(alone.cross_entropy(some)[0, 0] - beside.cross_entropy(some)[0, 0]) < 1e-6  # same letters, so the same floor
+
+
+def test_rejection_is_calibrated(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    held = fold("doc_id", 4, 2)
+    noise = spark.createDataFrame([(-1, None, "qqxz zzkk vvww"), (-2, None, "xq zvk jjw qpx " * 20)], docs.schema)
+    for unlearned in ("de", "fr"):  # not English: documents of other languages hold English passages
+        got = identify(docs.union(noise), docs.where(~held & F.col("lang").isNotNull() & (F.col("lang") != unlearned)),
+                       held | (F.col("lang") == unlearned) | (F.col("doc_id") < 0), ["doc_id", "lang"]).cache()
+        learned, foreign = got.where((F.col("lang") != unlearned) & F.col("held_out")), got.where(F.col("lang") == unlearned)
+        assert learned.where("rejected").count() <= 0.005 * learned.count()
+        assert foreign.where("rejected").count() >= 0.9 * foreign.count()
+        assert got.where("doc_id < 0 AND rejected").count() == 2
+
+
+def test_cuts_by_quantiles(spark):
+    rows = [("aa", 2.0 + (k - 50) / 1000, 10**6, "bb", 6.0 + k / 1000) for k in range(101)]
+    rows += [("bb", 3.0, 10**6, None, None)] * 3
+    got = {r.lang: (r.usual, r.cut) for r in cuts(spark.createDataFrame(rows, "lang string, entropy double, n long, rival string, rival_entropy double")).collect()}
+    assert abs(got["aa"][0] - 2.0) < 1e-9 and abs(got["aa"][1] - (0.05 + 0.25)) < 0.02  # no text falls to aa
+    assert abs(got["bb"][1] - (0.0 + 3.0) / 2) < 0.02  # midway to texts of aa that fall to bb
+    assert got[None] == (3.0, got["bb"][1])
