@@ -1,5 +1,5 @@
 from checks.base import INVENTORY, RANK, RELAYS, SECURE, SEVERE, category, with_ev, with_lab
-from checks.detect import FLAP, RARE
+from checks.detect import FLAP, RARE, SQL as DETECTED
 from checks.identity import RESOLVED, SKEW
 from checks.intake import DOCS
 from checks.searches import ROLLUP
@@ -18,6 +18,7 @@ def ingested(more: str = "") -> str:
 
 SQL = {
     "stream_ingest": ingested(", CAST(event_time AS DATE) AS event_date"),
+    "stream_events": DETECTED["inline_reasons"],
     "stream_tail": ingested(),
     "stream_rollup": with_lab("SELECT * FROM mins", ROLLUP),
     "stream_windowed_rollup": with_lab("""SELECT * FROM mins WHERE minute + INTERVAL 1 MINUTE <=

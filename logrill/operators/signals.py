@@ -13,18 +13,20 @@ def reasons_array(flags: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
 
 
-def rare_template(events: DataFrame, threshold: int = 5) -> DataFrame:
+def rare_template(events: DataFrame, threshold: int = 5, seen: DataFrame | None = None) -> DataFrame:
     """Flag the first ``threshold`` events a template ever had.
 
-    The cut-off per template comes from ``row_number <= threshold``, which Spark
+    ``seen``: (template_id, n), how many events it had before these. The cut-off per template comes from ``row_number <= threshold``, which Spark
     prunes before the shuffle, so a template with most rows costs nothing extra.
     """
     first = Window.partitionBy("template_id").orderBy("event_time", "event_id")
     cutoff = (
         events.select("template_id", "event_time", "event_id")
         .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= threshold)
-        .groupBy("template_id").agg(F.max(F.struct("event_time", "event_id")).alias("_cut"))
     )
+    if seen is not None:
+        cutoff = cutoff.join(seen, "template_id", "left").where(F.col("_rn") + F.coalesce("n", F.lit(0)) <= threshold)
+    cutoff = cutoff.groupBy("template_id").agg(F.max(F.struct("event_time", "event_id")).alias("_cut"))
     rare = F.struct("event_time", "event_id") <= F.col("_cut")
     return events.join(cutoff, "template_id", "left").withColumn("rare_template", rare).drop("_cut")
 
@@ -37,38 +39,64 @@ def security_content(events: DataFrame) -> DataFrame:
     return events.withColumn("security_content", text.is_security_content("message"))
 
 
-def severity_spike(events: DataFrame, days: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
+RANKS = range(8)
+
+
+def latest_by_rank(events: DataFrame) -> DataFrame:
+    """(source_ip, last0 .. last7): when a device last logged at that rank or worse, in microseconds."""
+    return events.groupBy("source_ip").agg(*[
+        F.max(F.when(F.col("severity_num") <= r, micros("event_time"))).alias(f"last{r}") for r in RANKS])
+
+
+def severity_spike(events: DataFrame, days: int = 7, slice_rows: int = SLICE_ROWS,
+                   earlier: DataFrame | None = None) -> DataFrame:
     """Flag events more severe than all the device logged in the days before.
 
     For each rank the latest earlier time with that rank or worse is a running
     maximum, so the frame never has to be rescanned; the event is a spike when
     its own rank was last reached before the period, and history exists.
+    ``earlier``: ``latest_by_rank`` of the events before these.
     """
     width = days * 86400 * MICROS
     now = micros("event_time")
-    ranks = range(8)
     items = [
         Running(f"_last{r}", F.when(F.col("severity_num") <= r, now), "max", include_current=False)
-        for r in ranks
+        for r in RANKS
     ]
     out = running(events, ["source_ip"], "event_time", "event_id", items, slice_rows)
-    same_or_worse = F.element_at(F.array(*[F.col(f"_last{r}") for r in ranks]), F.col("severity_num") + 1)
+    if earlier is not None:
+        named = earlier.withColumnRenamed("source_ip", "_device")
+        out = out.join(named, F.col("source_ip").eqNullSafe(F.col("_device")), "left").withColumns({
+            f"_last{r}": F.greatest(f"_last{r}", f"last{r}") for r in RANKS}).drop(*named.columns)
+    same_or_worse = F.element_at(F.array(*[F.col(f"_last{r}") for r in RANKS]), F.col("severity_num") + 1)
     history = F.coalesce(F.col("_last7") >= now - width, F.lit(False))
     reached = F.coalesce(same_or_worse >= now - width, F.lit(False))
-    return out.withColumn("severity_spike", history & ~reached).drop(*[f"_last{r}" for r in ranks])
+    return out.withColumn("severity_spike", history & ~reached).drop(*[f"_last{r}" for r in RANKS])
+
+
+def device_counts(events: DataFrame, refresh_seconds: int = 600) -> DataFrame:
+    """Per device and refresh interval: events, and the first and last time."""
+    return events.groupBy(
+        "source_ip", bucket_no("event_time", refresh_seconds).alias("bucket")).agg(
+        F.count("*").alias("events"), F.min("event_time").alias("_first"), F.max("event_time").alias("_last"))
+
+
+def merge_device_counts(counts: DataFrame) -> DataFrame:
+    """The same from several partial ``device_counts``."""
+    return counts.groupBy("source_ip", "bucket").agg(
+        F.sum("events").alias("events"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
 
 
 def volume_buckets(events: DataFrame, refresh_seconds: int = 600, days: int = 7,
-                   multiplier: float = 5) -> DataFrame:
+                   multiplier: float = 5, counts: DataFrame | None = None) -> DataFrame:
     """Per device and refresh interval: does the rate spike against the baseline.
 
     Works on one pre-aggregated row per device and interval; the baseline frame
-    holds at most ``days / refresh`` of those.
+    holds at most ``days / refresh`` of those. ``counts``: ``device_counts`` that
+    also cover earlier events; by default those of ``events``.
     """
     width = days * 86400 // refresh_seconds
-    counts = events.groupBy(
-        "source_ip", bucket_no("event_time", refresh_seconds).alias("bucket")).agg(
-        F.count("*").alias("events"), F.min("event_time").alias("_first"), F.max("event_time").alias("_last"))
+    counts = device_counts(events, refresh_seconds) if counts is None else counts
     past = Window.partitionBy("source_ip").orderBy("bucket").rangeBetween(-width, -1)
     base = counts.select(
         "source_ip", "bucket", "events", F.sum("events").over(past).alias("_base"),
@@ -81,9 +109,9 @@ def volume_buckets(events: DataFrame, refresh_seconds: int = 600, days: int = 7,
 
 
 def volume_spike(events: DataFrame, refresh_seconds: int = 600, days: int = 7,
-                 multiplier: float = 5) -> DataFrame:
+                 multiplier: float = 5, counts: DataFrame | None = None) -> DataFrame:
     """Flag the events of the interval after one that spiked."""
-    flagged = volume_buckets(events, refresh_seconds, days, multiplier).where("spiking").select(
+    flagged = volume_buckets(events, refresh_seconds, days, multiplier, counts).where("spiking").select(
         "source_ip", (F.col("bucket") + 1).alias("_bucket"), F.lit(True).alias("_spiking"))
     return (
         events.withColumn("_bucket", bucket_no("event_time", refresh_seconds))
@@ -120,6 +148,11 @@ def inline_reasons(events: DataFrame, rare_threshold: int = 5, baseline_days: in
     flagged = volume_spike(flagged, refresh_seconds, baseline_days, volume_multiplier)
     flagged = rare_template(flagged, rare_threshold)
     flagged = interface_flapping(flagged, flap_seconds, min_downs)
+    return named_reasons(flagged)
+
+
+def named_reasons(flagged: DataFrame) -> DataFrame:
+    """The flags of the four signals with history, and the two without -> ``anomaly_reasons``, ``is_anomaly``."""
     names = ("rare_template", "severity_spike", "volume_spike", "interface_flapping")
     reasons = reasons_array({
         "rare_template": F.col("rare_template"),

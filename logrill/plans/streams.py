@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logrill.session import fresh_path
 from logrill.sources import fixture as fx, raw, tail
-from logrill.streaming import jobs, keyed
+from logrill.streaming import history, jobs, keyed
 
 ONCE = {"availableNow": True}
 
@@ -66,6 +66,21 @@ def stream_ingest(spark, sf):
         F.array_join("anomaly_reasons", ",").alias("reasons"), "event_date")
 
 
+def stream_events(spark, sf):
+    """Events stored with all reasons, in three stretches of time that each arrive after the one before is stored."""
+    rows, folder, out, position = fx.events(spark, sf), fresh_path(spark, "arriving"), fresh_path(spark, "stored"), fresh_path(spark, "position")
+    how = history.Reasons(refresh_seconds=86400, volume_multiplier=3, flap_seconds=172800)
+    first, last = rows.agg(F.min("event_time"), F.max("event_time")).first()
+    third = (last - first) / 3 if first else timedelta()
+    for low, high in ((None, first and first + third), (first and first + third, first and last - third), (first and last - third, None)):
+        after, before = (F.lit(t).cast("timestamp_ntz") for t in (low, high))
+        part = (F.col("event_time") > after if low else F.lit(True)) & (F.col("event_time") <= before if high else F.lit(True))
+        rows.where(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        _finish(history.stream_events(stream, lambda batch: batch, out, position, how, ONCE))
+    return history.read_stored(spark, out).select("event_id", F.array_join("anomaly_reasons", ",").alias("reasons"), "is_anomaly")
+
+
 def stream_tail(spark, sf):
     """The lines of growing files, labelled: all that is there when the query runs."""
     folder = fresh_path(spark, "log")
@@ -124,5 +139,5 @@ def stream_multipart(spark, sf, timeout_seconds=10):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_tail, stream_rollup, stream_windowed_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
+    stream_ingest, stream_events, stream_tail, stream_rollup, stream_windowed_rollup, stream_index, stream_alerts, stream_rare_template, stream_flapping,
     stream_clock_skew, stream_multipart)}

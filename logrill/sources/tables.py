@@ -21,8 +21,14 @@ def _laid_out(events: DataFrame) -> DataFrame:
     return dated.repartitionByRange("event_date", *SORT).sortWithinPartitions("event_date", *SORT)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    (_laid_out(events).write.mode(mode).partitionBy("event_date")
+def write_events(events: DataFrame, path: str, mode: str = "append", batch: int | None = None) -> None:
+    """Write by day. A numbered batch replaces exactly what an earlier attempt at it has written."""
+    out, folders = _laid_out(events).write.mode(mode), ["event_date"]
+    if batch is not None:
+        out = _laid_out(events).withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic")
+        folders = ["event_date", "batch"]
+    (out.partitionBy(*folders)
      .option("parquet.bloom.filter.enabled#source_ip", "true")
      .option("parquet.bloom.filter.enabled#program", "true")
      .parquet(path))

@@ -2,6 +2,7 @@
 
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from logrill.operators import signals
 from logrill.plans import streams
 from logrill.session import fresh_path, numbers_below
 from logrill.sources import fixture as fx
-from logrill.streaming import jobs, keyed
+from logrill.streaming import history, jobs, keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -171,3 +172,36 @@ def test_closed_minutes_and_late_rows(spark):
     query.awaitTermination()
     closed = {(r.minute - start).seconds // 60: r.event_count for r in spark.read.schema(stream.schema).parquet(out).collect()}
     assert closed == {0: 2, 5: 1, 29: 1, 30: 1, 31: 1} and jobs.late_rows(query) == 1
+
+
+def test_stored_events_equal_the_batch_also_after_a_replay(spark):
+    rows = fx.events(spark, SF).cache()
+    how = history.Reasons(refresh_seconds=86400, volume_multiplier=3, flap_seconds=172800)
+    out, position = fresh_path(spark, "stored"), fresh_path(spark, "position")
+    stream = _batches(spark, rows)
+
+    def run():
+        history.stream_events(stream, lambda b: b, out, position, how, {"availableNow": True}).awaitTermination()
+        return {(r.event_id, ",".join(r.anomaly_reasons), r.is_anomaly) for r in history.read_stored(spark, out).collect()}
+
+    whole = signals.inline_reasons(rows, refresh_seconds=86400, volume_multiplier=3, flap_seconds=172800)
+    want = {(r.event_id, ",".join(r.anomaly_reasons), r.is_anomaly) for r in whole.collect()}
+    assert {"rare_template", "severity_spike", "volume_spike", "interface_flapping"} <= {x for _, r, _ in want for x in r.split(",")}
+    assert run() == want
+    last = max(int(f.name) for f in Path(position, "commits").iterdir() if f.name.isdigit())
+    assert last >= 2
+    for f in (Path(position, "commits", str(last)), Path(position, "commits", f".{last}.crc")):
+        f.unlink(missing_ok=True)  # as if the query was lost after its write
+    assert run() == want and history.read_stored(spark, out).count() == rows.count()
+    assert numbers_below(spark, f"{out}/state/ranks") == [last - 1, last]
+
+
+def test_identical_lines_have_ids_of_their_own(spark):
+    rows = fx.events(spark, SF).drop("event_id").limit(50).cache()
+    path, out, position = (fresh_path(spark, n) for n in ("files", "stored", "position"))
+    for _ in range(2):
+        rows.union(rows).repartition(3).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        history.stream_events(stream, lambda b: b, out, position, trigger={"availableNow": True}).awaitTermination()
+    got = history.read_stored(spark, out)
+    assert got.count() == 200 == got.select("event_id").distinct().count()
