@@ -15,7 +15,8 @@ differ in more, so which ones are left out decides about speed only, and they
 may be found on a sample.
 
 Signatures travel as packed arrays, one row per batch of documents and slice of
-the signature space, after equal ones of a batch have been reduced to one. What
+the signature space, after equal ones of a batch have been reduced to one. In a
+slice 48 bits tell them apart; a chance pair is one more candidate to verify. What
 shares a signature is put into families (connected components), families are
 cut into blocks, and each pair of blocks is verified in one task by counting
 common elements exactly. A task sends a spanning forest of the links it finds,
@@ -40,6 +41,7 @@ from logrill.session import materialize
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 SIGNATURES = 1 << 21  # signatures that a task reduces at a time
+KEPT_BITS = 48  # of a signature within its slice of about 2 million: hardly one in a hundred slices has a chance pair
 PAIRED = 12  # differences up to which signatures are of two partitions
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
@@ -182,6 +184,37 @@ def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return list(whole.reshape(columns, -1))
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of 64-bit values, a plane per byte, so that what sorted values have in common compresses."""
+    return values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(blob: memoryview, width: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _pack_signatures(sig: np.ndarray, ids: np.ndarray) -> bytes:
+    """Signatures below 2**KEPT_BITS, and ids as their distance from the smallest in as few bytes as all need."""
+    base = ids.min()
+    with np.errstate(over="ignore"):
+        apart = ids.view(np.uint64) - base.astype(np.uint64)
+    width = max(1, -(-int(apart.max()).bit_length() // 8))
+    return np.array([base, width], "<i8").tobytes() + _planes(sig, KEPT_BITS // 8) + _planes(apart, width)
+
+
+def _unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    base, width = np.frombuffer(blob[:16], "<i8")
+    each = KEPT_BITS // 8
+    n = (len(blob) - 16) // (each + int(width))
+    body = memoryview(blob)[16:]
+    with np.errstate(over="ignore"):
+        ids = _from_planes(body[n * each:], int(width)) + base.astype(np.uint64)
+    return _from_planes(body[:n * each], each).view(np.int64), ids.view(np.int64)
+
+
 def _first_of_equals(sig: np.ndarray, ids: np.ndarray):
     """Sorted by signature: the smallest id of each, and edges from it to the others that share it."""
     order = np.lexsort((ids, sig))
@@ -204,11 +237,13 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
 
         def sent():
             sig, own, local = _first_of_equals(np.concatenate(sigs).view(np.int64), np.concatenate(of))
-            slice_ = np.floor_divide(sig, -(-(1 << 63) // slices) * 2) + slices // 2 + 1  # sig is sorted
+            span = -(-(1 << 63) // slices) * 2
+            slice_ = np.floor_divide(sig, span) + slices // 2 + 1  # sig is sorted
+            rest = np.mod(sig, span) >> max(0, (span - 1).bit_length() - KEPT_BITS)
             cuts = np.flatnonzero(np.diff(slice_)) + 1
-            for s, o, p in zip(np.split(sig, cuts), np.split(own, cuts), np.split(slice_, cuts)):
+            for s, o, p in zip(np.split(rest, cuts), np.split(own, cuts), np.split(slice_, cuts)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p[0])]), pa.array([_pack(s, o)], pa.binary()), pa.array([b""], pa.binary())],
+                    [pa.array([int(p[0])]), pa.array([_pack_signatures(s, o)], pa.binary()), pa.array([b""], pa.binary())],
                     names=["slice", "signatures", "edges"])
             if len(local):
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +271,7 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
         edges = []
         def fold():
             nonlocal sig, own, waiting, size
-            parts = [_unpack(b, 2) for b in waiting]
+            parts = [_unpack_signatures(b) for b in waiting]
             sig, own, new = _first_of_equals(np.concatenate([sig, *(p[0] for p in parts)]), np.concatenate([own, *(p[1] for p in parts)]))
             edges.append(new)
             waiting, size = [], 0

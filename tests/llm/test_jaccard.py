@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from logrill.llm.jaccard import jaccard_components, linked, shingle_sets
+from logrill.llm.jaccard import _pack_signatures, _unpack_signatures, jaccard_components, linked, shingle_sets
 
 
 def brute(docs, words, num, den):
@@ -80,3 +81,15 @@ def test_copies_beyond_counting_and_keys_with_several_sets(spark):
     for i, t in docs:
         want = near_least if t in (text[0], near[0]) else 999 if t in (text[2], text[3], near[3]) else least[t]
         assert got[i] == want
+
+
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(5)
+    for low, high in ((0, 1), (7, 300), (-5, 1 << 40), (-(1 << 63), (1 << 63) - 1)):
+        sig = np.sort(rng.integers(0, 1 << 48, 1000))
+        ids = rng.integers(low, high, 1000)
+        blob = _pack_signatures(sig, ids)
+        back = _unpack_signatures(blob)
+        assert (back[0] == sig).all() and (back[1] == ids).all()
+    one = _unpack_signatures(_pack_signatures(np.array([3]), np.array([9])))
+    assert (one[0].tolist(), one[1].tolist()) == ([3], [9])
