@@ -16,11 +16,16 @@ may be found on a sample.
 
 Signatures travel as packed arrays, one row per batch of documents and slice of
 the signature space, after equal ones of a batch have been reduced to one. In a
-slice 48 bits tell them apart; a chance pair is one more candidate to verify. What
-shares a signature is put into families (connected components), families are
-cut into blocks, and each pair of blocks is verified in one task by counting
-common elements exactly. A task sends a spanning forest of the links it finds,
-never the pairs.
+slice 48 bits tell them apart; a chance pair is one more candidate to verify.
+Where only two sets share a signature, they are compared by sketches first: a bit
+per cell of the hashed domain, whether the set has an odd number of elements
+there. Each differing bit stands for at least one element of A ∆ B, so a pair
+whose sketches differ in more bits than A ∆ B may have is surely not linked, and
+most chance pairs, which share a passage, go here. This keeps families, the
+connected components of what is left, from growing together through chains of
+shared passages. Families are cut into blocks, and each pair of blocks is
+verified in one task by counting common elements exactly. A task sends a spanning
+forest of the links it finds, never the pairs.
 """
 
 from __future__ import annotations
@@ -196,38 +201,76 @@ def _from_planes(blob: memoryview, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pack_signatures(sig: np.ndarray, ids: np.ndarray) -> bytes:
-    """Signatures below 2**KEPT_BITS, and ids as their distance from the smallest in as few bytes as all need."""
+def sketch(elements: np.ndarray) -> bytes:
+    """A bit for each of n to 2n cells: whether an odd number of the n elements falls there."""
+    cells = 64
+    while cells < len(elements):
+        cells *= 2
+    scrambled = mixed(elements ^ np.uint64(0xA0761D6478BD642F))
+    counts = np.bincount((scrambled & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """A lower bound of the number of elements that only one of two sets has, from their sketches."""
+    a, b = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    while len(b) > len(a):  # the cells are the lowest bits of a hash
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _pack_signatures(sig: np.ndarray, ids: np.ndarray, many: np.ndarray) -> bytes:
+    """Signatures below 2**KEPT_BITS, ids as their distance from the smallest in as few bytes as all need, and a bit."""
     base = ids.min()
     with np.errstate(over="ignore"):
         apart = ids.view(np.uint64) - base.astype(np.uint64)
     width = max(1, -(-int(apart.max()).bit_length() // 8))
-    return np.array([base, width], "<i8").tobytes() + _planes(sig, KEPT_BITS // 8) + _planes(apart, width)
+    return (np.array([base, width, len(sig)], "<i8").tobytes() + _planes(sig, KEPT_BITS // 8) + _planes(apart, width)
+            + np.packbits(many).tobytes())
 
 
-def _unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    base, width = np.frombuffer(blob[:16], "<i8")
-    each = KEPT_BITS // 8
-    n = (len(blob) - 16) // (each + int(width))
-    body = memoryview(blob)[16:]
+def _unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base, width, n = np.frombuffer(blob[:24], "<i8")
+    n, of_sig = int(n), int(n) * (KEPT_BITS // 8)
+    of_ids = of_sig + n * int(width)
+    body = memoryview(blob)[24:]
     with np.errstate(over="ignore"):
-        ids = _from_planes(body[n * each:], int(width)) + base.astype(np.uint64)
-    return _from_planes(body[:n * each], each).view(np.int64), ids.view(np.int64)
+        ids = _from_planes(body[of_sig:of_ids], int(width)) + base.astype(np.uint64)
+    many = np.unpackbits(np.frombuffer(body[of_ids:], np.uint8), count=n).astype(bool)
+    return _from_planes(body[:of_sig], KEPT_BITS // 8).view(np.int64), ids.view(np.int64), many
 
 
-def _first_of_equals(sig: np.ndarray, ids: np.ndarray):
-    """Sorted by signature: the smallest id of each, and edges from it to the others that share it."""
+def _reduced(sig: np.ndarray, ids: np.ndarray, many: np.ndarray):
+    """Signatures in order with their ids; of those that three or more ids share only the smallest, marked `many`.
+
+    Then edges from the smallest id to the others of these, and the pairs that alone share a signature.
+    """
+    none = np.zeros((0, 2), np.int64)
+    if not len(sig):
+        return sig, ids, many, none, none
     order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    leader = ids[new][np.cumsum(new) - 1] if len(sig) else ids
-    other = ~new & (leader != ids)
-    edges = np.unique(np.stack([leader[other], ids[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[new], ids[new], edges
+    sig, ids, many = sig[order], ids[order], many[order]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    many = np.logical_or.reduceat(many, starts)
+    own = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+    sig, ids = sig[own], ids[own]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    starts, bucket = np.flatnonzero(new), np.cumsum(new) - 1
+    size = np.diff(np.append(starts, len(sig)))
+    many |= size > 2
+    leader = ids[starts]
+    other = ~new & many[bucket]
+    edges = np.unique(np.stack([leader[bucket[other]], ids[other]], axis=1), axis=0) if other.any() else none
+    two = ~new & ~many[bucket]
+    pairs = np.unique(np.stack([leader[bucket[two]], ids[two]], axis=1), axis=0) if two.any() else none
+    return sig[~other], ids[~other], many[bucket[~other]], edges, pairs
 
 
 def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, slices: int, common: np.ndarray) -> DataFrame:
-    """Edges (a, b) between documents that share a signature: each bucket is a star around its smallest id."""
+    """Edges (a, b, many) between documents that share a signature.
+
+    A signature of three or more is a star around its smallest id, with `many` true; one of two is their pair.
+    """
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -236,14 +279,15 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
         sigs, of, held = [], [], 0
 
         def sent():
-            sig, own, local = _first_of_equals(np.concatenate(sigs).view(np.int64), np.concatenate(of))
+            sig, own = np.concatenate(sigs).view(np.int64), np.concatenate(of)
+            sig, own, many, local, _ = _reduced(sig, own, np.zeros(len(sig), bool))
             span = -(-(1 << 63) // slices) * 2
             slice_ = np.floor_divide(sig, span) + slices // 2 + 1  # sig is sorted
             rest = np.mod(sig, span) >> max(0, (span - 1).bit_length() - KEPT_BITS)
             cuts = np.flatnonzero(np.diff(slice_)) + 1
-            for s, o, p in zip(np.split(rest, cuts), np.split(own, cuts), np.split(slice_, cuts)):
+            for s, o, m, p in zip(*(np.split(x, cuts) for x in (rest, own, many, slice_))):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p[0])]), pa.array([_pack_signatures(s, o)], pa.binary()), pa.array([b""], pa.binary())],
+                    [pa.array([int(p[0])]), pa.array([_pack_signatures(s, o, m)], pa.binary()), pa.array([b""], pa.binary())],
                     names=["slice", "signatures", "edges"])
             if len(local):
                 yield pa.RecordBatch.from_arrays(
@@ -266,13 +310,14 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
             yield from sent()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, own = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         waiting, size = [], 0
-        edges = []
+        edges, pairs = [], np.zeros((0, 2), np.int64)
+
         def fold():
-            nonlocal sig, own, waiting, size
-            parts = [_unpack_signatures(b) for b in waiting]
-            sig, own, new = _first_of_equals(np.concatenate([sig, *(p[0] for p in parts)]), np.concatenate([own, *(p[1] for p in parts)]))
+            nonlocal held, waiting, size, pairs
+            parts = [held, *(_unpack_signatures(b) for b in waiting)]
+            *held, new, pairs = _reduced(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
             edges.append(new)
             waiting, size = [], 0
         for batch in batches:
@@ -287,10 +332,31 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
         if waiting:
             fold()
         found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        for some, many in ((found, True), (pairs, False)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(np.full(len(some), many))], names=["a", "b", "many"])
 
     signed = docs.mapInArrow(sign, "slice long, signatures binary, edges binary")
-    return signed.groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
+    return signed.groupBy("slice").applyInArrow(meet, "a long, b long, many boolean").distinct()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out; sets: (id, n, sketch), a few rows per id."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, one, two in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))):
+                # den * |A ∩ B| >= num * |A ∪ B| where |A ∆ B| * (den + num) <= (den - num) * (|A| + |B|)
+                keep.append((den + num) * differing(one, two) <= (den - num) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for end in ("a", "b"):
+        named = sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        pairs = pairs.join(named.hint("merge"), end)
+        if end == "b":
+            pairs = pairs.where(F.greatest("n_a", "n_b") * num <= F.least("n_a", "n_b") * den)
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _forest(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -390,17 +456,18 @@ def _verified(members: DataFrame, docs: DataFrame, words: int, num: int, den: in
 
 
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, digest): size and 128-bit digest of each text's shingle set; docs is (id, text)."""
+    """(id, n, digest, sketch): size, 128-bit digest and sketch of each text's shingle set; docs is (id, text)."""
 
     def run(batches):
         for ids, some in _stretches_of(batches):
             sets = shingle_sets(some, words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())],
-                names=["id", "n", "digest"])
+                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                 pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["id", "n", "digest", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary")
+    return docs.mapInArrow(run, "id long, n long, digest binary, sketch binary")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
@@ -438,6 +505,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         named = signers.select(F.col("id").alias(end), F.col("stand").alias("_stand"))
         shared = (shared.join(named, end, "left").withColumn(end, F.coalesce("_stand", end)).drop("_stand")
                   .where("a <> b").distinct())
+    signing = sets.select("id", "n", "sketch").distinct()
+    shared = materialize(shared.where("many").select("a", "b").union(
+        _possible(shared.where("not many").select("a", "b"), signing, num, den)).distinct(), "jaccard_possible")
     family = components(shared, "jaccard_family")
     members = stands.select(F.col("stand").alias("id"), "n").join(family, "id").select("id", F.col("component").alias("family"), "n")
     members = materialize(members, "jaccard_members")

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from logrill.llm.jaccard import _pack_signatures, _unpack_signatures, jaccard_components, linked, shingle_sets
+from logrill.llm.jaccard import (
+    _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, sketch)
 
 
 def brute(docs, words, num, den):
@@ -88,8 +89,44 @@ def test_packed_signatures_come_back():
     for low, high in ((0, 1), (7, 300), (-5, 1 << 40), (-(1 << 63), (1 << 63) - 1)):
         sig = np.sort(rng.integers(0, 1 << 48, 1000))
         ids = rng.integers(low, high, 1000)
-        blob = _pack_signatures(sig, ids)
-        back = _unpack_signatures(blob)
-        assert (back[0] == sig).all() and (back[1] == ids).all()
-    one = _unpack_signatures(_pack_signatures(np.array([3]), np.array([9])))
-    assert (one[0].tolist(), one[1].tolist()) == ([3], [9])
+        many = rng.random(1000) < 0.3
+        back = _unpack_signatures(_pack_signatures(sig, ids, many))
+        assert all((x == y).all() for x, y in zip(back, (sig, ids, many)))
+    one = _unpack_signatures(_pack_signatures(np.array([3]), np.array([9]), np.array([True])))
+    assert [x.tolist() for x in one] == [[3], [9], [True]]
+
+
+def test_signatures_reduced_in_any_steps():
+    """However the entries are dealt, three or more become a connected star and two stay a pair."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sig, ids = rng.integers(0, 12, 40), rng.integers(0, 15, 40)
+        held, edges = (sig[:0], ids[:0], np.zeros(0, bool)), []
+        cuts = np.sort(rng.integers(0, 41, 3))
+        for s, i in zip(np.split(sig, cuts), np.split(ids, cuts)):
+            local = _reduced(s, i, np.zeros(len(s), bool))  # as a signing task does
+            edges.append(local[3])
+            *held, new, pairs = _reduced(*(np.concatenate([x, y]) for x, y in zip(held, local[:3])))
+            edges.append(new)
+        stars, two = {tuple(e) for e in np.concatenate(edges).tolist()}, {tuple(e) for e in pairs.tolist()}
+        for k in set(sig.tolist()):
+            bucket = sorted(set(ids[sig == k].tolist()))
+            if len(bucket) == 2:
+                assert tuple(bucket) in two
+            reached, grew = {bucket[0]}, True
+            while grew and len(bucket) > 2:
+                more = {y for e in stars for x, y in (e, e[::-1]) if x in reached}
+                grew, reached = not more <= reached, reached | more
+            assert len(bucket) < 3 or set(bucket) <= reached
+
+
+def test_sketches_never_rule_out_more_than_the_sets_differ_in():
+    rng = np.random.default_rng(7)
+    for n in (1, 30, 64, 65, 500, 2000):
+        one = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for kept in (0, n // 2, n - n // 10, n):
+            two = np.concatenate([one[:kept], rng.integers(0, 1 << 63, rng.integers(1, n + 1)).astype(np.uint64)])
+            apart = len(np.setxor1d(one, two))
+            assert differing(sketch(one), sketch(two)) <= apart
+        assert differing(sketch(one), sketch(one)) == 0
+    assert differing(sketch(one), sketch(two[::-1])) == differing(sketch(two), sketch(one))
