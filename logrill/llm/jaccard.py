@@ -23,7 +23,10 @@ there. Each differing bit stands for at least one element of A ∆ B, so a pair
 whose sketches differ in more bits than A ∆ B may have is surely not linked, and
 most chance pairs, which share a passage, go here. This keeps families, the
 connected components of what is left, from growing together through chains of
-shared passages. Families are cut into blocks, and each pair of blocks is
+shared passages. A family of more than one block signs again, by other partitions
+and among its own sets only, and falls apart into the families of that graph; as
+linked sets share a signature whatever the partitions, no link is lost. Families
+that stay large are cut into blocks, and each pair of blocks is
 verified in one task by counting common elements exactly. A task sends a spanning
 forest of the links it finds, never the pairs.
 """
@@ -140,24 +143,29 @@ def common_elements(docs: DataFrame, words: int, rows: int, sample: int = 5000,
 
 
 def _stretches_of(batches):
-    """Ids and texts of (id, text) batches, a few texts at a time."""
+    """Ids, texts and families (0 where there are none) of (id, text[, family]) batches, a few texts at a time."""
     for batch in batches:
         for low in range(0, batch.num_rows, 512):
             part = batch.slice(low, 512)
             ids, at = part.column(0).to_pylist(), 0
+            family = part.column(2).to_pylist() if part.num_columns > 2 else [0] * part.num_rows
             for some in groups([t or "" for t in part.column(1).to_pylist()]):
-                yield ids[at:at + len(some)], some
+                yield ids[at:at + len(some)], some, family[at:at + len(some)]
                 at += len(some)
 
 
-def signatures(elements: np.ndarray, bands: Bands, plans: dict, common: np.ndarray) -> np.ndarray:
-    """The set's signatures: 64-bit hashes of (band, partition or two, elements there that are not common)."""
+def signatures(elements: np.ndarray, bands: Bands, plans: dict, common: np.ndarray, seed: int = 0, family: int = 0) -> np.ndarray:
+    """The set's signatures: 64-bit hashes of (family, band, partition or two, elements there that are not common).
+
+    The seed chooses the partitions.
+    """
     own = bands.band(len(elements))
     found = []
     if len(common):
         elements = elements[common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] != elements]
     with np.errstate(over="ignore"):
-        scrambled = mixed(elements ^ np.uint64(0xD6E8FEB86659FD93))
+        salt, apart = mixed(np.array([seed, family & ((1 << 64) - 1)], np.uint64))
+        scrambled = mixed(elements ^ np.uint64(0xD6E8FEB86659FD93) ^ salt)
         for band in (own, own + 1):
             if band not in plans:
                 plans[band] = bands.partitions(band)
@@ -171,7 +179,7 @@ def signatures(elements: np.ndarray, bands: Bands, plans: dict, common: np.ndarr
                 sums[filled] = np.add.reduceat(scrambled[order], np.concatenate([[0], np.cumsum(counts[filled])[:-1]]))
             few = counts < least
             keep = np.flatnonzero(~few) if few.sum() <= slack else np.arange(n)
-            tag = keep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
+            tag = keep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1) + apart
             single = mixed(sums[keep] + mixed(tag))
             if paired:
                 one, two = np.triu_indices(n, 1)
@@ -266,10 +274,12 @@ def _reduced(sig: np.ndarray, ids: np.ndarray, many: np.ndarray):
     return sig[~other], ids[~other], many[bucket[~other]], edges, pairs
 
 
-def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, slices: int, common: np.ndarray) -> DataFrame:
+def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, slices: int, common: np.ndarray,
+              seed: int = 0) -> DataFrame:
     """Edges (a, b, many) between documents that share a signature.
 
     A signature of three or more is a star around its smallest id, with `many` true; one of two is their pair.
+    With a seed above 0 docs is (id, text, family), and only members of one family share signatures.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -294,12 +304,12 @@ def _families(docs: DataFrame, words: int, num: int, den: int, largest: int, sli
                     [pa.array([int(local[:, 1].sum() >> 1)]), pa.array([b""], pa.binary()), pa.array([_pack(local[:, 0], local[:, 1])], pa.binary())],
                     names=["slice", "signatures", "edges"])
 
-        for ids, some in _stretches_of(batches):
-            for i, elements in zip(ids, shingle_sets(some, words)):
-                key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+        for ids, some, family in _stretches_of(batches):
+            for i, elements, f in zip(ids, shingle_sets(some, words), family):
+                key = (hashlib.blake2b(elements.tobytes(), digest_size=16).digest(), i if seed else None)
                 if len(elements) and key not in signed:  # of copies in a task one signs
                     signed.add(key)
-                    found = signatures(elements, bands, plans, common)
+                    found = signatures(elements, bands, plans, common, seed, f)
                     sigs.append(found)
                     of.append(np.full(len(found), i, np.int64))
                     held += len(found)
@@ -406,8 +416,15 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return _forest(a, b, n)
 
 
+def _sized(members: DataFrame, block_elements: int, block_sets: int) -> DataFrame:
+    """(family, size, total, blocks) of families with two members or more."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+    return sizes.withColumn("blocks", F.greatest(
+        F.ceil(F.col("total") / block_elements), F.ceil(F.col("size") / block_sets)).cast("long"))
+
+
 def _verified(members: DataFrame, docs: DataFrame, words: int, num: int, den: int,
-              block_elements: int, block_sets: int = 1024) -> DataFrame:
+              block_elements: int, block_sets: int) -> DataFrame:
     """Links (a, b), enough to connect what is linked. members: id, family, n, a row per distinct set; docs: id, text."""
 
     def shingle(batches):
@@ -422,9 +439,7 @@ def _verified(members: DataFrame, docs: DataFrame, words: int, num: int, den: in
                      pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["id", "family", "blocks", "block", "elements"])
 
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
-    sizes = sizes.withColumn("blocks", F.greatest(
-        F.ceil(F.col("total") / block_elements), F.ceil(F.col("size") / block_sets)).cast("long"))
+    sizes = _sized(members, block_elements, block_sets)
     # the members grow with the documents, so this is a sort-merge join at every size
     placed = (members.join(sizes, "family").join(docs.hint("merge"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
               .select("id", "family", "blocks", "block", "text")
@@ -459,7 +474,7 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, digest, sketch): size, 128-bit digest and sketch of each text's shingle set; docs is (id, text)."""
 
     def run(batches):
-        for ids, some in _stretches_of(batches):
+        for ids, some, _ in _stretches_of(batches):
             sets = shingle_sets(some, words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -471,7 +486,7 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3,
-                       num: int = 90, den: int = 100, block_elements: int = 1 << 19) -> DataFrame:
+                       num: int = 90, den: int = 100, block_elements: int = 1 << 19, block_sets: int = 1024) -> DataFrame:
     """(key, n_shingles, component_id) per row: components of the links den * |A ∩ B| >= num * |A ∪ B|.
 
     Sets are distinct shingles of `words` words (ASCII lower case, separated by
@@ -487,10 +502,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     marks = materialize(set_digests(rows, words), "jaccard_sets")
     largest, total, count = marks.agg(F.max("n"), F.sum("n"), F.count("*")).first()
     largest, total = largest or 1, total or 0
-    # about 3 * (1 - similarity) signatures a shingle; 2 million to a slice
-    slices = max(4, int(total * 3 * (den - num) / den) >> 21)
+
+    def slices_of(elements):  # about 3 * (1 - similarity) signatures a shingle; 2 million to a slice
+        return max(4, int(elements * 3 * (den - num) / den) >> 21)
+
     common = common_elements(keyed, words, count)
-    shared = materialize(_families(keyed, words, num, den, largest, slices, common), "jaccard_candidates")
+    shared = materialize(_families(keyed, words, num, den, largest, slices_of(total), common), "jaccard_candidates")
     # of copies one stands for all, from here to the components; the others join them by the digest
     sets = marks.where("digest IS NOT NULL AND id IS NOT NULL")
     stands = sets.groupBy("digest").agg(F.min("id").alias("stand"), F.max("id").alias("last"), F.first("n").alias("n"))
@@ -511,7 +528,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     family = components(shared, "jaccard_family")
     members = stands.select(F.col("stand").alias("id"), "n").join(family, "id").select("id", F.col("component").alias("family"), "n")
     members = materialize(members, "jaccard_members")
-    links = _verified(members, keyed, words, num, den, block_elements)
+    # the texts of members move once; the steps below read these only
+    held = materialize(members.select("id").distinct().join(keyed.hint("merge"), "id").select("id", "text"), "jaccard_texts")
+    # families of several blocks fall apart by other partitions, as long as that makes their block pairs fewer
+    before, seed = None, 0
+    while True:
+        large = _sized(members, block_elements, block_sets).where("blocks > 1")
+        elements, pairs = large.agg(F.sum("total"), F.sum(F.col("total") * F.col("blocks"))).first()
+        if not pairs or (before and pairs > 0.8 * before):
+            break
+        before, seed = pairs, seed + 1
+        inside = members.join(large.select("family"), "family", "left_semi")
+        texts = inside.select("id", "family").distinct().join(held.hint("merge"), "id").select("id", "text", "family")
+        again = materialize(_families(texts, words, num, den, largest, slices_of(elements), common, seed), "jaccard_again")
+        again = again.where("many").select("a", "b").union(
+            _possible(again.where("not many").select("a", "b"), signing, num, den)).distinct()
+        family = components(again, "jaccard_family").select("id", F.col("component").alias("family"))
+        members = materialize(
+            members.join(large.select("family"), "family", "left_anti").select("id", "family", "n")
+            .union(inside.select("id", "n").join(family, "id").select("id", "family", "n")), "jaccard_members")
+    links = _verified(members, held, words, num, den, block_elements, block_sets)
     found = components(materialize(links.union(between), "jaccard_links"), "jaccard_component")
     found = materialize(copied.join(found.withColumnRenamed("id", "stand"), "stand", "left").select(
         "id", F.coalesce("component", "stand").alias("component")).union(found), "jaccard_found")

@@ -48,7 +48,7 @@ def test_against_all_pairs(spark, words, num, seed):
     docs += [(1000, docs[3][1]), (1001, docs[3][1].upper()), (1002, ""), (1003, None), (1004, " \n")]
     want = brute(docs, words, num, 100)
     got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=words, num=num,
-                             block_elements=2000).collect()
+                             block_elements=2000, block_sets=5).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
@@ -130,3 +130,18 @@ def test_sketches_never_rule_out_more_than_the_sets_differ_in():
             assert differing(sketch(one), sketch(two)) <= apart
         assert differing(sketch(one), sketch(one)) == 0
     assert differing(sketch(one), sketch(two[::-1])) == differing(sketch(two), sketch(one))
+
+
+def test_large_families_that_sign_again_lose_no_link(spark):
+    """Chains of shared passages make one family of many blocks; copies of a text with two texts under a key are among them."""
+    rng = random.Random(9)
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(12)]
+    docs = []
+    for k in range(60):
+        words = [f"d{k}y{i}" for i in range(rng.randrange(4, 20))] + passages[k % 12] + passages[(k * 5 + 1) % 12]
+        docs.append((len(docs), " ".join(words)))
+        for _ in range(rng.randrange(0, 3)):
+            docs.append((len(docs), " ".join(w for w in words if rng.random() > 0.04)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(
+        spark.createDataFrame(docs, "doc_id long, text string"), words=2, num=80, block_elements=400, block_sets=8).collect()}
+    assert got == brute(docs, 2, 80, 100)
