@@ -150,9 +150,12 @@ class CategoryModel:
         return events.drop("predicted_category", "predicted_confidence").join(named, "message")
 
 
-def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2, max_iter: int = 10) -> CategoryModel:
+def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2, max_iter: int = 1000,
+                     tolerance: float = 1e-4) -> CategoryModel:
     """TF-IDF of one- and two-word terms, linear SVMs with balanced class weights,
-    sigmoid calibration on held-out folds. ``rows``: (event_id, message, label)."""
+    sigmoid calibration on held-out folds. ``rows``: (event_id, message, label).
+
+    A solver ends at the tolerance; max_iter only keeps a failing one from running on."""
     rows = materialize(rows.select("event_id", "message", "label"), "training")  # read by every fit
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per class
     total = sum(counts.values())
@@ -174,7 +177,7 @@ def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2,
     train = prepared.transform(indexed).withColumn(
         "_fold", F.pmod(F.xxhash64("event_id"), F.lit(FOLDS))).select(
         "features", "_y", "_weight", "_fold").persist()
-    svm = OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol="_y", featuresCol="features",
+    svm = OneVsRest(classifier=LinearSVC(maxIter=max_iter, tol=tolerance), labelCol="_y", featuresCol="features",
                     weightCol="_weight", predictionCol="_class", parallelism=4)
     folds = []
     for fold in range(FOLDS):
