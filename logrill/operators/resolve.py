@@ -15,6 +15,7 @@ FLAPPING_SYNONYMS = (
 )
 WIRELESS_MARKERS = ("wireless", "wifi", "wi-fi", "radio")
 # ---- end of fixed values ----
+MOST_HOSTS = 1000  # hosts with a word, up to which they are laid beside each name that has the word
 
 
 def _verdicts(pairs: DataFrame, key: str, value: str) -> DataFrame:
@@ -23,6 +24,31 @@ def _verdicts(pairs: DataFrame, key: str, value: str) -> DataFrame:
         F.count("*").alias("match_count"), F.min(value).alias("_value"))
 
 
+def _by_words(names: DataFrame, hosts: DataFrame, most: int = MOST_HOSTS) -> DataFrame:
+    """One row per name: how many hosts contain one of its words, and the host if one.
+
+    A word is looked up once for all names that have it. The hosts of a word in more
+    than `most` are not laid beside each name: they are counted once per set of such words,
+    and to each name come the hosts of its other words that contain none of these.
+    """
+    words = materialize(names.select("name", F.explode(F.array_distinct(F.transform(F.filter(
+        F.split("name", r"[\s_-]+"), lambda w: F.length(w) >= 3), F.lower))).alias("_word")), "words")
+    hits = materialize(contains_join(words.select("_word").distinct(), "_word", hosts, "hostname").select(
+        "_word", "hostname").distinct(), "hits")
+    sizes = hits.groupBy("_word").agg((F.count("*") > most).alias("_common"))
+    known = words.join(sizes, "_word")
+    common = F.array_sort(F.collect_list(F.when(F.col("_common"), F.col("_word")))).alias("_set")
+    sets = materialize(known.groupBy("name").agg(common), "sets")
+    of_sets = _verdicts(sets.select("_set").distinct().withColumn("_word", F.explode("_set")).join(
+        hits, "_word"), "_set", "hostname").select("_set", F.col("match_count").alias("_n"), F.col("_value").alias("_one"))
+    others = known.where(~F.col("_common")).join(hits, "_word").join(sets, "name").where(
+        ~F.exists("_set", lambda w: F.contains(F.lower("hostname"), w)))
+    own = _verdicts(others, "name", "hostname")
+    return sets.join(of_sets, "_set", "left").join(own, "name", "left").select(
+        "name", (F.coalesce("_n", F.lit(0)) + F.coalesce("match_count", F.lit(0))).alias("match_count"),
+        F.least("_one", "_value").alias("_value"))
+
+
 def resolve_hostnames(names: DataFrame, hostnames: DataFrame) -> DataFrame:
     """(name) against (hostname): exact, else as a substring, else by its words.
 
@@ -36,14 +62,9 @@ def resolve_hostnames(names: DataFrame, hostnames: DataFrame) -> DataFrame:
     rest = names.join(exact, "name", "left_anti")
     whole = materialize(contains_join(rest, "name", hosts, "hostname").select("name", "hostname"), "whole")
     unmatched = rest.join(whole.select("name").distinct(), "name", "left_anti")
-    words = unmatched.withColumn("_word", F.explode(F.array_distinct(F.filter(
-        F.split("name", r"[\s_-]+"), lambda w: F.length(w) >= 3))))
-    by_word = contains_join(words, "_word", hosts, "hostname").select("name", "hostname")
-    stages = exact.withColumn("stage", F.lit("exact")).unionByName(
-        whole.withColumn("stage", F.lit("substring"))).unionByName(
-        by_word.withColumn("stage", F.lit("words")))
-    found = _verdicts(stages, "name", "hostname").join(
-        stages.groupBy("name").agg(F.min("stage").alias("stage")), "name")
+    found = _verdicts(exact, "name", "hostname").withColumn("stage", F.lit("exact")).unionByName(
+        _verdicts(whole, "name", "hostname").withColumn("stage", F.lit("substring"))).unionByName(
+        _by_words(unmatched, hosts).withColumn("stage", F.lit("words")))
     return _with_verdict(names.join(found, "name", "left"), "hostname")
 
 
