@@ -1,9 +1,11 @@
 """Steps that grow with their input, not with pairs of it: hand-made rows, small limits, plain Python beside them."""
 
+import ipaddress
+import random
 import re
 
 from logrill.functions.matching import contains_join
-from logrill.operators import resolve
+from logrill.operators import enrich, resolve
 
 
 def test_names_with_common_words(spark, monkeypatch):
@@ -30,3 +32,27 @@ def test_names_with_common_words(spark, monkeypatch):
     assert got == {n: expected(n) for n in names}
     asked = laid[1].select("_word").collect()  # a word is looked up once, however many names have it
     assert len(asked) == len(set(asked)) < len(names)
+
+
+def test_scopes_of_wide_networks(spark):
+    rng = random.Random(5)
+    scopes = [(i, rng.choice([f"10.0.0.0/{rng.randint(8, 12)}", f"10.{i % 3}.0.0/16", f"10.0.1.{i % 9}", f"10.0.1.{i % 9}/28", "bad"]))
+              for i in range(70)]
+    ips = [f"10.{i % 4}.1.{i}" for i in range(50)] + ["11.0.0.1", "name", None]
+    nets = spark.createDataFrame([(i, c, "v3") for i, c in scopes], "scope_id long, ip_or_cidr string, version string")
+    devices = spark.createDataFrame([(ip,) for ip in ips + ips[:9]], "ip string")
+    expected = {}
+    for ip in ips[:51]:
+        found = []
+        for i, c in scopes:
+            if c != "bad" and ipaddress.ip_address(ip) in (net := ipaddress.ip_network(c, strict=False)):
+                found.append((-net.prefixlen, i, c))
+        expected.update({(ip, at): (i, c, -p, p == -32) for at, (p, i, c) in enumerate(sorted(found), 1)})
+
+    def rows(**how):
+        found = enrich.match_scope(devices, nets, **how).collect()
+        return len(found), {(r.ip, r.candidate): (r.scope_id, r.ip_or_cidr, r.prefix_length, r.is_exact_host) for r in found}
+
+    assert rows(best_only=False, part_rows=7, block_rows=3) == (len(expected), expected)
+    best = {k: v for k, v in expected.items() if k[1] == 1}
+    assert rows() == (len(best), best)
