@@ -5,7 +5,7 @@ meet in one task; the trigger bounds how many those can be.
 """
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -136,41 +136,51 @@ _PART_OUTPUT = "source_ip string, reported_hostname string, message_id string, m
 
 
 class _Parts(StatefulProcessor):
+    """The open message of a key is one value: read once and written once for a key and micro-batch,
+    and not at all where a message is complete within its first one."""
+
     def __init__(self, timeout_ms):
         self.timeout = timeout_ms
 
     def init(self, handle):
         self.handle = handle
-        self.parts = handle.getMapState("parts", "idx int", "content string, raw string")
-        self.total = handle.getValueState("total", "n int")
+        self.open = handle.getValueState("open", "total int, parts array<struct<idx: int, content: string, raw: string>>")
+
+    def _joined(self, key, parts, complete):
+        kept = [parts[i] for i in sorted(parts)]
+        return Row(source_ip=key[0], reported_hostname=key[1], message_id=key[2], message="".join(p[0] for p in kept),
+                   raw="\n".join(p[1] for p in kept if p[1] is not None), parts=len(kept), complete=complete)
 
-    def _joined(self, key, complete):
-        kept = sorted((k[0], v[0], v[1]) for k, v in self.parts.iterator())
-        self.parts.clear()
-        self.total.clear()
-        return pd.DataFrame([[*key, "".join(p[1] for p in kept), "\n".join(p[2] for p in kept), len(kept), complete]],
-                            columns=["source_ip", "reported_hostname", "message_id", "message", "raw", "parts", "complete"])
+    def _read(self):
+        total, parts = self.open.get() or (None, [])
+        return total, {p[0]: (p[1], p[2]) for p in parts}
 
     def handleInputRows(self, key, rows, timerValues):
-        count = sum(1 for _ in self.parts.keys())
-        for row in _in_order(rows).itertuples(index=False):
-            if not self.total.exists():
-                self.total.update((int(row.total),))
-                if self.timeout:
-                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
-            if not self.parts.containsKey((int(row.idx),)):
-                count += 1
-            self.parts.updateValue((int(row.idx),), (row.content, row.raw))
-            if count >= self.total.get()[0]:
-                if self.timeout:
+        total, parts = self._read()
+        timed = had = total is not None
+        for row in sorted(rows, key=lambda r: (r["at"] is None, r["at"] or 0, r["event_id"] is None, r["event_id"] or 0)):
+            if total is None:
+                total = row["total"]
+            parts[row["idx"]] = row["content"], row["raw"]
+            if len(parts) >= total:
+                yield self._joined(key, parts, True)
+                total, parts = None, {}
+                if timed and self.timeout:
                     for timer in list(self.handle.listTimers()):
                         self.handle.deleteTimer(timer)
-                count = 0
-                yield self._joined(key, True)
+                timed = False
+        if total is not None:
+            self.open.update((total, [(i, *p) for i, p in parts.items()]))
+            if self.timeout and not timed:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
+        elif had:
+            self.open.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.total.exists():
-            yield self._joined(key, False)
+        total, parts = self._read()
+        if total is not None:
+            self.open.clear()
+            yield self._joined(key, parts, False)
 
     def close(self):
         pass
@@ -184,6 +194,6 @@ def stream_multipart(events: DataFrame, timeout_seconds: int | None = 10) -> Dat
         "source_ip", "reported_hostname", F.col("_mid").alias("message_id"), F.col("_total").alias("total"),
         F.col("_idx").alias("idx"), F.col("_content").alias("content"), "raw",
         micros("received_at").alias("at"), "event_id")
-    return parts.groupBy("source_ip", "reported_hostname", "message_id").transformWithStateInPandas(
+    return parts.groupBy("source_ip", "reported_hostname", "message_id").transformWithState(
         statefulProcessor=_Parts(timeout_seconds and timeout_seconds * 1000), outputStructType=_PART_OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if timeout_seconds else "None")

@@ -4,8 +4,11 @@ import ipaddress
 import random
 import re
 
+from pyspark.sql import Row
+
 from logrill.functions.matching import contains_join
 from logrill.operators import enrich, resolve
+from logrill.streaming import keyed
 
 
 def test_names_with_common_words(spark, monkeypatch):
@@ -56,3 +59,57 @@ def test_scopes_of_wide_networks(spark):
     assert rows(best_only=False, part_rows=7, block_rows=3) == (len(expected), expected)
     best = {k: v for k, v in expected.items() if k[1] == 1}
     assert rows() == (len(best), best)
+
+
+class _State:
+    """A value state and a handle that count what is asked of them."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], []
+
+    def getValueState(self, name, schema):
+        self.calls.append("state")
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_parts_use_state_only_for_open_messages():
+    state, parts = _State(), keyed._Parts(10)
+    parts.init(state)
+
+    def send(*rows):
+        state.calls.clear()
+        found = list(parts.handleInputRows(("d", "h", "7"), iter([Row(
+            at=at, event_id=at, total=2, idx=idx, content=f"c{idx}", raw=None if idx > 5 else f"r{idx}") for at, idx in rows]), state))
+        return [(r.message, r.raw, r.parts, r.complete) for r in found]
+
+    assert send((2, 0), (1, 1), (3, 1), (4, 0)) == [("c0c1", "r0\nr1", 2, True)] * 2
+    assert state.calls == ["get"] and not state.timers
+    assert send((5, 1)) == [] and state.calls == ["get", "update"] and state.timers == [1010]
+    assert send((6, 1)) == [] and state.timers == [1010]
+    assert send((7, 0), (8, 6)) == [("c0c1", "r0\nr1", 2, True)] and state.timers == [1010]
+    assert [(r.message, r.complete) for r in parts.handleExpiredTimer(("d", "h", "7"), state, None)] == [("c6", False)]
+    assert state.value is None and list(parts.handleExpiredTimer(("d", "h", "7"), state, None)) == []
