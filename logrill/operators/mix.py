@@ -7,11 +7,13 @@ anomalies are isolated by short paths.
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.functions.clock import floor_time, ntz, plus_seconds
+from logrill.session import materialize
 
 TOP_K = 50
 MIN_WINDOWS = 30
@@ -127,14 +129,12 @@ def _average_path(n):
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
-def _path_lengths(points: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
-    """Mean path length of every point over all trees."""
-    sizes = trees["feature"].map(len).to_numpy()
+def _path_lengths(points: np.ndarray, sizes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray,
+                  right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean path length of every point over all trees, whose nodes stand one tree after the other."""
     roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     shift = np.repeat(roots, sizes)
-    feature, cut = np.concatenate(trees["feature"].tolist()), np.concatenate(trees["cut"].tolist())
-    left = np.concatenate(trees["left"].tolist()) + shift
-    right = np.concatenate(trees["right"].tolist()) + shift
+    left, right = left + shift, right + shift
     at = np.tile(roots, (len(points), 1))
     depth = np.zeros(at.shape)
     row = np.arange(len(points))[:, None]
@@ -145,7 +145,12 @@ def _path_lengths(points: np.ndarray, trees: pd.DataFrame) -> np.ndarray:
         below = points[row, feature[at]] <= cut[at]
         at = np.where(inner, np.where(below, left[at], right[at]), at)
         depth += inner
-    return (depth + _average_path(np.concatenate(trees["size"].tolist()))[at]).mean(axis=1)
+    return (depth + _average_path(size)[at]).mean(axis=1)
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    """The elements of all lists of a column, one after the other."""
+    return pc.list_flatten(table.column(column)).to_numpy()
 
 
 def _spread(df: DataFrame, *keys) -> DataFrame:
@@ -167,27 +172,30 @@ def train_mix_models(vectors: DataFrame, k: int = TOP_K, trees: int = TREES, sam
         Window.partitionBy(*_SCOPE).orderBy(order, "source_ip", "window_start"))
     ).where(F.col("_rank") <= sample * trees).select(*_SCOPE, "_rank", "vector")
 
-    def grow(key, frame):
-        frame = frame.sort_values("_rank")
+    def grow(key, table):
+        key, rows = [k.as_py() for k in key], table.num_rows
+        vectors = _flat(table.sort_by("_rank"), "vector").reshape(rows, -1)
         rng = np.random.default_rng([seed, *f"{key[0]}:{key[1]}".encode()])
-        drawn = min(sample, len(frame))
-        picks = np.concatenate([rng.permutation(len(frame))[:drawn] for _ in range(trees)])
-        points = np.array(frame["vector"].tolist(), dtype=float)[picks]
+        drawn = min(sample, rows)
+        picks = np.concatenate([rng.permutation(rows)[:drawn] for _ in range(trees)])
         tree = np.repeat(np.arange(1, trees + 1), drawn)
         owner, feature, cut, left, right, size = _grow(
-            points, tree, rng, math.ceil(math.log2(max(drawn, 2))))
+            vectors[picks], tree, rng, math.ceil(math.log2(max(drawn, 2))))
         order = np.lexsort((np.arange(len(owner)), owner))
         numbers, starts = np.unique(owner[order], return_index=True)
+        ends = np.array([*starts, len(owner)])
         local = np.empty(len(owner), dtype=int)
-        local[order] = np.arange(len(owner)) - np.repeat(starts, np.diff([*starts, len(owner)]))
-        columns = (feature, cut, np.where(left >= 0, local[left], -1), np.where(right >= 0, local[right], -1), size)
-        split = [np.split(c[order], starts[1:]) for c in columns]
-        out = [[*key, number, drawn, *parts] for number, *parts in zip(numbers, *split)]
-        return pd.DataFrame(out, columns=[
-            *_SCOPE, "tree", "sample_size", "feature", "cut", "left", "right", "size"])
+        local[order] = np.arange(len(owner)) - np.repeat(starts, np.diff(ends))
+        nodes = {"feature": feature, "cut": cut, "left": np.where(left >= 0, local[left], -1),
+                 "right": np.where(right >= 0, local[right], -1), "size": size}
+        return pa.table({
+            **{name: pa.array([value] * len(numbers), pa.string()) for name, value in zip(_SCOPE, key)},
+            "tree": numbers.astype(np.int32), "sample_size": np.full(len(numbers), drawn, np.int32),
+            **{name: pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(
+                c[order], pa.float64() if name == "cut" else pa.int32())) for name, c in nodes.items()}})
 
     # a group holds the pool of one forest: at most trees * sample rows
-    return _spread(pool, *_SCOPE).groupBy(*_SCOPE).applyInPandas(
+    return _spread(pool, *_SCOPE).groupBy(*_SCOPE).applyInArrow(
         grow, "model_scope string, scope_key string, tree int, sample_size int, feature array<int>, "
               "cut array<double>, left array<int>, right array<int>, size array<int>")
 
@@ -198,26 +206,29 @@ def forest_scores(vectors: DataFrame, forest: DataFrame, k: int = TOP_K, part_ro
     A scope is cut into parts of bounded size by hash, its trees (bounded) go to
     every part.
     """
-    wide = _wide(vectors, k)
-    parts = wide.groupBy(*_SCOPE).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
-    placed = wide.join(parts, _SCOPE).withColumn(
-        "part", F.pmod(F.xxhash64("source_ip", "window_start"), F.col("_parts")).cast("int")).drop("_parts")
-    copies = forest.join(parts, _SCOPE).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    wide = materialize(_wide(vectors, k), "mix-windows")  # counted, then scored
+    # only scopes of several parts; at most one row for each part_rows windows
+    parts = F.broadcast(wide.groupBy(*_SCOPE).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts")).where(
+        "_parts > 1"))
+    number = F.coalesce("_parts", F.lit(1))
+    placed = wide.join(parts, _SCOPE, "left").withColumn(
+        "part", F.pmod(F.xxhash64("source_ip", "window_start"), number).cast("int")).drop("_parts")
+    copies = forest.join(parts, _SCOPE, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
 
     def score(windows, trees):
-        if windows.empty or trees.empty:
-            return pd.DataFrame(columns=[*_SCOPE, "source_ip", "window_start", "event_count", "score"])
-        points = np.array(windows["vector"].tolist(), dtype=float)
-        trees = trees.sort_values("tree")
-        mean = _path_lengths(points, trees)
-        norm = max(float(_average_path(trees["sample_size"].iloc[0])), 1e-12)
-        out = windows[[*_SCOPE, "source_ip", "window_start", "event_count"]].copy()
-        out["score"] = np.round(-np.power(2.0, -mean / norm), 6)
-        return out
+        kept = windows.select([*_SCOPE, "source_ip", "window_start", "event_count"])
+        if not windows.num_rows or not trees.num_rows:
+            return kept.slice(0, 0).append_column("score", pa.array([], pa.float64()))
+        points = _flat(windows, "vector").reshape(windows.num_rows, -1)
+        trees = trees.sort_by("tree")
+        sizes = pc.list_value_length(trees.column("feature")).to_numpy()
+        mean = _path_lengths(points, sizes, *(_flat(trees, c) for c in ("feature", "cut", "left", "right", "size")))
+        norm = max(float(_average_path(trees.column("sample_size")[0].as_py())), 1e-12)
+        return kept.append_column("score", pa.array(np.round(-np.power(2.0, -mean / norm), 6)))
 
     keys = [*_SCOPE, "part"]
-    return _spread(placed, *keys).groupBy(*keys).cogroup(_spread(copies, *keys).groupBy(*keys)).applyInPandas(
+    return _spread(placed, *keys).groupBy(*keys).cogroup(_spread(copies, *keys).groupBy(*keys)).applyInArrow(
         score, "model_scope string, scope_key string, source_ip string, window_start timestamp_ntz, "
                "event_count long, score double")
 
@@ -230,7 +241,8 @@ def score_mix_windows(counts: DataFrame, forest: DataFrame, checkpoint: DataFram
     The cut is the contamination quantile of the training scores. Scores carry
     six decimals, which bounds the state of the exact quantile.
     """
-    scores = forest_scores(mix_vectors(counts, k, min_device, min_vendor), forest, k)
+    # written once: the cuts, the devices with a forest and the verdicts read them
+    scores = materialize(forest_scores(mix_vectors(counts, k, min_device, min_vendor), forest, k), "mix-scores")
     cuts = scores.groupBy(*_SCOPE).agg(F.percentile("score", F.lit(contamination)).alias("_cut"))
     vendors = counts.select("source_ip", "vendor").distinct()
     own = cuts.where("model_scope = 'device'").select(F.col("scope_key").alias("source_ip"), F.lit(True).alias("_own"))

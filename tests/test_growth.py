@@ -3,11 +3,13 @@
 import ipaddress
 import random
 import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import Row
 
 from logrill.functions.matching import contains_join
-from logrill.operators import enrich, resolve
+from logrill.operators import enrich, mix, resolve
+from logrill.session import materialize
 from logrill.streaming import keyed
 
 
@@ -113,3 +115,22 @@ def test_parts_use_state_only_for_open_messages():
     assert send((7, 0), (8, 6)) == [("c0c1", "r0\nr1", 2, True)] and state.timers == [1010]
     assert [(r.message, r.complete) for r in parts.handleExpiredTimer(("d", "h", "7"), state, None)] == [("c6", False)]
     assert state.value is None and list(parts.handleExpiredTimer(("d", "h", "7"), state, None)) == []
+
+
+def test_scores_of_windows_are_made_once(spark, monkeypatch):
+    start = datetime(2024, 1, 1)
+    rows = [(f"d{d}", start + timedelta(hours=h), f"t{(d * h) % 4}", 1 + h % 3, "v") for d in range(3) for h in range(8)]
+    counts = spark.createDataFrame(
+        rows, "source_ip string, window_start timestamp_ntz, template_id string, event_count long, vendor string")
+    vectors = mix.mix_vectors(counts, 3, 5, 5)
+    forest = mix.train_mix_models(vectors, 3, trees=5, sample=8).cache()
+    whole = mix.forest_scores(vectors, forest, 3).collect()
+    parts = mix.forest_scores(vectors, forest, 3, part_rows=5).collect()  # the vendor's windows are several parts
+    assert sorted(whole) == sorted(parts) and len(whole) == 48
+
+    made = []
+    monkeypatch.setattr(mix, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    judged = mix.score_mix_windows(counts, forest, None, 3, 5, 5)
+    assert "mix-scores" in made and judged.count() == 24
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan
