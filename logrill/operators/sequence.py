@@ -8,6 +8,7 @@ from logrill.functions.hotkeys import SLICE_ROWS, previous
 
 MIN_TRANSITIONS = 200
 PROBABILITY_THRESHOLD = 0.005
+TASK_ROWS = 200_000  # transitions of a task: equal texts compress so well that bytes shuffled say little of its memory
 
 
 def known_vendors(events: DataFrame) -> DataFrame:
@@ -27,11 +28,17 @@ def transitions(events: DataFrame, as_of, days: int = 7, slice_rows: int = SLICE
         "curr_template_id")
 
 
+def _hashed(side: DataFrame) -> DataFrame:
+    """The side of a join that has a row per device or model: hashed in its partition, so the transitions beside it
+    need no sort; never broadcast, as equal texts make a small file of a table that is large in memory."""
+    return side.hint("shuffle_hash")
+
+
 def _marked(pairs: DataFrame, checkpoint: DataFrame | None) -> DataFrame:
     """Add ``_last``: when the device was last scored, null if never."""
     if checkpoint is None:
         return pairs.withColumn("_last", F.lit(None).cast("timestamp_ntz"))
-    return pairs.join(checkpoint.select("source_ip", F.col("last_scored").alias("_last")), "source_ip", "left")
+    return pairs.join(_hashed(checkpoint.select("source_ip", F.col("last_scored").alias("_last"))), "source_ip", "left")
 
 
 def transition_model(pairs: DataFrame, vendors: DataFrame, checkpoint: DataFrame | None = None,
@@ -46,7 +53,7 @@ def transition_model(pairs: DataFrame, vendors: DataFrame, checkpoint: DataFrame
         F.col("_last").isNull() | (F.col("transition_time") <= F.col("_last")))
     keys = ["prev_template_id", "curr_template_id"]
     per_device = prior.groupBy("source_ip", *keys).agg(F.count("*").alias("transitions"))
-    per_vendor = per_device.join(vendors, "source_ip").groupBy("vendor", *keys).agg(
+    per_vendor = per_device.join(_hashed(vendors), "source_ip").groupBy("vendor", *keys).agg(
         F.sum("transitions").alias("transitions"))
     counts = per_device.select(
         F.lit("device").alias("model_scope"), F.col("source_ip").alias("scope_key"), *keys, "transitions"
@@ -58,7 +65,7 @@ def transition_model(pairs: DataFrame, vendors: DataFrame, checkpoint: DataFrame
     needed = F.when(F.col("model_scope") == "device", min_device).otherwise(min_vendor)
     sizes = sizes.where(F.col("_total") >= needed).drop("_total")
     per_prev = counts.groupBy(*scope, "prev_template_id").agg(F.sum("transitions").alias("prev_total"))
-    return counts.join(per_prev, [*scope, "prev_template_id"]).join(sizes, scope)
+    return counts.join(_hashed(per_prev), [*scope, "prev_template_id"]).join(_hashed(sizes), scope)
 
 
 def score_transitions(pairs: DataFrame, model: DataFrame, vendors: DataFrame,
@@ -75,25 +82,29 @@ def score_transitions(pairs: DataFrame, model: DataFrame, vendors: DataFrame,
     pooled = sizes.where("model_scope = 'vendor'").select(
         F.col("scope_key").alias("vendor"), F.lit(True).alias("_pooled"))
     # probabilities per distinct (device, prev, curr), then one join to the events
-    distinct = new.groupBy("source_ip", "prev_template_id", "curr_template_id").agg(F.count("*").alias("_n"))
-    chosen = distinct.join(vendors, "source_ip", "left").join(own, "source_ip", "left").join(
+    step = ["source_ip", "prev_template_id", "curr_template_id"]
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TASK_ROWS))
+    new = new.repartition(tasks, *step)
+    distinct = new.select(*step).distinct()
+    chosen = distinct.join(_hashed(vendors), "source_ip", "left").join(_hashed(own), "source_ip", "left").join(
         pooled, "vendor", "left").where(F.col("_own") | F.col("_pooled")).select(
         "source_ip", "prev_template_id", "curr_template_id",
         F.coalesce("vendor", F.lit("unknown")).alias("vendor"),
         F.when(F.col("_own"), "device").otherwise("vendor").alias("model_scope"),
         F.when(F.col("_own"), F.col("source_ip")).otherwise(F.col("vendor")).alias("scope_key"))
     totals = model.select(*scope, "prev_template_id", "prev_total").distinct()
+    place = [*scope, "prev_template_id"]
     likely = (
-        chosen.join(sizes, scope)
-        .join(totals, [*scope, "prev_template_id"], "left")
-        .join(model.select(*scope, "prev_template_id", "curr_template_id", "transitions"),
-              [*scope, "prev_template_id", "curr_template_id"], "left")
+        chosen.join(_hashed(sizes), scope).repartition(tasks, *place)
+        .join(_hashed(totals.repartition(tasks, *place)), place, "left")
+        .join(model.select(*place, "curr_template_id", "transitions").repartition(tasks, *place).hint("merge"),
+              [*place, "curr_template_id"], "left")
     )
     probability = (F.coalesce("transitions", F.lit(0)) + 1.0) / (
         F.coalesce("prev_total", F.lit(0)) + F.greatest("vocabulary", F.lit(1)))
     table = likely.select("source_ip", "prev_template_id", "curr_template_id", "vendor", "model_scope",
                           probability.alias("transition_probability"))
-    scored = new.join(table, ["source_ip", "prev_template_id", "curr_template_id"])
+    scored = new.join(table.repartition(tasks, *step).hint("merge"), step)
     return scored.withColumn(
         "is_anomaly", (F.col("transition_probability") < threshold).cast("int"))
 

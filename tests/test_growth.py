@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Row
 
 from logrill.functions.matching import contains_join
-from logrill.operators import enrich, mix, resolve
+from logrill.operators import classify, enrich, mix, resolve, retrieval, sequence, vectorindex
 from logrill.session import materialize
+from logrill.sources import tables
 from logrill.streaming import keyed
 
 
@@ -134,3 +135,27 @@ def test_scores_of_windows_are_made_once(spark, monkeypatch):
     assert "mix-scores" in made and judged.count() == 24
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_of_transitions_is_not_broadcast(spark):
+    pairs = spark.createDataFrame(
+        [(ip, i, datetime(2024, 1, 1) + timedelta(minutes=i), f"t{i % 3}", f"t{(i + (i % 5 == 0)) % 3}")
+         for ip in ("a", "b", None) for i in range(40)],
+        "source_ip string, event_id long, transition_time timestamp_ntz, prev_template_id string, curr_template_id string")
+    vendors = spark.createDataFrame([("a", "cisco"), ("b", "cisco")], "source_ip string, vendor string")
+    done = spark.createDataFrame([("a", datetime(2024, 1, 1, 0, 20))], "source_ip string, last_scored timestamp_ntz")
+    model = materialize(sequence.transition_model(pairs, vendors, done, 10, 10), "model")
+    scored = sequence.score_transitions(pairs, model, vendors, done)
+    assert not [line for line in _plan(scored).splitlines() if "BroadcastHashJoin" in line and "scope_key" in line]
+    got = sorted((r.source_ip, r.event_id, r.model_scope) for r in scored.collect())
+    # what was never scored both trains and is new; a device without a name has no model
+    assert got == [("a", i, "device") for i in range(21, 40)] + [("b", i, "device") for i in range(40)]
+    per = {(r.model_scope, r.scope_key, r.prev_template_id, r.curr_template_id): r for r in model.collect()}
+    for r in scored.collect():
+        known = per.get(("device", r.source_ip, r.prev_template_id, r.curr_template_id))
+        total = next(m.prev_total for key, m in per.items() if key[:3] == ("device", r.source_ip, r.prev_template_id))
+        assert abs(r.transition_probability - ((known.transitions if known else 0) + 1) / (total + 3)) < 1e-12
