@@ -1,13 +1,13 @@
 """Keyword, vector and hybrid retrieval; coverage of the index."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz
 from logrill.functions.text import strip
-from logrill.operators.vectorindex import nearest
+from logrill.operators.vectorindex import matrix, nearest, unit
 from logrill.operators.wordindex import best, search, word_index
 
 RRF_CONSTANT = 60
@@ -43,19 +43,18 @@ def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, query_rows: int
     equi-join on lanes; a pair of blocks is one matrix product, and only its
     best k per query leave the task.
     """
-    def unit(vectors):
-        m = np.array([list(v) for v in vectors], dtype=float)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
     def search(batches):
         for batch in batches:
-            for asked, there in zip(batch["query_ids"], batch["doc_ids"]):
-                wanted, doc = unit([x["embedding"] for x in asked]), np.array([x["doc_id"] for x in there])
-                scores = np.round(unit([x["embedding"] for x in there]) @ wanted.T, 6)
-                for j, query in enumerate(asked):
-                    best = np.lexsort((doc, -scores[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": query["query_id"], "doc_id": doc[best], "score": scores[best, j]})
+            for i in range(batch.num_rows):  # vectors stay Arrow arrays; one pair of blocks is a matrix at a time
+                asked, there = (batch.column(n).slice(i, 1).flatten() for n in ("query_ids", "doc_ids"))
+                ids = there.field("doc_id")
+                order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+                scores = np.round(unit(matrix(there.field("embedding"))) @ unit(matrix(asked.field("embedding"))).T, 6)
+                found = [np.lexsort((order, -scores[:, j]))[:k] for j in range(len(asked))]
+                row, col = np.concatenate(found), np.repeat(np.arange(len(asked)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays(
+                    [asked.field("query_id").take(pa.array(col)), ids.take(pa.array(row)),
+                     pa.array(scores[row, col], from_pandas=True)], names=["query_id", "doc_id", "score"])
 
     types = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
     there = _blocks(docs, "doc_id", doc_rows, "_d")
@@ -63,8 +62,8 @@ def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, query_rows: int
     lane = F.pmod("_d", F.lit(lanes)).alias("_lane")
     asked = _blocks(queries, "query_id", query_rows, "_q").withColumn("_lane", F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = asked.join(there.select("doc_ids", lane), "_lane").select(
-        "query_ids", "doc_ids").mapInPandas(search, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    found = asked.join(there.select("doc_ids", lane).hint("merge"), "_lane").select(
+        "query_ids", "doc_ids").mapInArrow(search, f"query_id {types[0]}, doc_id {types[1]}, score double")
     return best(found, k)
 
 

@@ -159,3 +159,17 @@ def test_model_of_transitions_is_not_broadcast(spark):
         known = per.get(("device", r.source_ip, r.prev_template_id, r.curr_template_id))
         total = next(m.prev_total for key, m in per.items() if key[:3] == ("device", r.source_ip, r.prev_template_id))
         assert abs(r.transition_probability - ((known.transitions if known else 0) + 1) / (total + 3)) < 1e-12
+
+
+def test_vectors_stay_arrow_and_off_the_driver(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4)]
+    rows += [(i + 400, rows[i][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    exact = retrieval.knn_exact(docs, asked, 5, query_rows=8, doc_rows=32)
+    assert "MapInArrow" in _plan(exact) and "Broadcast" not in _plan(exact)
+    near = vectorindex.nearest(docs, asked, 5)
+    assert "Broadcast" not in _plan(near)
+    found = [{(r.query_id, r.rank): (r.doc_id, r.score) for r in x.collect()} for x in (exact, near)]
+    assert found[0] == found[1] and len(found[0]) == 5 * asked.count()
