@@ -141,6 +141,12 @@ def _probes(asked: DataFrame, centres: np.ndarray, radii: dict[int, float], firs
     return asked.mapInArrow(run, f"query_id {kind}, embedding array<double>, cell int")
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side that grows with the queries or vectors: never broadcast, for which it would pass through the driver.
+    Equal vectors make a small file of a large table, so its size alone would not tell."""
+    return side.hint("merge")
+
+
 def _scan(probes: DataFrame, index: DataFrame, k: int, kinds: tuple[str, str]) -> DataFrame:
     """query_id, doc_id, low, high: bounds of the cosine for all that can be among the k best of a block."""
     def run(batches):
@@ -176,7 +182,7 @@ def _scan(probes: DataFrame, index: DataFrame, k: int, kinds: tuple[str, str]) -
     sizes = probes.groupBy("cell").agg(F.count("*").alias("_n"))
     packs = probes.join(sizes, "cell").select("cell", pack, F.struct("query_id", "embedding").alias("q")).groupBy(
         "cell", "_pack").agg(F.collect_list("q").alias("asked"))
-    return packs.join(index, "cell").select("asked", "doc_ids", "codes", "low", "step", "missing", "same").mapInArrow(
+    return packs.join(_merged(index), "cell").select("asked", "doc_ids", "codes", "low", "step", "missing", "same").mapInArrow(
         run, f"query_id {kinds[0]}, doc_id {kinds[1]}, low double, high double")
 
 
@@ -198,10 +204,10 @@ def candidates(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int | No
         return asked.select("query_id").where("false").withColumn("doc_id", F.lit(None).cast(kinds[1]))
     found = materialize(_scan(_probes(asked, centres, radii, probes or first), index, k, kinds), "vector_found")
     if probes is None:
-        least = asked.join(_certain(found, k), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        least = asked.join(_merged(_certain(found, k)), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
         found = found.union(_scan(_probes(least, centres, radii, first), index, k, kinds))
         found = materialize(found, "vector_found")
-    return found.join(_certain(found, k), "query_id", "left").where(
+    return found.join(_merged(_certain(found, k)), "query_id", "left").where(
         F.col("high") >= F.coalesce("least", F.lit(-2.0)) - TIE).select("query_id", "doc_id")
 
 
@@ -217,4 +223,4 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int | None
 
     length = F.sqrt(dot("_d", "_d")) * F.sqrt(dot("_q", "_q"))
     score = F.round(F.coalesce(dot("_d", "_q") / F.nullif(length, F.lit(0.0)), F.lit(0.0)), 6)
-    return best(pairs.join(x, "doc_id").join(q, "query_id").select("query_id", "doc_id", score.alias("score")), k)
+    return best(pairs.join(_merged(x), "doc_id").join(_merged(q), "query_id").select("query_id", "doc_id", score.alias("score")), k)
