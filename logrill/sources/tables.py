@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logrill.functions.clock import ntz
 from logrill.model import EVENTS
+from logrill.session import fresh_path, remove
 
 # The order events have inside a day.
 SORT = ("event_time", "hostname", "severity")
@@ -22,16 +23,24 @@ def _laid_out(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", batch: int | None = None) -> None:
-    """Write by day. A numbered batch replaces exactly what an earlier attempt at it has written."""
-    out, folders = _laid_out(events).write.mode(mode), ["event_date"]
+    """Write by day. A numbered batch replaces exactly what an earlier attempt at it has written.
+
+    The ranges come from a sample, for which Spark runs all that precedes them. So the events
+    are first written as they come, to be labelled once and not twice.
+    """
+    spark, unsorted = events.sparkSession, fresh_path(events.sparkSession, "unsorted")
+    events.write.parquet(unsorted)
+    rows = _laid_out(spark.read.schema(events.schema).parquet(unsorted))
+    out, folders = rows.write.mode(mode), ["event_date"]
     if batch is not None:
-        out = _laid_out(events).withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option(
+        out = rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic")
         folders = ["event_date", "batch"]
     (out.partitionBy(*folders)
      .option("parquet.bloom.filter.enabled#source_ip", "true")
      .option("parquet.bloom.filter.enabled#program", "true")
      .parquet(path))
+    remove(spark, unsorted)
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:

@@ -173,3 +173,18 @@ def test_vectors_stay_arrow_and_off_the_driver(spark):
     assert "Broadcast" not in _plan(near)
     found = [{(r.query_id, r.rank): (r.doc_id, r.score) for r in x.collect()} for x in (exact, near)]
     assert found[0] == found[1] and len(found[0]) == 5 * asked.count()
+
+
+def test_events_are_labelled_once_when_written(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 500, 1, 5).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id) AS event_time", "'h' AS hostname",
+        "'err' AS severity", "'10.0.0.1' AS source_ip", "'sshd' AS program")
+    tables.write_events(rows.mapInArrow(counted, rows.schema), str(tmp_path / "events"))
+    assert seen.value == 500 and spark.read.parquet(str(tmp_path / "events")).count() == 500
