@@ -81,13 +81,35 @@ MIN_TRAINING_ROWS = 100
 FOLDS = 3
 
 
-def _margins(one_vs_rest, rows: DataFrame) -> DataFrame:
+def _tree_depth(parts: int) -> int:
+    """The depth at which treeAggregate leaves the fewest partial sums of `parts` to the driver."""
+    def left(depth):
+        scale, n = max(2, int(np.ceil(parts ** (1 / depth)))), parts
+        while n > scale + -(-n // scale):
+            n //= scale
+        return n
+
+    return min(range(2, 6), key=lambda depth: (left(depth), depth))
+
+
+def _machines(svm: LinearSVC, train: DataFrame, classes: int) -> list:
+    """One model per class against the rest. Of two classes each is the rest of the other, so the only
+    machine is that of the second; the margin of the first is its negative."""
+    if classes == 2:
+        return [svm.setLabelCol("_y").setFeaturesCol("features").setWeightCol("_weight").fit(train)]
+    return OneVsRest(classifier=svm, labelCol="_y", featuresCol="features", weightCol="_weight",
+                     predictionCol="_class", parallelism=4).fit(train).models
+
+
+def _margins(machines: list, rows: DataFrame, classes: int) -> DataFrame:
     """Add ``_m``: the margin of every class."""
     out, margins = rows, []
-    for c, model in enumerate(one_vs_rest.models):
+    for c, model in enumerate(machines):
         model.setRawPredictionCol(f"_r{c}").setPredictionCol(f"_c{c}")
         out = model.transform(out)
         margins.append(vector_to_array(f"_r{c}")[1])
+    if classes == 2:
+        margins = [-margins[0], margins[0]]
     return out.withColumn("_m", F.array(*margins)).select(*rows.columns, "_m")
 
 
@@ -136,7 +158,7 @@ class CategoryModel:
         scored = self.features.transform(messages)
         shares = []
         for i, (svm, platt) in enumerate(self.folds):
-            scored = _margins(svm, scored)
+            scored = _margins(svm, scored, len(self.labels))
             p = [1 / (1 + F.exp(-(F.lit(a) * F.col("_m")[c] + F.lit(b)))) for c, (a, b) in enumerate(platt)]
             scored = scored.withColumn(f"_p{i}", F.array(*p)).drop("_m")
             total = F.aggregate(f"_p{i}", F.lit(0.0), lambda s, x: s + x)
@@ -177,12 +199,12 @@ def train_classifier(rows: DataFrame, features: int = 20_000, min_df: float = 2,
     train = prepared.transform(indexed).withColumn(
         "_fold", F.pmod(F.xxhash64("event_id"), F.lit(FOLDS))).select(
         "features", "_y", "_weight", "_fold").persist()
-    svm = OneVsRest(classifier=LinearSVC(maxIter=max_iter, tol=tolerance), labelCol="_y", featuresCol="features",
-                    weightCol="_weight", predictionCol="_class", parallelism=4)
+    # every evaluation of the loss sends its last partial sums to the driver
+    svm = LinearSVC(maxIter=max_iter, tol=tolerance, aggregationDepth=_tree_depth(train.rdd.getNumPartitions()))
     folds = []
     for fold in range(FOLDS):
-        model = svm.fit(train.where(F.col("_fold") != fold))
-        held = _margins(model, train.where(F.col("_fold") == fold)).select("_m", "_y").persist()
+        model = _machines(svm, train.where(F.col("_fold") != fold), len(labels))
+        held = _margins(model, train.where(F.col("_fold") == fold), len(labels)).select("_m", "_y").persist()
         platt = _sigmoids(held, len(labels))
         held.unpersist()
         folds.append((model, platt))

@@ -175,6 +175,18 @@ def test_vectors_stay_arrow_and_off_the_driver(spark):
     assert found[0] == found[1] and len(found[0]) == 5 * asked.count()
 
 
+def test_two_classes_share_a_machine(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(("up", "down", "fan", "route") if i % 3 else ("login", "fan", "denied", "up")) for _ in range(6)),
+             "GOOD" if i % 3 else "BAD") for i in range(300)]
+    model = classify.train_classifier(spark.createDataFrame(rows, "event_id long, message string, label string"))
+    assert [len(machines) for machines, _ in model.folds] == [1] * classify.FOLDS
+    said = {r.event_id: r for r in model.predict(spark.createDataFrame(rows, "event_id long, message string, label string")).collect()}
+    assert sum(said[i].predicted_category == label for i, _, label in rows) > 0.85 * len(rows)
+    assert all(0.5 <= r.predicted_confidence <= 1 for r in said.values())
+    assert classify._tree_depth(48) == 3 and classify._tree_depth(1) == 2
+
+
 def test_events_are_labelled_once_when_written(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
