@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Row
 
 from logrill.functions.matching import contains_join
-from logrill.operators import classify, enrich, mix, resolve, retrieval, sequence, vectorindex
+from logrill.operators import classify, enrich, mix, resolve, retrieval, sequence, templates, vectorindex
 from logrill.session import materialize
 from logrill.sources import tables
 from logrill.streaming import keyed
@@ -200,3 +200,23 @@ def test_events_are_labelled_once_when_written(spark, tmp_path):
         "'err' AS severity", "'10.0.0.1' AS source_ip", "'sshd' AS program")
     tables.write_events(rows.mapInArrow(counted, rows.schema), str(tmp_path / "events"))
     assert seen.value == 500 and spark.read.parquet(str(tmp_path / "events")).count() == 500
+
+
+def test_small_leaves_move_once(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [f"open {rng.choice('abc')}{i} by {rng.choice(('root', 'anna', 'bert'))} at {rng.choice('xyz')}" for i in range(90)]
+    texts += [" ".join(rng.choice(("up", "down", "fan", "7", "<*>")) for _ in range(rng.randint(1, 4))) for _ in range(150)] + ["", "  ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "event_id long, message string")
+
+    def mined():
+        return sorted((r.event_id, r.template_id, r.template, r.template_size) for r in templates.mine_templates(rows, "drain").collect())
+
+    spread = []
+    monkeypatch.setattr(templates, "_drain_large", lambda *args, large=templates._drain_large: spread.append(1) or large(*args))
+    monkeypatch.setattr(templates, "MOST_TEMPLATES", 5)
+    whole = mined()
+    assert len(whole) == len(texts) and not spread  # leaves of bounded size are mined where they are
+    plan = _plan(templates.mine_templates(rows, "drain").select("event_id", "template_id", "template_size"))
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "_masked#" in line]
+    monkeypatch.setattr(templates, "LEAF_ROWS", 0)
+    assert mined() == whole and spread
