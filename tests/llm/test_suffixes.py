@@ -76,3 +76,40 @@ def test_odd_rows(odd, empty):
     assert by[3][0]["n_removed"] == 0 and by[4][0]["n_removed"] == by[4][0]["n_bytes"] and by[4][0]["n_spans"] == 1
     assert all(r["n_removed"] == 0 for r in by[None] + by[5])
     assert repeated(empty).count() == 0
+
+
+def test_rows_are_sorted_by_all_words():
+    """Ties of the first two words are ordered by the others, equal rows stay as they came."""
+    rng = np.random.default_rng(3)
+    for n, width in ((0, 11), (1, 11), (2, 2), (3000, 1), (3000, 2), (3000, 5), (3000, 11)):
+        words = rng.integers(0, 4, (n, width)).astype(np.uint64)
+        want = np.lexsort(words.T[::-1]) if n else np.zeros(0, np.int64)
+        assert suffixes.sorted_rows(words).tolist() == want.tolist()
+
+
+def test_parts_are_front_coded_by_themselves():
+    rng = np.random.default_rng(4)
+    rows = np.unique(rng.integers(97, 100, (500, 9)).astype(np.uint8), axis=0)
+    cuts = np.array([1, 2, 40, len(rows) - 1])
+    parts = list(suffixes.front_coded_parts(rows, cuts))
+    assert parts == [front_coded(part) for part in np.split(rows, cuts)]
+    for (common, rest), part in zip(parts, np.split(rows, cuts)):
+        assert [row for _, row in front_decoded(common, rest, 9)] == [x.tobytes() for x in part]
+
+
+def test_rows_that_known_prefixes_tell_apart_are_not_read(monkeypatch):
+    """Each row becomes a number once, however many rounds of the tree it plays."""
+    random.seed(5)
+    runs = [sorted("".join(random.choice("ab") for _ in range(12)).encode() for _ in range(40)) for _ in range(16)]
+    coded = [front_coded(np.array([list(x) for x in r], np.uint8)) for r in runs]
+    made = []
+
+    class Counted(int):
+        @classmethod
+        def from_bytes(cls, x):
+            made.append(x)
+            return int.from_bytes(x)
+
+    monkeypatch.setattr(suffixes, "int", Counted, raising=False)
+    merged = [row for _, _, row in LoserTree([front_decoded(c, rest, 12) for c, rest in coded])]
+    assert merged == sorted(x for r in runs for x in r) and len(made) == len(merged)
