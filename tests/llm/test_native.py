@@ -2,7 +2,9 @@
 
 import re
 
-from logrill.llm.decontaminate import leaks
+from pyspark.sql import functions as F
+
+from logrill.llm.decontaminate import MARK, NAME, NUMBER, UNIT, UNITS, leaks, template, words
 from logrill.llm.secrets import BASE, MORE, Rule, masked, scan, trigram_query
 
 
@@ -110,3 +112,21 @@ def test_long_verbatim_passage(spark):
                                   (4, " ".join(words[-13:]))], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_windows"], r["n_item_windows"]) for r in leaks(docs, _items(spark, item)).collect()}
     assert got == {1: (6, 93), 3: (6, 93), 4: (6, 93)}
+
+
+def test_template_words_of_odd_texts(spark):
+    """Capitals beyond 16 bits, names and units at the edges; and the list of units is searched after numbers only."""
+    texts = ["He met Anna in Rome, Bob left. Carla (Dora) 5 km; km Eva 12 Kg G 3 %", "\U00010400\U00010428 x \U00010400\U00010428 a \U0001D400b",
+             "x Ä ä Äb \U00010428 Äb 1 Äb,Äb, Äb", "", "Anna", " Anna", "7 C c", None, "1 2 km km 3.5 mi. 4\nKM"]
+    marked = F.regexp_replace("text", r"(?<=[\p{L}\d,;)]\x20)(\p{Lu}\p{Ll})", MARK + "$1")
+    raw = F.regexp_extract_all(marked, F.lit(rf"\d+(?:[.,]\d+)*|{MARK}?\p{{L}}+|[%$€£]"), F.lit(0))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(words(F.col("text")).alias("raw"), raw.alias("want"))
+    for r in docs.withColumn("form", template(F.col("raw"))).collect():
+        assert r["raw"] == r["want"]
+        if r["raw"] is None:
+            continue
+        digit = [w[0] in "0123456789" for w in r["raw"]]
+        assert r["form"] == [NUMBER if d else UNIT if w.lower() in UNITS and k and digit[k - 1] else NAME if w[0] == MARK else w.lower()
+                             for k, (w, d) in enumerate(zip(r["raw"], digit))]
+    plan = docs.select(template(F.col("raw")))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("get(raw") < plan.index("array_contains(array(mm")
