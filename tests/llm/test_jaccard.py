@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from logrill.llm.common import components
 from logrill.llm.jaccard import (
     _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, sketch)
 
@@ -145,3 +146,35 @@ def test_large_families_that_sign_again_lose_no_link(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(
         spark.createDataFrame(docs, "doc_id long, text string"), words=2, num=80, block_elements=400, block_sets=8).collect()}
     assert got == brute(docs, 2, 80, 100)
+
+
+@pytest.mark.parametrize("bound", [1, 7, 60, 1 << 18])
+def test_components_of_any_bound(spark, bound):
+    """Chains, stars and repeated edges, whether tasks end the graph or rounds do; few jobs where it is small."""
+    rng = random.Random(bound)
+    edges = [(k, k + 1) for k in range(-40, 0)] + [(100, k) for k in range(101, 140)] + [(7, 7), (300, 200), (200, 300)]
+    edges += [(rng.randrange(1000, 1080), rng.randrange(1000, 1080)) for _ in range(50)] + [(1 << 62, -(1 << 62))]
+    rng.shuffle(edges)
+    parent = {i: i for e in edges for i in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    spark.sparkContext.setJobGroup(f"components {bound}", "")
+    got = [tuple(r) for r in components(frame, "test_components", bound).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {bound}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == sorted((i, root(i)) for i in parent)
+    assert bound < 1 << 18 or jobs <= 6
+
+
+def test_components_of_no_edge(spark):
+    none = spark.createDataFrame([(3, 3), (None, 4)], "a long, b long")
+    assert components(none, "test_components").collect() == []
