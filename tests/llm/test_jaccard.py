@@ -7,7 +7,7 @@ import pytest
 
 from logrill.llm.common import components
 from logrill.llm.jaccard import (
-    _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, sketch)
+    _families, _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, sketch)
 
 
 def brute(docs, words, num, den):
@@ -178,3 +178,14 @@ def test_components_of_any_bound(spark, bound):
 def test_components_of_no_edge(spark):
     none = spark.createDataFrame([(3, 3), (None, 4)], "a long, b long")
     assert components(none, "test_components").collect() == []
+
+
+def test_a_slice_tells_of_a_document_once(spark):
+    """Near copies that share signatures in many ways are one tree a slice, and no pair within it is told."""
+    rng, slices = random.Random(10), 4
+    docs = [(i, " ".join(f"w{k}" for k in range(400) if rng.random() > 0.01)) for i in range(60)]
+    frame = spark.createDataFrame(docs, "id long, text string").repartition(6)
+    rows = _families(frame, 1, 80, 100, 400, slices, np.zeros(0, np.uint64)).collect()
+    trees = [(r["a"], r["b"]) for r in rows if r["many"]]
+    assert all(a < b for a, b in trees) and len(trees) <= slices * 59
+    assert {i for r in rows for i in (r["a"], r["b"])} == set(range(60))
