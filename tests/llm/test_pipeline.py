@@ -3,11 +3,12 @@
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logrill.llm.byte_bpe import Vocabulary
+from logrill.llm.byte_bpe import Vocabulary, digests, encode_texts
 from logrill.llm.secrets import BASE, MORE
 from tests.llm.test_jaccard import brute
 
@@ -54,3 +55,33 @@ def test_odd_rows(spark, odd, empty):
     assert none.count() == 0
     last = corpus_pipeline.STAGES[4][1](spark, rows, SF)
     assert last.columns == [*odd.columns, "ids"] and last.where(F.size("ids") == 0).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat("id", F.expr("repeat(' some words', 1000)")).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    steps = [
+        lambda: corpus_pipeline.language(spark, docs.limit(100), SF), lambda: corpus_pipeline.near_duplicates(spark, docs.limit(100), SF),
+        lambda: encode_texts(docs, *vocabulary), lambda: digests(docs, *vocabulary)]
+    before = spark.conf.get(size, None)
+    try:
+        for step in steps:
+            spark.conf.unset(size)
+            step()
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 30_000_000 and max(found) < 5_000_000
+        spark.conf.set(size, "1m")  # what the session names stays
+        for step in steps:
+            step()
+            assert spark.conf.get(size) == "1m"
+    finally:
+        spark.conf.unset(size)
+        if before is not None:
+            spark.conf.set(size, before)
