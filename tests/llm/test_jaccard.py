@@ -7,7 +7,7 @@ import pytest
 
 from logrill.llm.common import components
 from logrill.llm.jaccard import (
-    _families, _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, sketch)
+    Bands, _families, _pack_signatures, _reduced, _unpack_signatures, differing, jaccard_components, linked, shingle_sets, signatures, sketch)
 
 
 def brute(docs, words, num, den):
@@ -189,3 +189,27 @@ def test_a_slice_tells_of_a_document_once(spark):
     trees = [(r["a"], r["b"]) for r in rows if r["many"]]
     assert all(a < b for a, b in trees) and len(trees) <= slices * 59
     assert {i for r in rows for i in (r["a"], r["b"])} == set(range(60))
+
+
+def test_a_set_leaves_out_its_emptiest_partitions():
+    rng = np.random.default_rng(6)
+    bands, plans, none = Bands(80, 100, 1000), {}, np.zeros(0, np.uint64)
+    for left in (150, 60):  # so many of 300 elements are not common, and partitions are nearly empty
+        base = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+        common, own = np.sort(base[left:]), bands.band(300)
+        near = [np.sort(np.concatenate([np.delete(base, rng.integers(0, left, 12)), rng.integers(0, 1 << 62, 12).astype(np.uint64)]))
+                for _ in range(20)]
+        sent = [set(signatures(s, bands, plans, common).tolist()) for s in [base, *near]]
+        n, slack = np.array([bands.partitions(b)[:2] for b in (own, own + 1)]).T
+        assert len(signatures(base, bands, plans, common)) == (n - slack).sum() < n.sum()
+        assert all(sent[0] & s for s in sent[1:])
+    assert len(signatures(base, bands, plans, none)) <= n.sum()
+
+
+def test_named_copies_do_not_sign(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, text + " x" * (i % 2)) for i in range(60)], "id long, text string").repartition(6)
+    edges = _families(docs, 3, 90, 100, 100, 4, np.zeros(0, np.uint64), copies=np.arange(2, 60)).collect()
+    assert {i for r in edges for i in (r.a, r.b)} == {0, 1}
+    found = jaccard_components(docs.withColumnRenamed("id", "doc_id")).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 60

@@ -3,13 +3,15 @@
 import ipaddress
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from logrill.functions.matching import contains_join
 from logrill.operators import classify, enrich, mix, resolve, retrieval, sequence, templates, vectorindex
-from logrill.session import materialize
+from logrill.session import discard, materialize
 from logrill.sources import tables
 from logrill.streaming import keyed
 
@@ -220,3 +222,21 @@ def test_small_leaves_move_once(spark, monkeypatch):
     assert not [line for line in plan.splitlines() if "Exchange" in line and "_masked#" in line]
     monkeypatch.setattr(templates, "LEAF_ROWS", 0)
     assert mined() == whole and spread
+
+
+def test_what_is_written_leaves_no_shuffle(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    counted = spark.range(10_000).groupBy((F.col("id") % 100).alias("g")).count()
+    written = materialize(counted, "counted")
+    for _ in range(20):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting, None) is None
+    assert written.count() == counted.count() == 100
+    discard(written)
+    assert not spark._jvm.java.io.File(written.inputFiles()[0].removeprefix("file:")).exists()
