@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logrill.llm import curves
 from logrill.llm.curves import fitted, hilbert, nearest, real_vectors
@@ -106,3 +107,23 @@ def test_whole_table(spark):
     got = by_query(query(spark, "/root/testdata/sf0.01"))
     assert set(got) == set(want)
     assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 9 * len(want)
+
+
+def test_samples_are_cut_before_the_driver_orders_them(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h0"), F.xxhash64(F.lit(1), "id").alias("h1"), "id").repartition(8)
+    for n, first, second in ((40, "h0", "h1"), (1, "h1", "h0"), (6000, "h0", "h1")):
+        want = [r.id for r in rows.orderBy(first, second).limit(n).collect()]
+        assert [r["id"] for r in curves._least(rows, n, first, second, "id")] == want
+    same = spark.range(300).select(F.lit(1 << 62).alias("h0"), "id")  # nothing below the bound: it is widened
+    assert [r["id"] for r in curves._least(same, 5, "h0", "id", "id")] == list(range(5))
+    assert curves._least(rows.where("id < 0"), 5, "h0", "h1", "id") == []
+
+
+@pytest.mark.parametrize("stretch", [1, 4, 100])
+def test_blocks_move_once_per_stretch(spark, stretch):
+    blocks = spark.createDataFrame([(i, 3 * i, 3 * i + i % 5) for i in range(9)], "q long, first long, last long")
+    segments = spark.createDataFrame([(at,) for at in range(30)], "at long")
+    pairs = curves._beside(blocks, segments, stretch)
+    got = sorted((r.q, r["at"]) for r in pairs.collect())
+    assert got == [(i, at) for i in range(9) for at in range(3 * i, 3 * i + i % 5 + 1) if at < 30]
+    assert "SortMergeJoin" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
